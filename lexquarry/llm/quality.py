@@ -26,7 +26,8 @@ from lexquarry.llm.common import U64, by_bytes, coded_words, hashed_counts, mixe
 
 BUCKETS = 1 << 16
 TRUSTED = 50_000
-THRESHOLD = -0.30
+THRESHOLD = -0.25
+PRIOR = 20.0
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
@@ -83,11 +84,10 @@ def ratios(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     raw, target = hashed_counts(docs.select("doc_id", "text"), buckets, BUCKETS, planes=2)
     if not target.any():
         return np.zeros(BUCKETS, dtype=np.int64)
-    # Smoothing by the raw distribution: a bucket that the target has not seen is judged by how much of the raw corpus it has.
-    raw_p = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
-    weight = 1e-4 * target.sum()
-    target_p = (target + weight * raw_p) / (target.sum() + weight)
-    return np.round(1e6 * np.log(target_p / raw_p)).astype(np.int64)
+    # A prior of PRIOR raw n-grams in each bucket: a bucket that the corpus has hardly seen says nothing, so a clean text of
+    # rare words is not held against the sample for words that only it has.
+    share = target.sum() / raw.sum()
+    return np.round(1e6 * np.log((target + PRIOR * share) / ((raw + PRIOR) * share))).astype(np.int64)
 
 
 def repeat_words(bounds: np.ndarray, codes: np.ndarray, k: int = WINDOW) -> np.ndarray:
@@ -129,39 +129,48 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def verdicts(text: pa.Array, ratio: np.ndarray, limit: int) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score of each text."""
+    texts = text_array(text)
+    bounds, codes, words = coded_words(texts)
+    n_words = np.diff(bounds)
+    chars = pc.utf8_length(words).to_numpy().astype(np.int64)
+    word_chars = per_text(chars[codes], bounds)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    n_symbols = per_text(_symbol[data], offsets - offsets[0])
+    repeats = repeat_words(bounds, codes)
+    bucket, row = ngrams(bounds, codes, words)
+    n_grams = np.bincount(row, minlength=len(n_words))
+    value = ratio[bucket]
+    # in two parts, so that float sums of whole numbers stay exact
+    total = np.bincount(row, value >> 20, minlength=len(n_words)).astype(np.int64) * (1 << 20) + np.bincount(row, value & 0xFFFFF, minlength=len(n_words)).astype(np.int64)
+    failed = (n_words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
+    kept = ~failed & (total >= limit * n_grams)
+    score = np.where(n_grams > 0, total / np.maximum(n_grams, 1) / 1e6, 0.0)
+    return [n_words, word_chars, n_symbols, dup_lines(strings(texts)), repeats, failed, kept, score]
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
     """The contract's columns and the score for every row of `docs` (doc_id, text)."""
-    limit = round(1e6 * threshold)
+    ratio, limit = ratios(docs, trusted_ids(labels, trusted)), round(1e6 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            texts = text_array(batch.column("text"))
-            bounds, codes, words = coded_words(texts)
-            n_words = np.diff(bounds)
-            chars = pc.utf8_length(words).to_numpy().astype(np.int64)
-            word_chars = per_text(chars[codes], bounds)
-            offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            n_symbols = per_text(_symbol[data], offsets - offsets[0])
-            repeats = repeat_words(bounds, codes)
-            bucket, row = ngrams(bounds, codes, words)
-            n_grams = np.bincount(row, minlength=len(n_words))
-            value = ratio[bucket]
-            # halves keep float sums of whole numbers exact
-            total = np.bincount(row, value >> 20, minlength=len(n_words)).astype(np.int64) * (1 << 20) + np.bincount(row, value & 0xFFFFF, minlength=len(n_words)).astype(np.int64)
-            failed = (n_words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
-            kept = ~failed & (total >= limit * n_grams)
-            score = np.where(n_grams > 0, total / np.maximum(n_grams, 1) / 1e6, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *map(pa.array, (n_words, word_chars, n_symbols, dup_lines(strings(texts)), repeats, failed, kept, score))],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, verdicts(batch.column("text"), ratio, limit))], [x.split()[0] for x in RESULT.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
-    return judge(docs, ratios(docs, trusted_ids(labels, trusted)), threshold)
+def kept_documents(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns, whatever their names."""
+    ratio, limit = ratios(docs, trusted_ids(labels, trusted)), round(1e6 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            yield batch.filter(pa.array(verdicts(batch.column("text"), ratio, limit)[6]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
