@@ -64,7 +64,14 @@ def text_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """Large strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(texts):
+        return texts
+    # offsets from 0 on: some kernels of Arrow take a slice's data from the buffer's start
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])) if data is not None else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), data])
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
