@@ -25,7 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link, that with the least doc_id stays."""
     rows = cut(jaccard_join.link_classes(docs))
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    # a document without shingles is a group of its own
+    first = rows.groupBy("component", F.when(F.col("component").isNull(), F.col("key")).alias("alone")).agg(F.min(F.struct("doc_id", "key")).alias("first"))
     keep = first.select(F.col("first.key").alias("key_"))
     keyed = docs.withColumn("key_", hashed_id())
     # rows alike in doc_id and text are one document

@@ -6,13 +6,13 @@
    class; a task sends the prefix of one of them only. Postings travel packed by hashed token; a bucket keeps the tokens
    that several documents have in their prefixes. Tokens that the counts show to be frequent need no such test and skip it.
 3. Candidates are class pairs that share a prefix token and pass the length and positional filters. First each token's
-   documents are tried against one of them only (linear in the group's size) and links are joined into components. Then every pair
+   documents are tried against one of them only (linear in the group's size) and links are joined into components; this repeats a few times with other ones. Then every pair
    that shares a token and lies in different components is a candidate, so no component is missed and pairs inside a
    large group of copies are never listed.
 4. A distinct candidate pair is verified once: the suffix filter bounds the overlap by counts in 16 ranges of hash
    values, then the sets are intersected.
 
-Shingles are compared by 64-bit hashes. Null, empty and wordless texts have no set and link with nothing (component_id is
+Shingles are compared by 64-bit hashes, equal sets by 64 bits of a digest. Null, empty and wordless texts have no set and link with nothing (component_id is
 their own doc_id); fewer words than `k` make one shingle. Rows that repeat a doc_id are documents of their own; a null doc_id
 counts as larger than any other. Whole texts are used.
 """
@@ -36,7 +36,9 @@ PERCENT = 75
 SKETCH = 1 << 18
 POSTINGS_A_BUCKET = 600_000
 FREQUENT = 1 << 17  # a token whose counter is above this is not tested for being shared
-ROWS = "kind int, token long, key long, doc_id long, n long, pos long, digest binary"
+ROUNDS = 4  # linear rounds before the exact last one
+NAMES = ["kind", "key", "doc_id", "node", "n", "token", "pos", "pivot", "pivot_n", "pivot_pos"]
+ROWS = "kind int, " + ", ".join(f"{c} long" for c in NAMES[1:])
 
 
 def shingles(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,8 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def postings(docs: DataFrame, rank: np.ndarray, counts: np.ndarray, n_buckets: int, k: int, percent: int) -> DataFrame:
-    """ROWS: kind 0, a document's key, doc_id, size and set digest; kind 1, a prefix token that several documents may share."""
+    """ROWS. Kind 0: a document's key, doc_id, class (node: 64 bits of its set's digest, null without a set) and set size.
+    Kind 1: a class's prefix token that several classes have, with one of them (pivot); kind 2: one that they may share."""
     import xxhash
 
     frequent = counts > FREQUENT
@@ -88,10 +91,10 @@ def postings(docs: DataFrame, rank: np.ndarray, counts: np.ndarray, n_buckets: i
             n = np.diff(bounds)
             keys, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
             view = memoryview(np.ascontiguousarray(hashes)).cast("B") if len(hashes) else memoryview(b"")
-            digests = [xxhash.xxh3_128_digest(view[8 * a : 8 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            info = struct.pack("<q", len(n)) + np.stack([keys, ids, n]).astype("<i8").tobytes() + b"".join(digests)
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(view[8 * a : 8 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), dtype=U64, count=len(n)).view(np.int64)
+            info = struct.pack("<q", len(n)) + np.stack([keys, ids, nodes, n]).astype("<i8").tobytes()
             out_b, out_blob = [n_buckets + int(abs(int(keys[0]))) % n_buckets], [zstandard.compress(b"I" + info, 1)]
-            _, sender = np.unique(np.array(digests, dtype="S16").view("V16") if len(digests) else [], return_index=True)
+            _, sender = np.unique(nodes, return_index=True)
             p = np.zeros(len(n), dtype=np.int64)
             p[sender] = prefix_length(n[sender], percent)
             row = np.repeat(np.arange(len(n)), p)
@@ -105,7 +108,7 @@ def postings(docs: DataFrame, rank: np.ndarray, counts: np.ndarray, n_buckets: i
             for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
                 sel = order[a:b]
                 used, local = np.unique(row[sel], return_inverse=True)
-                body = struct.pack("<qq", len(used), len(sel)) + keys[used].astype("<i8").tobytes() + n[used].astype("<i8").tobytes()
+                body = struct.pack("<qq", len(used), len(sel)) + nodes[used].astype("<i8").tobytes() + n[used].astype("<i8").tobytes()
                 body += sent[sel].tobytes() + local.astype("<u4").tobytes() + pos[sel].astype("<u4").tobytes()
                 out_b.append(int(bucket[sel[0]]))
                 out_blob.append(zstandard.compress(b"P" + body, 1))
@@ -114,13 +117,9 @@ def postings(docs: DataFrame, rank: np.ndarray, counts: np.ndarray, n_buckets: i
     def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
 
-        def shared(token, key, n, pos):
-            m = len(token)
-            nothing = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(m, dtype=np.int32)), pa.array(token.view(np.int64)), pa.array(key), nothing, pa.array(n), pa.array(pos.astype(np.int64)), pa.nulls(m, pa.binary())],
-                ["kind", "token", "key", "doc_id", "n", "pos", "digest"],
-            )
+        def made(kind, m, **columns):
+            arrays = [pa.array(np.full(m, kind, dtype=np.int32))] + [columns.get(c, pa.nulls(m, pa.int64())) for c in NAMES[1:]]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in arrays], NAMES)
 
         passing = key[0].as_py() >= n_buckets
         for batch in batches:
@@ -128,42 +127,45 @@ def postings(docs: DataFrame, rank: np.ndarray, counts: np.ndarray, n_buckets: i
                 data = zstandard.decompress(blob.as_py())
                 if data[:1] == b"I":
                     (m,) = struct.unpack_from("<q", data, 1)
-                    keys, ids, n = np.frombuffer(data, dtype="<i8", count=3 * m, offset=9).reshape(3, m)
-                    digests = data[9 + 24 * m :]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.zeros(m, dtype=np.int32)), pa.nulls(m, pa.int64()), pa.array(keys), pa.array(ids), pa.array(n), pa.nulls(m, pa.int64()), pa.array([digests[16 * i : 16 * i + 16] for i in range(m)], pa.binary())],
-                        ["kind", "token", "key", "doc_id", "n", "pos", "digest"],
-                    )
+                    keys, ids, nodes, n = np.frombuffer(data, dtype="<i8", count=4 * m, offset=9).reshape(4, m)
+                    yield made(0, m, key=keys, doc_id=ids, node=pa.array(nodes, mask=n == 0), n=n)
                     continue
                 d, m = struct.unpack_from("<qq", data, 1)
-                keys, n = np.frombuffer(data, dtype="<i8", count=2 * d, offset=17).reshape(2, d)
-                token = np.frombuffer(data, dtype="<u8", count=m, offset=17 + 16 * d)
+                nodes, n = np.frombuffer(data, dtype="<i8", count=2 * d, offset=17).reshape(2, d)
+                token = np.frombuffer(data, dtype="<u8", count=m, offset=17 + 16 * d).view(np.int64)
                 local = np.frombuffer(data, dtype="<u4", count=m, offset=17 + 16 * d + 8 * m)
                 pos = np.frombuffer(data, dtype="<u4", count=m, offset=17 + 16 * d + 12 * m)
                 if passing:
-                    yield shared(token, keys[local], n[local], pos)
+                    yield made(2, m, node=nodes[local], n=n[local], token=token, pos=pos)
                 else:
-                    parts.append((token, keys[local], n[local], pos))
+                    parts.append((token, nodes[local], n[local], pos.astype(np.int64)))
         if parts:
-            token, keys, n, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.argsort(token, kind="stable")
-            same = token[order[1:]] == token[order[:-1]]
-            keep = order[np.append(False, same) | np.append(same, False)]
+            token, nodes, n, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order = np.lexsort((nodes, token))
+            token, nodes, n, pos = token[order], nodes[order], n[order], pos[order]
+            new = np.append(True, (token[1:] != token[:-1]) | (nodes[1:] != nodes[:-1]))  # a class from several tasks
+            token, nodes, n, pos = token[new], nodes[new], n[new], pos[new]
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(begin, len(token)))
+            head = np.repeat(begin, size)
+            keep = np.flatnonzero(np.repeat(size, size) > 1)
             if len(keep):
-                yield shared(token[keep], keys[keep], n[keep], pos[keep])
+                head = head[keep]
+                yield made(1, len(keep), node=nodes[keep], n=n[keep], token=token[keep], pos=pos[keep], pivot=nodes[head], pivot_n=n[head], pivot_pos=pos[head])
 
     return docs.mapInArrow(send, "bucket long, blob binary").groupBy("bucket").applyInArrow(settle, ROWS)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose texts (key, text) link."""
+    """The pairs (a, b) of classes whose texts (node, packed) link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text_b", most=4 << 20):
+        for batch in by_bytes(batches, "text_b", most=1 << 20):
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             ids, first = np.unique(np.concatenate([a, b]), return_index=True)
-            one = text_array(pa.chunked_array([batch.column("text_a").cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())]))
-            bounds, token, _ = sets(one.take(pa.array(first)), None, k)
+            packed = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).combine_chunks().take(pa.array(first))
+            one = pa.array([zstandard.decompress(x) for x in packed.to_pylist()], pa.large_binary()).cast(pa.large_string())
+            bounds, token, _ = sets(one, None, k)
             n = np.diff(bounds)
             x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
             need = least_overlap(n[x], n[y], percent)
@@ -177,11 +179,22 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 link[i] = np.count_nonzero(both[1:] == both[:-1]) >= need[i]
             yield pa.RecordBatch.from_arrays([pa.array(a[link]), pa.array(b[link])], ["a", "b"])
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """node, packed: texts compressed, as they move several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            packed = [zstandard.compress(x, 3) for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, packed binary")
+
+
 def similar_sizes(n, m, pos, qos, percent: int):
     """Length and positional filters for a common token at places pos and qos."""
     need = F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
@@ -189,50 +202,65 @@ def similar_sizes(n, m, pos, qos, percent: int):
 
 
 def link_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """key, doc_id, n, component (a key) for every row of `docs` (doc_id, text)."""
+    """key, doc_id, n, component (a class, null without shingles) for every row of `docs` (doc_id, text)."""
     keyed = docs.select(hashed_id().alias("key"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = hashed_counts(keyed.select("text"), lambda b: (shingles(text_array(b.column("text")), k)[0] % U64(SKETCH)).astype(np.int64), SKETCH)
     n_buckets = max(8, int(counts.sum()) * (101 - percent) // 100 // POSTINGS_A_BUCKET)
     found = kept_table(postings(keyed, coarse(counts), counts, n_buckets, k, percent))
-    info = found.where("kind = 0").select("key", "doc_id", "n", "digest")
-    classes = info.where("n > 0").groupBy("digest").agg(F.min("key").alias("node"))
-    members = info.join(classes, "digest", "left").select("key", "doc_id", "n", F.coalesce("node", "key").alias("node"))
-    posted = found.where("kind = 1").select("token", "key", "n", "pos").join(members.select("key", "node").distinct(), "key")
-    posted = posted.groupBy("token", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("node", "n", "pos")).alias("pivot")).where("docs > 1")
-    posted = kept_table(posted.join(shared.select("token", "pivot"), "token"))
-    texts = keyed.select("key", "text").join(posted.select(F.col("node").alias("key")).distinct(), "key", "left_semi")
-    texts = kept_table(texts.groupBy("key").agg(F.first("text").alias("text")))
-
-    tried = posted.where(F.col("node") != F.col("pivot.node")).where(similar_sizes(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"), percent))
-    tried = cut(tried.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
+    info = found.where("kind = 0").select("key", "doc_id", "node", "n")
+    posted = found.where("kind = 1").select("token", "node", "n", "pos", "pivot", "pivot_n", "pivot_pos")
+    passed = found.where("kind = 2").groupBy("token", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    heads = passed.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "pos")).alias("head")).where("size > 1")
+    passed = passed.join(heads, "token").select("token", "node", "n", "pos", *(F.col(f"head.{c}").alias(a) for c, a in (("node", "pivot"), ("n", "pivot_n"), ("pos", "pivot_pos"))))
+    posted = posted.unionByName(passed)
+    needed = info.join(posted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    texts = kept_table(packed_texts(keyed.select("key", "text").join(needed, "key").dropDuplicates(["key"])))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    tried = posted.where("node <> pivot").where(similar_sizes(F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos"), percent))
+    tried = cut(candidates(tried.select(F.col("pivot").alias("x"), F.col("node").alias("y"))))
     links = cut(verified(tried, texts, k, percent))
+    at = posted.select("token", "node", "n", "pos")
+    for turn in range(ROUNDS + 1):
+        parts = components(links)
+        # the tokens whose classes are not yet in one component
+        at = at.join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
+        sizes = at.groupBy("token", "part").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos")).alias("head"))
+        sizes = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part", "head")).alias("most")).where("parts > 1")
+        sizes = sizes.select("token", F.col("most.part").alias("largest"), *(F.col(f"most.head.{c}").alias(f"{c}2") for c in ("node", "n", "pos")))
+        at = cut(at.join(sizes, "token"))
+        if at.isEmpty():
+            break
+        fits = similar_sizes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent)
+        others = at.where("part <> largest")
+        if turn < ROUNDS:
+            # each class outside a token's largest component against one class inside it, another one at each turn
+            rest = others.where(fits)
+        else:
+            # every pair of different components
+            others = others.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "part")))
+            rest = at.drop("node2", "n2", "pos2").join(others, "token").where("part <> part2 and (part = largest or node < node2)").where(fits)
+        rest = cut(candidates(rest.select(F.col("node").alias("x"), F.col("node2").alias("y"))).join(tried, ["a", "b"], "left_anti"))
+        at = at.select("token", "node", "n", "pos")
+        if turn < ROUNDS and rest.isEmpty():
+            continue
+        more = cut(verified(rest, texts, k, percent))
+        tried, links = tried.union(rest), links.union(more)
     parts = components(links)
-
-    at = posted.join(parts, "node", "left")
-    at = at.select("token", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
-    several = at.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    at = cut(at.join(several, "token"))
-    largest = at.groupBy("token", "part").count().groupBy("token").agg(F.max(F.struct("count", "part")).alias("m")).select("token", F.col("m.part").alias("largest"))
-    at = at.join(largest, "token")
-    other = at.where("part <> largest").select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("part").alias("part2"))
-    rest = at.join(other, "token").where("part <> part2").where((F.col("part") == F.col("largest")) | (F.col("node") < F.col("node2")))
-    rest = rest.where(similar_sizes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent))
-    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(rest, texts, k, percent))
-    if not more.isEmpty():
-        parts = components(links.union(more))
-    parts = parts.select("node", "component")
-    return members.join(parts, "node", "left").select("key", "doc_id", "n", F.coalesce("component", "node").alias("component"))
+    rows = info.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    # a document without a set is alone
+    return rows.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.col("part")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
     rows = cut(link_classes(docs, k, percent))
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return rows.join(least, "component").select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = lambda c: F.when(c != NULL_ID, c)
+    rows = rows.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return rows.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.col("component_id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
