@@ -1,11 +1,348 @@
-"""The registered queries of the engine and the SQL that checks them."""
+"""The registered queries of the engine, on whole tables, and the SQL that checks them.
+
+`benchmark` items are the text queries over `documents`; vectors whose id is divisible by 50 are the dense queries over all
+`embeddings` (query vec_id / 50, document vec_id), so that both retrievers rank for the same query numbers.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexquarry.functions import text as T
+from lexquarry.operators import adaptive, fusion, metrics, rag, retrieval, structure
+from lexquarry.sources.readers import html_rows, table
+from lexquarry.streaming.monitor import windowed
+
+BOTH = ["bm25", "dense"]
+TOP = 50
+KINDS = 6  # query types of the evaluation: query_id % KINDS
+
+
+def items(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def sparse(spark, d, **kw) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), items(spark, d), TOP, **kw)
+
+
+def near(spark, d) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    q = v.where("doc_id % 50 = 0").select(F.expr("doc_id div 50").alias("query_id"), "embedding")
+    return retrieval.dense(v, q, TOP)
+
+
+def rankings(spark, d) -> DataFrame:
+    return sparse(spark, d).unionByName(near(spark, d))
+
+
+def qrels(spark, d) -> DataFrame:
+    """Relevant are the vectors of the query's own label."""
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    q = v.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), "label")
+    return v.join(q, "label").select("query_id", F.col("vec_id").alias("doc_id"))
+
+
+def fused(name, **kw):
+    return lambda spark, d: fusion.get_fusion_strategy(name)(rankings(spark, d), BOTH, 10, **kw)
+
+
+def normalized(name):
+    def query(spark, d):
+        score = fusion.get_normalizer(name)(F.col("score"), fusion.LIST)
+        return sparse(spark, d).select("query_id", "doc_id", F.round(score, 6).alias("norm"))
+
+    return query
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def at_k(spark, d) -> DataFrame:
+    r = near(spark, d)
+    rows = [metrics.metrics_at(r, qrels(spark, d), k).withColumn("k", F.lit(k)) for k in (5, 10, 20)]
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+def small_space(spark) -> DataFrame:
+    return adaptive.search_space(spark, alphas=(0.3, 0.7), betas=(0.0, 0.3), ks=(10, 60))
+
+
+def objectives(spark, d) -> DataFrame:
+    f = adaptive.fuse_configs(rankings(spark, d), small_space(spark))
+    q = qrels(spark, d)
+    f = f.join(q.select("query_id").distinct(), "query_id", "left_semi")
+    return metrics.metrics_at(f, q, 10, ("config", "query_id"))
+
+
+def grid(spark, d) -> DataFrame:
+    g = objectives(spark, d).groupBy("config").agg(F.avg("objective").alias("objective"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
+    return rounded(g)
+
+
+def by_type(spark, d) -> DataFrame:
+    return rounded(adaptive.best_config(objectives(spark, d).withColumn("kind", F.col("query_id") % KINDS), ["kind"]))
+
+
+def loo(spark, d) -> DataFrame:
+    return rounded(adaptive.leave_one_out(objectives(spark, d).select("config", "query_id", F.round("objective", 9).alias("objective"))))
+
+
+def classified(spark, d) -> DataFrame:
+    docs = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    kind, sure = adaptive.rule_type()
+    return adaptive.signals(docs).select("conv_id", "turn", "n_words", "has_number", "has_year", kind.alias("kind"), sure.alias("confidence"))
+
+
+def chunks(spark, d) -> DataFrame:
+    return structure.concatenated(table(spark, d, "conversations"), "conv_id", "turn", "text", "turn")
+
+
+def pages_of(spark, d) -> DataFrame:
+    c = chunks(spark, d)
+    return c.select("conv_id", F.explode(F.sequence(F.lit(0), F.length("text").cast("long"), F.lit(100))).alias("at"), "boundaries").select("conv_id", "at", structure.page_of(F.col("boundaries"), F.col("at")).alias("page"))
+
+
+def duplicates(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return structure.superseded(o, "o_custkey", "o_orderkey", F.to_date("o_orderdate"), "o_orderkey")
+
+
+def not_superseded(spark, d) -> DataFrame:
+    return structure.without_superseded(table(spark, d, "orders"), duplicates(spark, d), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+def greedy(spark, d) -> DataFrame:
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("number"), F.expr("l_orderkey * 10 + l_linenumber").alias("lid"))
+    other = line.select("g", "kind", F.when(F.col("lid") % 3 > 0, F.col("number")).alias("number"), F.col("lid").alias("rid")).where("rid % 4 > 0")
+    return structure.greedy_match(line, other, "g", "kind", "number", "lid", "rid").groupBy("phase").agg(F.count("*").alias("n"), F.sum(F.expr("(lid * 7 + coalesce(rid, 0)) % 1000003")).alias("s"))
+
+
+def references(spark, d) -> DataFrame:
+    s = table(spark, d, "supplier")
+    norms = s.select(F.col("s_suppkey").alias("norm_id"), F.col("s_nationkey").alias("nation"), F.expr("s_suppkey % 5").alias("number"), F.expr("cast(s_suppkey % 7 as string)").alias("org"), F.array(F.expr("cast(s_suppkey % 7 as string)"), F.expr("cast(s_suppkey % 11 as string)")).alias("words"))
+    c = table(spark, d, "customer")
+    refs = c.select(F.col("c_custkey").alias("ref_id"), F.col("c_nationkey").alias("nation"), F.expr("c_custkey % 5").alias("number"), F.expr("cast(c_custkey % 7 as string)").alias("source_org"), F.array(F.expr("cast(c_custkey % 13 as string)")).alias("org_words"))
+    return structure.resolve(refs, norms, ["nation", "number"], "words")
+
+
+def first_of(spark, d) -> DataFrame:
+    return structure.first_occurrence(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+def cleaned(spark, d) -> DataFrame:
+    t = T.squeeze(T.remove_emails(T.remove_urls(F.col("text"))))
+    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), T.word_count(t).alias("n_words"))
+
+
+def word_windows(spark, d) -> DataFrame:
+    w = table(spark, d, "documents").select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
+    return w.select("doc_id", F.col("w.part").alias("part"), F.md5("w.text").alias("digest"), F.format_string("%s__f%03d", F.col("doc_id"), F.col("w.part")).alias("fragment_id"))
+
+
+def fragments(spark, d) -> DataFrame:
+    return sparse(spark, d).where("rank <= 10").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def contexts(spark, d) -> DataFrame:
+    return rag.context(fragments(spark, d), 8, 12_000).select("query_id", F.md5("context").alias("digest"), "n_sources")
+
+
+def batch(spark, d) -> DataFrame:
+    a = rag.answers(items(spark, d), fragments(spark, d), rag.echo)
+    c = rag.citations(a)
+    return a.join(c, "query_id").select("query_id", "answer", "n_retrieved", F.size("valid").alias("n_valid"), F.size("invalid").alias("n_invalid"))
+
+
+def hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.hybridrank(rankings(spark, d), BOTH, 10)
+
+
+def summary(spark, d) -> DataFrame:
+    m = metrics.metrics_at(near(spark, d), qrels(spark, d), 10).withColumn("kind", F.col("query_id") % KINDS)
+    g = m.rollup("kind").agg(F.avg("recall").alias("recall"), F.stddev_samp("recall").alias("sd"), F.count("*").alias("n"))
+    return rounded(g)
+
+
+def pooled(spark, d) -> DataFrame:
+    return fusion.pool(rankings(spark, d)).select("query_id", "doc_id", "both", "position")
+
+
+def vocabulary(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    q = {
+        "bm25_topk": sparse,
+        "bm25_params": lambda s, d: sparse(s, d, k1=1.2, b=0.5),
+        "dense_topk": near,
+        "hybrid_retrieval": hybrid,
+        "pool_full_outer": pooled,
+        "retriever_overlap": lambda s, d: fusion.overlap(rankings(s, d), 10),
+        "metrics_at_k": at_k,
+        "grid_search": grid,
+        "best_by_type": by_type,
+        "loo_cv": loo,
+        "rule_classify": classified,
+        "group_concat_ordered": lambda s, d: chunks(s, d).select("conv_id", F.md5("text").alias("digest"), F.size("boundaries").alias("n")),
+        "asof_page": pages_of,
+        "dup_latest": duplicates,
+        "anti_superseded": not_superseded,
+        "greedy_match": greedy,
+        "ref_resolution": references,
+        "first_occurrence": first_of,
+        "clean_text": cleaned,
+        "word_windows": word_windows,
+        "context_budget": contexts,
+        "rag_batch": batch,
+        "summary_rollup": summary,
+        "vocabulary": vocabulary,
+        "interaction_windows": lambda s, d: rounded(windowed(table(s, d, "events")).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total"), 4),
+        "html_rows": lambda s, d: html_rows(table(s, d, "pages")),
+    }
+    q |= {f"norm_{n}": normalized(n) for n in fusion.NORMALIZERS}
+    q |= {f"fuse_{n}": fused(n) for n in fusion.STRATEGIES if n != "hybridrank"}
+    return q
+
+
+# ---------------------------------------------------------------- SQL
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_KEEP = ", ".join(f"'{w}'" for w in T.LEGAL_TERMS)
+_TOKENS = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^0-9a-záéíóúüñçàèìòùâêîôûäëïöß]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND (w NOT IN ({_STOP}) OR w IN ({_KEEP})))"
+
+
+def _bm25(k1: float = 1.5, b: float = 0.75) -> str:
+    return f"""
+tok AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+post AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM tok) GROUP BY term, doc_id),
+st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM tok WHERE len(ws) > 0),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
+want AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY query_id, term),
+part AS (SELECT query_id, doc_id, term, qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl)) AS p FROM post JOIN want USING (term) JOIN idf USING (term), st),
+sco AS (SELECT query_id, doc_id, round(sum(p ORDER BY term), 9) AS score FROM part GROUP BY query_id, doc_id),
+bm AS (SELECT query_id, 'bm25' AS retriever, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sco WHERE score > 0) WHERE rank <= {TOP})"""
+
+
+_DENSE = f"""
+dn AS (SELECT query_id, 'dense' AS retriever, doc_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT q.vec_id // 50 AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score
+    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= {TOP})"""
+_BOTH = f"WITH {_bm25()}, {_DENSE}, rk AS (SELECT * FROM bm UNION ALL SELECT * FROM dn)"
+_W = "OVER (PARTITION BY query_id, retriever)"
+_NORM = {
+    "minmax": f"CASE WHEN max(score) {_W} = min(score) {_W} THEN 1.0 ELSE (score - min(score) {_W}) / (max(score) {_W} - min(score) {_W}) END",
+    "zscore": f"CASE WHEN max(score) {_W} = min(score) {_W} THEN 0.0 ELSE (score - avg(score) {_W}) / stddev_pop(score) {_W} END",
+    "sum": f"CASE WHEN sum(score) {_W} = 0 THEN 0.0 ELSE score / sum(score) {_W} END",
+    "identity": "score",
+}
+
+
+def _best(inner: str, top: int = 10) -> str:
+    return f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({inner})) WHERE rank <= {top}"
+
+
+def _wide(value: str, score: str) -> str:
+    return _best(f"SELECT query_id, doc_id, round({score}, 9) AS score FROM (SELECT query_id, doc_id, coalesce(max(CASE WHEN retriever = 'bm25' THEN v END), 0.0) AS s, coalesce(max(CASE WHEN retriever = 'dense' THEN v END), 0.0) AS d FROM (SELECT *, {value} AS v FROM rk) GROUP BY query_id, doc_id)")
+
+
+_QREL = "qr AS (SELECT q.vec_id // 50 AS query_id, v.vec_id AS doc_id FROM embeddings v JOIN embeddings q ON v.label = q.label AND q.vec_id % 50 = 0)"
+
+
+def _metrics(ranked: str, by: str, k: int) -> str:
+    """Metrics of rows (by, doc_id, rank) in `ranked`."""
+    return f"""
+SELECT {by}, used_k, hits / n AS recall, hits / used_k AS precision, CASE WHEN hits = 0 THEN 0.0 ELSE 2 * (hits / used_k) * (hits / n) / (hits / used_k + hits / n) END AS f1,
+  coalesce(1.0 / first, 0.0) AS mrr, coalesce(ap, 0.0) / n AS map, coalesce(dcg, 0.0) / (SELECT sum(1 / log2(i + 1.0)) FROM unnest(range(1, least(n, used_k) + 1)) AS r(i)) AS ndcg
+FROM (SELECT {by}, count(*) AS used_k, sum(rel) * 1.0 AS hits, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(CASE WHEN rel = 1 THEN seen * 1.0 / rank END) AS ap, sum(CASE WHEN rel = 1 THEN 1 / log2(rank + 1.0) END) AS dcg
+  FROM (SELECT *, sum(rel) OVER (PARTITION BY {by} ORDER BY rank) AS seen FROM (SELECT r.*, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM {ranked} r LEFT JOIN qr q ON q.query_id = r.query_id AND q.doc_id = r.doc_id WHERE rank <= {k})) GROUP BY {by})
+JOIN (SELECT query_id, count(*) AS n FROM qr GROUP BY query_id) USING (query_id)"""
+
+
+_OBJ = "(0.4 * ndcg + 0.3 * recall + 0.2 * map + 0.1 * f1)"
+
+
+def _round(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n.split(' ')[0]}" for n in names)
+
+
+def _at_k(k: int) -> str:
+    return f"SELECT query_id, {k} AS k, used_k, {_round('recall', 'precision', 'f1', 'mrr', 'map', 'ndcg')}, round({_OBJ}, 6) AS objective FROM ({_metrics('dn', 'query_id', k)})"
+
+
+_GRID = f"""{_BOTH}, {_QREL},
+cf AS (SELECT CAST(a * 8 + b * 4 + k * 2 + m AS INTEGER) AS config, CASE a WHEN 0 THEN 0.3 ELSE 0.7 END AS alpha, CASE b WHEN 0 THEN 0.0 ELSE 0.3 END AS beta, CASE k WHEN 0 THEN 10 ELSE 60 END AS kk, m FROM range(2) x(a), range(2) y(b), range(2) z(k), range(2) w(m)),
+nr AS (SELECT *, {_NORM['minmax']} AS mm, {_NORM['zscore']} AS zs FROM rk),
+dc AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN mm END) AS mm_s, max(CASE WHEN retriever = 'dense' THEN mm END) AS mm_d, max(CASE WHEN retriever = 'bm25' THEN zs END) AS zs_s, max(CASE WHEN retriever = 'dense' THEN zs END) AS zs_d,
+  max(CASE WHEN retriever = 'bm25' THEN rank END) AS r_s, max(CASE WHEN retriever = 'dense' THEN rank END) AS r_d FROM nr GROUP BY query_id, doc_id),
+cd AS (SELECT *, coalesce(1.0 / (kk + r_s), 0.0) + coalesce(1.0 / (kk + r_d), 0.0) AS rr FROM dc, cf),
+cu AS (SELECT *, CASE WHEN max(rr) OVER (PARTITION BY config, query_id) = min(rr) OVER (PARTITION BY config, query_id) THEN 1.0 ELSE (rr - min(rr) OVER (PARTITION BY config, query_id)) / (max(rr) OVER (PARTITION BY config, query_id) - min(rr) OVER (PARTITION BY config, query_id)) END AS u FROM cd),
+cs AS (SELECT config, query_id, doc_id, round(beta * u + (1 - beta) * (alpha * coalesce(CASE m WHEN 0 THEN mm_s ELSE zs_s END, 0.0) + (1 - alpha) * coalesce(CASE m WHEN 0 THEN mm_d ELSE zs_d END, 0.0)), 9) AS score FROM cu),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 10),
+ob AS (SELECT *, {_OBJ} AS objective FROM ({_metrics('fu', 'config, query_id', 10).replace('SELECT r.*', 'SELECT r.*')}))"""
+
+_HYBRID = f"""{_BOTH},
+nr AS (SELECT *, {_NORM['minmax']} AS v, 1.0 / (rank + 10) AS rr FROM rk),
+w AS (SELECT query_id, doc_id, coalesce(max(CASE WHEN retriever = 'bm25' THEN rr END), 0.0) + coalesce(max(CASE WHEN retriever = 'dense' THEN rr END), 0.0) AS rrf, coalesce(max(CASE WHEN retriever = 'bm25' THEN v END), 0.0) AS s, coalesce(max(CASE WHEN retriever = 'dense' THEN v END), 0.0) AS d FROM nr GROUP BY query_id, doc_id),
+u AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS hi, min(rrf) OVER (PARTITION BY query_id) AS lo FROM w)
+{_best("SELECT query_id, doc_id, round(0.2 * (CASE WHEN hi = lo THEN 1.0 ELSE (rrf - lo) / (hi - lo) END) + 0.8 * (0.7 * s + (1 - 0.7) * d), 9) AS score FROM u")}"""
+
+_CHUNKS = "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id"
+_DUP = """SELECT o_custkey, max(CASE WHEN n = 1 THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS kept, o_orderkey AS superseded, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS n FROM orders)"""
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n]+|www\.[^ \t\n]+', '', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {
+        "bm25_topk": f"WITH {_bm25()} SELECT * FROM bm",
+        "bm25_params": f"WITH {_bm25(1.2, 0.5)} SELECT * FROM bm",
+        "dense_topk": f"WITH {_DENSE} SELECT * FROM dn",
+        "hybrid_retrieval": _HYBRID,
+        "pool_full_outer": f"""{_BOTH}, w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN score END) AS s, max(CASE WHEN retriever = 'dense' THEN score END) AS d FROM rk GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, s IS NOT NULL AND d IS NOT NULL AS both, row_number() OVER (PARTITION BY query_id ORDER BY (s IS NOT NULL AND d IS NOT NULL) DESC, greatest(s, d) DESC, doc_id) AS position FROM w""".replace(" AS both,", ' AS "both",'),
+        "retriever_overlap": f"""{_BOTH}, w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN 1 ELSE 0 END) AS s, max(CASE WHEN retriever = 'dense' THEN 1 ELSE 0 END) AS d FROM rk WHERE rank <= 10 GROUP BY query_id, doc_id)
+SELECT query_id, CAST(sum(s * d) AS BIGINT) AS shared, CAST(sum(s * (1 - d)) AS BIGINT) AS sparse_only, CAST(sum(d * (1 - s)) AS BIGINT) AS dense_only, sum(s * d) / 10.0 AS overlap FROM w GROUP BY query_id""",
+        "metrics_at_k": f"WITH {_DENSE}, {_QREL} {_at_k(5)} UNION ALL {_at_k(10)} UNION ALL {_at_k(20)}",
+        "grid_search": f"{_GRID} SELECT config, round(avg(objective), 6) AS objective, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM ob GROUP BY config",
+        "best_by_type": f"""{_GRID} SELECT kind, config, round(objective, 6) AS objective, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY objective DESC, config) AS i FROM (
+SELECT query_id % {KINDS} AS kind, config, round(avg(objective), 9) AS objective, count(*) AS n FROM ob GROUP BY kind, config)) WHERE i = 1""",
+        "loo_cv": f"""{_GRID}, un AS (SELECT config, query_id, round(objective, 9) AS objective, CAST(round(objective * 1e9) AS BIGINT) AS o FROM ob),
+ot AS (SELECT a.config, a.query_id, any_value(a.objective) AS test, sum(b.o) AS others, count(*) AS n FROM un a JOIN un b ON a.config = b.config AND a.query_id <> b.query_id GROUP BY a.config, a.query_id)
+SELECT query_id, config, round(others / n / 1e9, 6) AS train, round(test, 6) AS test FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY others DESC, config) AS i FROM ot) WHERE i = 1""",
+        "group_concat_ordered": f"SELECT conv_id, md5(text) AS digest, CAST(n AS INTEGER) AS n FROM ({_CHUNKS})",
+        "asof_page": f"""WITH c AS ({_CHUNKS}), o AS (SELECT conv_id, unnest(range(0, length(text) + 1, 100)) AS at FROM c),
+b AS (SELECT conv_id, turn AS page, coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations)
+SELECT o.conv_id, o.at, max_by(b.page, b.start) AS page FROM o JOIN b ON b.conv_id = o.conv_id AND b.start <= o.at GROUP BY o.conv_id, o.at""",
+        "dup_latest": f"SELECT o_custkey, kept, superseded FROM ({_DUP}) WHERE n > 1",
+        "anti_superseded": f"SELECT o_custkey, superseded AS o_orderkey FROM ({_DUP}) WHERE n = 1",
+        "first_occurrence": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
+        "ref_resolution": """WITH n AS (SELECT s_suppkey AS norm_id, s_nationkey AS nation, s_suppkey % 5 AS number, CAST(s_suppkey % 7 AS VARCHAR) AS org, CAST(s_suppkey % 11 AS VARCHAR) AS w2 FROM supplier),
+r AS (SELECT c_custkey AS ref_id, c_nationkey AS nation, c_custkey % 5 AS number, CAST(c_custkey % 7 AS VARCHAR) AS src, CAST(c_custkey % 13 AS VARCHAR) AS word FROM customer),
+c AS (SELECT ref_id, count(norm_id) AS n, min(norm_id) AS lone, min(CASE WHEN org = word OR w2 = word THEN norm_id END) AS fuzzy, count(CASE WHEN org = src THEN 1 END) AS own, min(CASE WHEN org = src THEN norm_id END) AS own_id FROM r LEFT JOIN n USING (nation, number) GROUP BY ref_id)
+SELECT ref_id, CASE WHEN n = 1 THEN lone WHEN fuzzy IS NOT NULL THEN fuzzy WHEN own = 1 THEN own_id END AS norm_id,
+  CASE WHEN n = 0 THEN 'unresolved' WHEN n = 1 THEN 'exact' WHEN fuzzy IS NOT NULL THEN 'fuzzy' WHEN own = 1 THEN 'source_org' ELSE 'ambiguous' END AS confidence FROM c""",
+        "clean_text": rf"SELECT doc_id, md5({_CLEAN}) AS digest, CAST(len(regexp_extract_all({_CLEAN}, '[^ \t\n\r\f\x0B]+')) AS INTEGER) AS n_words FROM documents",
+        "word_windows": r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, greatest(1, CAST(ceil((len(ws) - 60) / 320.0) AS BIGINT)))) AS part FROM w WHERE len(ws) > 0)
+SELECT doc_id, CAST(part AS INTEGER) AS part, md5(array_to_string(ws[part * 320 + 1 : part * 320 + 380], ' ')) AS digest, printf('%d__f%03d', doc_id, part) AS fragment_id FROM p""",
+        "context_budget": f"""WITH {_bm25()}, f AS (SELECT bm.query_id, rank, '[Fuente ' || rank || ']' || chr(10) || coalesce(d.text, '') AS block FROM bm JOIN documents d USING (doc_id) WHERE rank <= 8),
+g AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM f)
+SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS digest, CAST(count(*) AS INTEGER) AS n_sources FROM g WHERE i = 1 OR total <= 12000 GROUP BY query_id""",
+        "summary_rollup": f"""WITH {_DENSE}, {_QREL}, m AS (SELECT *, query_id % {KINDS} AS kind FROM ({_metrics('dn', 'query_id', 10)}))
+SELECT kind, round(avg(recall), 6) AS recall, round(stddev_samp(recall), 6) AS sd, count(*) AS n FROM m GROUP BY ROLLUP (kind)""",
+        "vocabulary": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS term FROM documents) WHERE length(term) > 2 GROUP BY term",
+        "interaction_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "fuse_rrf": f"{_BOTH} {_wide('1.0 / (rank + 60)', 's + d')}",
+        "fuse_borda": f"{_BOTH} {_wide(f'CAST(count(*) {_W} - rank + 1 AS DOUBLE)', 's + d')}",
+        "fuse_combsum": f"{_BOTH} {_wide(_NORM['minmax'], 's + d')}",
+        "fuse_combmnz": f"{_BOTH} {_wide(_NORM['minmax'], '(CAST(s > 0 AS INTEGER) + CAST(d > 0 AS INTEGER)) * (greatest(s, 0.0) + greatest(d, 0.0))')}",
+        "fuse_weighted": f"{_BOTH} {_wide(_NORM['minmax'], '0.5 * s + (1 - 0.5) * d')}",
+    }
+    out |= {f"norm_{n}": f"WITH {_bm25()} SELECT query_id, doc_id, round({v}, 6) AS norm FROM bm" for n, v in _NORM.items()}
+    return out
