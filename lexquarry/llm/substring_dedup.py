@@ -30,7 +30,7 @@ from lexquarry.llm.common import NULL_ID, U64, by_bytes, coarse, coded_words, ha
 K = 50
 M = 4
 SKETCH = 1 << 18
-WINDOWS_A_BUCKET = 400_000
+WINDOWS_A_BUCKET = 200_000
 SENT = "bucket long, blob binary"
 GONE = "key long, doc_id long, windows binary"
 
@@ -122,7 +122,7 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     rank = coarse(counts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, most=16 << 20):
+        for batch in by_bytes(batches, most=6 << 20):
             keys, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
             bounds, codes, words = coded_words(text_array(batch.column("text")))
             at, rows = window_rows(bounds, k)
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     gone = repeated_windows(keyed, k, m).groupBy("key", "doc_id").agg(F.collect_list("windows").alias("windows"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=4 << 20):
             bounds, words = split_words(text_array(batch.column("text")))
             lost = np.zeros(len(words) + 1, dtype=np.int64)
             for i, runs in enumerate(batch.column("windows").to_pylist()):
