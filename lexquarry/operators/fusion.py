@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST = Window.partitionBy("query_id", "retriever")
+def lists():
+    return Window.partitionBy("query_id", "retriever")
+
 
 
 def minmax(s: Column, w) -> Column:
@@ -61,18 +63,18 @@ def rrf(rankings: DataFrame, retrievers: list[str], top: int = 10, k: float = 60
 
 
 def borda(rankings: DataFrame, retrievers: list[str], top: int = 10) -> DataFrame:
-    w = wide(rankings, (F.count("*").over(LIST) - F.col("rank") + 1).cast("double"), retrievers)
+    w = wide(rankings, (F.count("*").over(lists()) - F.col("rank") + 1).cast("double"), retrievers)
     return best(w.withColumn("score", added([zero(r) for r in retrievers])), top)
 
 
 def combsum(rankings: DataFrame, retrievers: list[str], top: int = 10, normalizer: str = "minmax") -> DataFrame:
-    w = wide(rankings, get_normalizer(normalizer)(F.col("score"), LIST), retrievers)
+    w = wide(rankings, get_normalizer(normalizer)(F.col("score"), lists()), retrievers)
     return best(w.withColumn("score", added([zero(r) for r in retrievers])), top)
 
 
 def combmnz(rankings: DataFrame, retrievers: list[str], top: int = 10, normalizer: str = "minmax") -> DataFrame:
     """Only positive normalized scores count and add."""
-    w = wide(rankings, get_normalizer(normalizer)(F.col("score"), LIST), retrievers)
+    w = wide(rankings, get_normalizer(normalizer)(F.col("score"), lists()), retrievers)
     positive = [F.greatest(zero(r), F.lit(0.0)) for r in retrievers]
     return best(w.withColumn("score", added([(p > 0).cast("int") for p in positive]) * added(positive)), top)
 
@@ -87,14 +89,14 @@ def weighted(rankings: DataFrame, retrievers: list[str], top: int = 10, alpha: f
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be from 0 to 1")
     need(retrievers, sparse, dense)
-    w = wide(rankings, get_normalizer(normalizer)(F.col("score"), LIST), retrievers)
+    w = wide(rankings, get_normalizer(normalizer)(F.col("score"), lists()), retrievers)
     return best(w.withColumn("score", alpha * zero(sparse) + (1 - alpha) * zero(dense)), top)
 
 
 def hybridrank(rankings: DataFrame, retrievers: list[str], top: int = 10, alpha: float = 0.7, beta: float = 0.2, k: float = 10, normalizer: str = "minmax", rrf_normalizer: str = "minmax", sparse: str = "bm25", dense: str = "dense") -> DataFrame:
     """beta * normalized RRF over the union + (1 - beta) * weighted normalized scores."""
     need(retrievers, sparse, dense)
-    norm, rank = get_normalizer(normalizer)(F.col("score"), LIST), 1.0 / (F.col("rank") + k)
+    norm, rank = get_normalizer(normalizer)(F.col("score"), lists()), 1.0 / (F.col("rank") + k)
     rows = rankings.withColumn("norm", norm).withColumn("rr", rank)
     columns = [F.max(F.when(F.col("retriever") == r, F.col("rr"))).alias(f"rr_{r}") for r in retrievers]
     columns += [F.max(F.when(F.col("retriever") == r, F.col("norm"))).alias(f"s_{r}") for r in (sparse, dense)]

@@ -50,7 +50,7 @@ def fused(name, **kw):
 
 def normalized(name):
     def query(spark, d):
-        score = fusion.get_normalizer(name)(F.col("score"), fusion.LIST)
+        score = fusion.get_normalizer(name)(F.col("score"), fusion.lists())
         return sparse(spark, d).select("query_id", "doc_id", F.round(score, 6).alias("norm"))
 
     return query
