@@ -31,6 +31,8 @@ DIM = 8
 SPAN = 3
 LABELLED = 8_000
 EPOCHS = 14
+BATCH = 64
+STEPS = 1000  # few labelled rows are gone through more often, up to 60 times
 CUT = 0.7
 TRIM = ".,;:!?\"'()[]{}<>*&%$#|~`+=_/\\-"
 
@@ -111,6 +113,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     at = bounds[row] + start
     class_weight = len(labels) / 2 / np.maximum(1, np.bincount(labels, minlength=2))
     g_emb, g_weight, g_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    epochs = max(epochs, min(60, -(-STEPS * BATCH // (2 * len(labels)))))
     for epoch in range(epochs):
         margin = emb @ (weight[:, 1] - weight[:, 0])
         each = np.add.reduceat(margin[f], begin) / n
@@ -124,8 +127,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         # in the first rounds every passage of a toxic text counts, as the highest says nothing yet
         picked = np.concatenate([chosen, other]) if epoch >= 3 else np.concatenate([np.flatnonzero(labels[row] == 1), chosen, other])
         rng.shuffle(picked)
-        for i in range(0, len(picked), 256):
-            p = picked[i : i + 256]
+        for i in range(0, len(picked), BATCH):
+            p = picked[i : i + BATCH]
             w_index = codes[np.repeat(at[p], size[p]) + spans(size[p])]
             owner = np.repeat(np.arange(len(p)), size[p])
             f_n = n[w_index]
