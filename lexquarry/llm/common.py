@@ -42,9 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def kept_table(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder and read it again (compressed, for wide rows)."""
+    """Write a table in the shared folder and read it again. Cuts the lineage; small files are read together, so tables that
+    loops make from one another do not gather partitions as checkpoints would."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/lexquarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -231,16 +232,19 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     A node with very many links (the centre of a large group) is only a join key whose partition adaptive execution
     splits, and an aggregation key that is combined before the shuffle. Self links and repeated links are allowed.
     """
-    now = cut(edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a < b").distinct())
-    while True:
+    def summary(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+
+    now = kept_table(edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a < b").distinct())
+    seen = summary(now)
+    while seen[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
-        after = cut(small.select("e.a", "e.b").where("a < b").distinct())
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first() for x in (now, after)]
-        now = after
-        if sums[0] == sums[1]:
+        now = kept_table(small.select("e.a", "e.b").where("a < b").distinct())
+        last, seen = seen, summary(now)
+        if last == seen:
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -36,7 +36,7 @@ PERCENT = 75
 SKETCH = 1 << 18
 POSTINGS_A_BUCKET = 600_000
 FREQUENT = 1 << 17  # a token whose counter is above this is not tested for being shared
-ROUNDS = 4  # linear rounds before the exact last one
+ROUNDS = 2  # linear rounds before the exact last one; later ones found next to nothing
 NAMES = ["kind", "key", "doc_id", "node", "n", "token", "pos", "pivot", "pivot_n", "pivot_pos"]
 ROWS = "kind int, " + ", ".join(f"{c} long" for c in NAMES[1:])
 
@@ -201,6 +201,19 @@ def similar_sizes(n, m, pos, qos, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (1 + F.least(n - pos - 1, m - qos - 1) >= need)
 
 
+def renamed(rows: DataFrame, step: DataFrame, column: str) -> DataFrame:
+    """`rows` with the component in `column` replaced by that which it joined in `step` (node, component)."""
+    joined = step.select(F.col("node").alias(column), F.col("component").alias("joined"))
+    return rows.join(joined, column, "left").withColumn(column, F.coalesce("joined", column)).select(*rows.columns)
+
+
+def between(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) of classes as links of the components (node, component) that they are in."""
+    for end in ("a", "b"):
+        links = renamed(links, parts, end)
+    return links.where("a <> b").distinct()
+
+
 def link_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """key, doc_id, n, component (a class, null without shingles) for every row of `docs` (doc_id, text)."""
     keyed = docs.select(hashed_id().alias("key"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -212,43 +225,46 @@ def link_classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFra
     passed = found.where("kind = 2").groupBy("token", "node").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
     heads = passed.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "pos")).alias("head")).where("size > 1")
     passed = passed.join(heads, "token").select("token", "node", "n", "pos", *(F.col(f"head.{c}").alias(a) for c, a in (("node", "pivot"), ("n", "pivot_n"), ("pos", "pivot_pos"))))
-    posted = posted.unionByName(passed)
+    posted = kept_table(posted.unionByName(passed))
     needed = info.join(posted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     texts = kept_table(packed_texts(keyed.select("key", "text").join(needed, "key").dropDuplicates(["key"])))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    tried = posted.where("node <> pivot").where(similar_sizes(F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos"), percent))
-    tried = cut(candidates(tried.select(F.col("pivot").alias("x"), F.col("node").alias("y"))))
-    links = cut(verified(tried, texts, k, percent))
-    at = posted.select("token", "node", "n", "pos")
-    for turn in range(ROUNDS + 1):
-        parts = components(links)
+    fits = similar_sizes(F.col("n"), F.col("pivot_n"), F.col("pos"), F.col("pivot_pos"), percent)
+    tried = posted.where("node <> pivot").where(fits)
+    tried = kept_table(candidates(tried.select(F.col("pivot").alias("x"), F.col("node").alias("y"))))
+    parts = kept_table(components(verified(tried, texts, k, percent)))
+    at = posted.select("token", "node", "n", "pos").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    fits = similar_sizes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent)
+    turn, linear = 0, True
+    while True:
         # the tokens whose classes are not yet in one component
-        at = at.join(parts, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
         sizes = at.groupBy("token", "part").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos")).alias("head"))
         sizes = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part", "head")).alias("most")).where("parts > 1")
         sizes = sizes.select("token", F.col("most.part").alias("largest"), *(F.col(f"most.head.{c}").alias(f"{c}2") for c in ("node", "n", "pos")))
-        at = cut(at.join(sizes, "token"))
+        at = kept_table(at.join(sizes, "token").select("token", "node", "n", "pos", "part", "largest", "node2", "n2", "pos2"))
         if at.isEmpty():
             break
-        fits = similar_sizes(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), percent)
         others = at.where("part <> largest")
-        if turn < ROUNDS:
+        if linear:
             # each class outside a token's largest component against one class inside it, another one at each turn
             rest = others.where(fits)
         else:
             # every pair of different components
             others = others.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "part")))
             rest = at.drop("node2", "n2", "pos2").join(others, "token").where("part <> part2 and (part = largest or node < node2)").where(fits)
-        rest = cut(candidates(rest.select(F.col("node").alias("x"), F.col("node2").alias("y"))).join(tried, ["a", "b"], "left_anti"))
-        at = at.select("token", "node", "n", "pos")
-        if turn < ROUNDS and rest.isEmpty():
-            continue
-        more = cut(verified(rest, texts, k, percent))
-        tried, links = tried.union(rest), links.union(more)
-    parts = components(links)
+        rest = kept_table(candidates(rest.select(F.col("node").alias("x"), F.col("node2").alias("y"))).join(tried, ["a", "b"], "left_anti"))
+        step = kept_table(components(between(verified(rest, texts, k, percent), parts)))
+        parts = kept_table(renamed(parts, step, "component").unionByName(step))
+        if not linear:
+            break
+        turn += 1
+        # a round that finds no link, or the last of the linear ones, hands over to the exact one
+        linear = turn < ROUNDS and not step.isEmpty()
+        tried = tried.union(rest)
+        at = renamed(at.select("token", "node", "n", "pos", "part"), step, "part")
     rows = info.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     # a document without a set is alone
     return rows.select("key", "doc_id", "n", F.when(F.col("n") > 0, F.col("part")).alias("component"))
