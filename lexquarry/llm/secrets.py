@@ -182,8 +182,8 @@ def trained(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> list:
 # ---------------------------------------------------------------- scanning
 
 
-def scanned(docs: DataFrame, trees: list, path: str = "source") -> DataFrame:
-    """`docs` with `findings`: array of (word_index, core, score), an empty array where there is nothing."""
+def scanned(docs: DataFrame, trees: list, path: str = "source", to: str = "findings") -> DataFrame:
+    """`docs` with the column `to`: array of (word_index, core, score), an empty array where there is nothing."""
     text = F.coalesce("text", F.lit(""))
     where = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
     words = F.split(text, SPACE)
@@ -209,7 +209,7 @@ def scanned(docs: DataFrame, trees: list, path: str = "source") -> DataFrame:
     likely = text.rlike("[0-9]") & text.rlike(WITH_DIGIT)
     # arrays of one element carry the words and the raw findings, so that each is computed once
     raw = F.flatten(F.transform(F.array(words), all_of))
-    return docs.withColumn("findings", F.when(likely, judged(raw)).otherwise(nothing))
+    return docs.withColumn(to, F.when(likely, judged(raw)).otherwise(nothing))
 
 
 def findings(docs: DataFrame, trees: list | None = None) -> DataFrame:
@@ -225,8 +225,11 @@ def findings(docs: DataFrame, trees: list | None = None) -> DataFrame:
 def redact(docs: DataFrame, trees: list | None = None) -> DataFrame:
     """`docs` with every secret in the text replaced by MASK; all columns stay. A null text stays null."""
     trees = trees or trained(docs.sparkSession)
-    secrets = F.sort_array(F.array_distinct(F.transform(F.filter("findings", lambda c: c["score"] >= CUT), lambda c: F.struct(F.length(c["core"]).alias("n"), c["core"].alias("core")))), False)
-    out = scanned(docs, trees).withColumn("text", F.aggregate(secrets, F.col("text"), lambda t, s: F.replace(t, s["core"], F.lit(MASK))))
+    own = "findings"
+    while own in docs.columns:
+        own += "_"
+    secrets = F.sort_array(F.array_distinct(F.transform(F.filter(own, lambda c: c["score"] >= CUT), lambda c: F.struct(F.length(c["core"]).alias("n"), c["core"].alias("core")))), False)
+    out = scanned(docs, trees, to=own).withColumn("text", F.aggregate(secrets, F.col("text"), lambda t, s: F.replace(t, s["core"], F.lit(MASK))))
     return out.select(*docs.columns)
 
 

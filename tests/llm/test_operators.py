@@ -181,7 +181,8 @@ def test_secrets(spark):
     found = secrets.findings(docs.drop("findings")).collect()
     assert {(r.doc_id, r.finding_length) for r in found if r.is_secret} == {(1, 40), (5, 18), (5, 20)}
     assert {(r.doc_id, r.finding_length) for r in found if not r.is_secret} == {(2, 40), (5, 16)}
-    text = {r.doc_id: r.text for r in secrets.redact(docs.drop("findings")).collect()}
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert {r.findings for r in secrets.redact(docs).collect()} == {7, 8, 9, 1, 2}
     assert text[1] == 'a token = "[SECRET]" b' and text[3] is None and sha in text[2]
 
 
