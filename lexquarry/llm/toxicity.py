@@ -79,11 +79,10 @@ def sigmoid(x):
 
 
 class Model:
-    """embedding: BUCKETS x DIM; weight: DIM x 2; bias: 2. `margin` holds each feature's part of the score, as the softmax is linear."""
+    """`margin` holds each feature's part of the score, as the softmax over the embeddings is linear; `bias` the rest."""
 
-    def __init__(self, embedding: np.ndarray, weight: np.ndarray, bias: np.ndarray):
-        self.margin = (embedding @ (weight[:, 1] - weight[:, 0])).astype(np.float32)
-        self.bias = float(bias[1] - bias[0])
+    def __init__(self, margin: np.ndarray, bias: float):
+        self.margin, self.bias = margin, bias
 
     def word_margins(self, words: pa.Array) -> np.ndarray:
         f, n = features(words)
@@ -156,25 +155,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
             weight -= 0.1 * gw / np.sqrt(g_weight)
             bias -= 0.05 * gb / np.sqrt(g_bias)
         bias -= 0.02 * np.array([-1, 1]) * sigmoid(bias[1] - bias[0])  # the empty text of class 0
-    return Model(emb, weight, bias)
+    return Model((emb @ (weight[:, 1] - weight[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list:
-    """At most `most` training rows (text, toxic), at most half of them of a class."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """Training rows (doc_id, text, toxic) of at most `most` labelled documents, at most half of them of a class."""
     rows = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in (0, 1)]
     ids = F.broadcast(ids[0].union(ids[1]))  # bounded by `most`
-    return docs.where(~held_out()).join(ids, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
+    return docs.where(~held_out()).join(ids, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model | None:
-    rows = sorted(labelled(docs, labels, most), key=lambda r: (r.doc_id, r.text))
-    y = np.array([r.toxic for r in rows], dtype=np.int64)
-    return train([r.text for r in rows], y) if len(set(y.tolist())) == 2 else None
+    """The model, trained in one task of the cluster on the bounded sample; the driver gets one vector of BUCKETS numbers."""
+
+    def learn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: r[:2])
+        y = np.array([r[2] for r in rows], dtype=np.int64)
+        if len(set(y.tolist())) == 2:
+            model = train([r[1] for r in rows], y)
+            yield pa.RecordBatch.from_arrays([pa.array([model.margin.tobytes()], pa.binary()), pa.array([model.bias])], ["margin", "bias"])
+
+    sample = labelled(docs, labels, most).withColumn("one", F.lit(1))
+    found = sample.groupBy("one").applyInArrow(learn, "margin binary, bias double").collect()
+    return Model(np.frombuffer(bytes(found[0].margin), dtype=np.float32), found[0].bias) if found else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
