@@ -2,7 +2,7 @@
 
 1. A pass over all documents counts hashed M-word grams: an order of grams from rare to frequent.
 2. Each task hashes its K-word windows. A window whose words also start in a smaller document of the same task is decided
-   there; of each distinct window only its first document travels. Consecutive travelling windows that share a minimiser
+   there; of each distinct window all occurrences in its first document travel. Consecutive travelling windows that share a minimiser
    (the window's first gram in the order) are one super-k-mer, packed as one string of words for its minimiser's bucket. With rare
    grams first, the windows at the edge of a very common passage take grams that reach out of it and spread over buckets.
 3. A bucket numbers its words, sorts its windows by hash, compares the words of equal hashes exactly, and sends the
@@ -65,10 +65,10 @@ def unpack_super_kmers(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def repeated(order_key: np.ndarray, docs: np.ndarray, at: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(windows that also start in a smaller document, windows that are the first of their words): both as flags.
+    """(windows that also start in a smaller document, windows in the first document of their words): both as flags.
 
     order_key: hashes of the windows; at: where each starts in codes. Equal hashes are compared word by word with the first
-    of their group; a window whose words differ from it (a collision) counts as first, and a second pass settles such ones.
+    of their group; windows whose words differ from it (a collision) are settled by another pass.
     """
     n = len(order_key)
     again, first = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
@@ -83,9 +83,9 @@ def repeated(order_key: np.ndarray, docs: np.ndarray, at: np.ndarray, codes: np.
         equal = np.ones(len(order), dtype=bool)
         for i in range(k) if len(follows) else ():
             equal[follows] &= codes[at[order[follows]] + i] == codes[at[head[follows]] + i]
-        first[order[new]] = True
-        same = order[equal & ~new]
-        again[same] = docs[same] > docs[head[equal & ~new]]
+        same, least = order[equal], docs[head[equal]]
+        again[same] = docs[same] > least
+        first[same] = docs[same] == least
         todo = order[~equal]
     return again, first
 

@@ -217,3 +217,30 @@ def test_empty_tables(spark, docs):
     assert mixing.taken(none).count() == 0
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
     assert media.features(media.media_column(none)).count() == 0
+
+
+def test_substring_repeats_inside_a_document(spark):
+    """A document in a block of its own holds a passage twice, and lines over and over, that a smaller doc_id of another block has."""
+    k = 12
+    passage, line = [f"p{i}" for i in range(20)], [f"l{i}" for i in range(5)]
+    own = lambda i: [f"d{i}x{j}" for j in range(15)]
+    rows = [
+        (1, own(1) + passage + own(11) + line * 4),
+        (2, own(2) + passage + own(12) + passage + own(22)),
+        (3, line * 10 + own(3)),
+        (4, passage + own(4)),
+        (4, own(14) + passage + passage),
+    ]
+    first = {}
+    for i, w in rows:
+        for j in range(len(w) - k + 1):
+            first[tuple(w[j : j + k])] = min(i, first.get(tuple(w[j : j + k]), i))
+    want = []
+    for i, w in rows:
+        gone = {j + x for j in range(len(w) - k + 1) if first[tuple(w[j : j + k])] < i for x in range(k)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    texts = [(i, " ".join(w)) for i, w in rows]
+    for parts in ([[t] for t in texts], [texts[:1], texts[1:3], texts[3:]]):
+        data = spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda p: p)
+        got = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), k=k).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
