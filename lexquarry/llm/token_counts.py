@@ -89,8 +89,9 @@ class Counter:
     def counts(self, units: list[str]) -> np.ndarray:
         self.learn_characters(units)
         find, odd = self.find, self.odd | {MARK}
-        # Units that begin with white space keep their pre-tokens when they stand in one text; the others come last, apart.
-        loose = [i for i, u in enumerate(units) if u[:1] not in SPACES]
+        # Units that begin with white space and end in something else keep their pre-tokens when they stand in one text (white
+        # space at an end, ASCII or not, would run into the next unit's); the others come last, apart.
+        loose = [i for i, u in enumerate(units) if u[:1] not in SPACES or u[-1:].isspace()]
         apart = set(loose)
         order = [i for i in range(len(units)) if i not in apart] if loose else range(len(units))
         pieces = find("".join([units[i] for i in order]))

@@ -244,3 +244,19 @@ def test_substring_repeats_inside_a_document(spark):
         data = spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda p: p)
         got = substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), k=k).collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_token_counts_white_space_at_the_end(spark):
+    """Units that end in white space, in one batch with units that begin with it."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    texts = ["a b\n", "c\n\nfoo", "d\n\n", "e x\n", " \n ", "\t", "f  ", "g \t", "h　", "i j\xa0", "k  m", "\n\n\n  n", "o \x85", "p  q", "\n"]
+    want = {(i, len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+    for order in (list(enumerate(texts)), list(enumerate(texts))[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert {tuple(r)[:3] for r in token_counts.count_tokens(docs, path).collect()} == want
+    counter = token_counts.Counter(path, token_counts._proven(path))
+    for units in (["\n", "\n\nfoo"], ["\n", "\n\n", " x"], [" x　", "\n y"], [" j\xa0", "  z", "w"]):
+        assert counter.counts(units).tolist() == [counter.library(u) for u in units]
