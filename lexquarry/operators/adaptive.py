@@ -16,6 +16,9 @@ PATTERNS = {
     "has_multi_hop": r"(?i)(qué norma.*y qué|que norma.*y que|qué norma.*establece|que norma.*establece|qué resolución.*deroga|que resolucion.*deroga|modifica|deroga|complementa|relación entre|relacion entre|cuál.*y cuál|cual.*y cual|qué norma crea.*y qué|que norma crea.*y que)",
 }
 ALPHAS, BETAS, KS, NORMALIZERS = (0.5, 0.6, 0.7, 0.8, 0.9), (0.0, 0.1, 0.2, 0.3, 0.4, 0.5), (10, 20, 40, 60, 100), ("minmax", "zscore")
+CANDIDATES, WEIGHTED_ALPHAS, WEIGHTED_CANDIDATES = 50, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), (20, 50, 100)
+#: Hybrid rank with alpha 0.7, beta 0.2, k 10, minmax: its ordinal in the whole space; a type of fewer than LEAST queries takes it.
+FALLBACK, LEAST = 140, 3
 
 
 def signals(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -41,31 +44,38 @@ def rule_type() -> tuple[Column, Column]:
     return kind.otherwise(TYPES[5]), sure.otherwise(0.55)
 
 
-def search_space(spark: SparkSession, alphas=ALPHAS, betas=BETAS, ks=KS, normalizers=NORMALIZERS) -> DataFrame:
-    """config (its ordinal), alpha, beta, k, normalizer: the hybrid rank configurations, nested in this order."""
-    rows = [(a, b, k, n) for a in alphas for b in betas for k in ks for n in normalizers]
-    return spark.createDataFrame([(i, *map(float, r[:3]), r[3]) for i, r in enumerate(rows)], "config int, alpha double, beta double, k double, normalizer string")
+def search_space(spark: SparkSession, alphas=ALPHAS, betas=BETAS, ks=KS, normalizers=NORMALIZERS, weighted_alphas=WEIGHTED_ALPHAS, weighted_candidates=WEIGHTED_CANDIDATES) -> DataFrame:
+    """config (its ordinal), strategy, alpha, beta, k, normalizer, candidate_k: the hybrid rank configurations, nested in this order,
+    then the weighted ones (alpha, normalizer, candidate_k; beta and k are null). By default 300 and 54."""
+    rows = [("hybridrank", a, float(b), float(k), n, CANDIDATES) for a in alphas for b in betas for k in ks for n in normalizers]
+    rows += [("weighted", a, None, None, n, c) for a in weighted_alphas for n in normalizers for c in weighted_candidates]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "config int, strategy string, alpha double, beta double, k double, normalizer string, candidate_k int")
 
 
 def fuse_configs(rankings: DataFrame, configs: DataFrame, top: int = 10, sparse: str = "bm25", dense: str = "dense") -> DataFrame:
-    """config, query_id, doc_id, score, rank: hybrid rank fusion of every configuration over candidates that are retrieved once.
+    """config, query_id, doc_id, score, rank: fusion by every configuration over candidates that are retrieved once.
 
-    `configs` is a table of a few hundred rows by construction, which is broadcast.
+    Scores are normalized over the first candidate_k of each list, so `rankings` must reach to the largest one. `configs` is a
+    table of a few hundred rows by construction, which is broadcast. Its product with the candidates is dealt out by query
+    beforehand, as the product itself is large.
     """
-    lists = Window.partitionBy("query_id", "retriever")
+    lists = Window.partitionBy("candidate_k", "query_id", "retriever")
+    rankings = rankings.join(F.broadcast(configs.select("candidate_k").distinct()), F.col("rank") <= F.col("candidate_k"))
     s = F.col("score")
     lo, hi, sd = F.min(s).over(lists), F.max(s).over(lists), F.stddev_pop(s).over(lists)
     rows = rankings.withColumn("mm", F.when(hi == lo, 1.0).otherwise((s - lo) / F.nullif(hi - lo, F.lit(0.0)))).withColumn("zs", F.when((sd == 0) | (hi == lo), 0.0).otherwise((s - F.avg(s).over(lists)) / F.nullif(sd, F.lit(0.0))))
     pick = lambda r, c: F.max(F.when(F.col("retriever") == r, F.col(c)))
-    docs = rows.groupBy("query_id", "doc_id").agg(*(pick(r, c).alias(f"{c}_{r}") for r in (sparse, dense) for c in ("mm", "zs", "rank")))
-    c = docs.crossJoin(F.broadcast(configs))
+    docs = rows.groupBy("candidate_k", "query_id", "doc_id").agg(*(pick(r, c).alias(f"{c}_{r}") for r in (sparse, dense) for c in ("mm", "zs", "rank")))
+    width = int(rankings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = docs.repartition(width, "query_id").join(F.broadcast(configs), "candidate_k")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     c = c.withColumn("rr", zero(1 / (F.col("k") + F.col(f"rank_{sparse}"))) + zero(1 / (F.col("k") + F.col(f"rank_{dense}"))))
     union = Window.partitionBy("config", "query_id")
     r, rlo, rhi = F.col("rr"), F.min("rr").over(union), F.max("rr").over(union)
     c = c.withColumn("u", F.when(rhi == rlo, 1.0).otherwise((r - rlo) / F.nullif(rhi - rlo, F.lit(0.0))))
     norm = lambda x: zero(F.when(F.col("normalizer") == "minmax", F.col(f"mm_{x}")).otherwise(F.col(f"zs_{x}")))
-    score = F.col("beta") * F.col("u") + (1 - F.col("beta")) * (F.col("alpha") * norm(sparse) + (1 - F.col("alpha")) * norm(dense))
+    linear = F.col("alpha") * norm(sparse) + (1 - F.col("alpha")) * norm(dense)
+    score = F.when(F.col("strategy") == "weighted", linear).otherwise(F.col("beta") * F.col("u") + (1 - F.col("beta")) * linear)
     c = c.withColumn("score", F.round(score, 9))
     order = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "doc_id")
     return c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("config", "query_id", "doc_id", "score", "rank")
@@ -79,6 +89,15 @@ def best_config(objectives: DataFrame, by: list[str], least: int = 0) -> DataFra
     return mean.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def policy(objectives: DataFrame, by: list[str], least: int = LEAST, fallback: int = FALLBACK) -> DataFrame:
+    """by, config, objective, n, fallback: as best_config, but groups of fewer than `least` queries take the configuration `fallback`."""
+    mean = objectives.groupBy(*by, "config").agg(F.round(F.avg("objective"), 9).alias("objective"), F.count("*").alias("n"))
+    few = F.col("n") < least
+    order = Window.partitionBy(*by).orderBy(F.desc("objective"), "config")
+    left = mean.withColumn("fallback", few).where(~few | (F.col("config") == fallback))
+    return left.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def leave_one_out(objectives: DataFrame) -> DataFrame:
     """query_id, config, train, test: for each query the configuration that is best on all others, and its objective on the query.
 

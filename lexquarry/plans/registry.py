@@ -23,18 +23,18 @@ def items(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def sparse(spark, d, **kw) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), items(spark, d), TOP, **kw)
+def sparse(spark, d, top=TOP, **kw) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "documents"), items(spark, d), top, **kw)
 
 
-def near(spark, d) -> DataFrame:
+def near(spark, d, top=TOP) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     q = v.where("doc_id % 50 = 0").select(F.expr("doc_id div 50").alias("query_id"), "embedding")
-    return retrieval.dense(v, q, TOP)
+    return retrieval.dense(v, q, top)
 
 
-def rankings(spark, d) -> DataFrame:
-    return sparse(spark, d).unionByName(near(spark, d))
+def rankings(spark, d, top=TOP) -> DataFrame:
+    return sparse(spark, d, top).unionByName(near(spark, d, top))
 
 
 def qrels(spark, d) -> DataFrame:
@@ -67,18 +67,23 @@ def at_k(spark, d) -> DataFrame:
 
 
 def small_space(spark) -> DataFrame:
-    return adaptive.search_space(spark, alphas=(0.3, 0.7), betas=(0.0, 0.3), ks=(10, 60))
+    """16 configurations, as the SQL of the three queries over them has; the *_full queries take the whole space and have no SQL."""
+    return adaptive.search_space(spark, alphas=(0.3, 0.7), betas=(0.0, 0.3), ks=(10, 60), weighted_alphas=())
 
 
-def objectives(spark, d) -> DataFrame:
-    f = adaptive.fuse_configs(rankings(spark, d), small_space(spark))
+def objectives(spark, d, space=small_space, top=TOP) -> DataFrame:
+    f = adaptive.fuse_configs(rankings(spark, d, top), space(spark))
     q = qrels(spark, d)
     f = f.join(q.select("query_id").distinct(), "query_id", "left_semi")
     return metrics.metrics_at(f, q, 10, ("config", "query_id"))
 
 
-def grid(spark, d) -> DataFrame:
-    g = objectives(spark, d).groupBy("config").agg(F.avg("objective").alias("objective"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
+def full_objectives(spark, d) -> DataFrame:
+    return objectives(spark, d, adaptive.search_space, max(adaptive.CANDIDATES, *adaptive.WEIGHTED_CANDIDATES))
+
+
+def grid(spark, d, of=objectives) -> DataFrame:
+    g = of(spark, d).groupBy("config").agg(F.avg("objective").alias("objective"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
     return rounded(g)
 
 
@@ -86,8 +91,12 @@ def by_type(spark, d) -> DataFrame:
     return rounded(adaptive.best_config(objectives(spark, d).withColumn("kind", F.col("query_id") % KINDS), ["kind"]))
 
 
-def loo(spark, d) -> DataFrame:
-    return rounded(adaptive.leave_one_out(objectives(spark, d).select("config", "query_id", F.round("objective", 9).alias("objective"))))
+def by_type_full(spark, d) -> DataFrame:
+    return rounded(adaptive.policy(full_objectives(spark, d).withColumn("kind", F.col("query_id") % KINDS), ["kind"]))
+
+
+def loo(spark, d, of=objectives) -> DataFrame:
+    return rounded(adaptive.leave_one_out(of(spark, d).select("config", "query_id", F.round("objective", 9).alias("objective"))))
 
 
 def classified(spark, d) -> DataFrame:
@@ -186,6 +195,9 @@ def queries() -> dict:
         "grid_search": grid,
         "best_by_type": by_type,
         "loo_cv": loo,
+        "grid_search_full": lambda s, d: grid(s, d, full_objectives),
+        "best_by_type_full": by_type_full,
+        "loo_cv_full": lambda s, d: loo(s, d, full_objectives),
         "rule_classify": classified,
         "group_concat_ordered": lambda s, d: chunks(s, d).select("conv_id", F.md5("text").alias("digest"), F.size("boundaries").alias("n")),
         "asof_page": pages_of,
