@@ -16,6 +16,7 @@ from lexquarry.streaming.monitor import windowed
 
 BOTH = ["bm25", "dense"]
 TOP = 50
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 KINDS = 6  # query types of the evaluation: query_id % KINDS
 
 
@@ -124,9 +125,13 @@ def not_superseded(spark, d) -> DataFrame:
 
 
 def greedy(spark, d) -> DataFrame:
-    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("number"), F.expr("l_orderkey * 10 + l_linenumber").alias("lid"))
-    other = line.select("g", "kind", F.when(F.col("lid") % 3 > 0, F.col("number")).alias("number"), F.col("lid").alias("rid")).where("rid % 4 > 0")
-    return structure.greedy_match(line, other, "g", "kind", "number", "lid", "rid").groupBy("phase").agg(F.count("*").alias("n"), F.sum(F.expr("(lid * 7 + coalesce(rid, 0)) % 1000003")).alias("s"))
+    """Every order with the line of its key that it is matched to: by status and year, by status, or by place."""
+    o = table(spark, d, "orders")
+    left = o.select(F.col("o_orderkey").alias("g"), F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("number"), F.col("o_orderkey").alias("lid"))
+    line = table(spark, d, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))  # line numbers repeat
+    right = line.select(F.col("l_orderkey").alias("g"), F.col("l_linestatus").alias("kind"), F.year("l_shipdate").alias("number"), (F.col("l_orderkey") * 1_000_000 + n).alias("rid"))
+    return structure.greedy_match(left, right, "g", "kind", "number", "lid", "rid")
 
 
 def references(spark, d) -> DataFrame:
@@ -333,6 +338,15 @@ b AS (SELECT conv_id, turn AS page, coalesce(sum(length(coalesce(text, '')) + 1)
 SELECT o.conv_id, o.at, max_by(b.page, b.start) AS page FROM o JOIN b ON b.conv_id = o.conv_id AND b.start <= o.at GROUP BY o.conv_id, o.at""",
         "dup_latest": f"SELECT o_custkey, kept, superseded FROM ({_DUP}) WHERE n > 1",
         "anti_superseded": f"SELECT o_custkey, superseded AS o_orderkey FROM ({_DUP}) WHERE n = 1",
+        "greedy_match": f"""WITH l AS (SELECT o_orderkey AS g, o_orderstatus AS kind, year(o_orderdate) AS number, o_orderkey AS lid FROM orders),
+r AS (SELECT l_orderkey AS g, l_linestatus AS kind, year(l_shipdate) AS number, l_orderkey * 1000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(f"{c} NULLS FIRST" for c in LINE_ORDER)}) AS rid FROM lineitem),
+a AS (SELECT x.g, lid, rid FROM (SELECT *, row_number() OVER (PARTITION BY g, kind, number ORDER BY lid) AS n FROM l) x JOIN (SELECT *, row_number() OVER (PARTITION BY g, kind, number ORDER BY rid) AS n FROM r) y USING (g, kind, number, n)),
+l1 AS (SELECT * FROM l ANTI JOIN a USING (lid)), r1 AS (SELECT * FROM r ANTI JOIN a USING (rid)),
+b AS (SELECT x.g, lid, rid FROM (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY lid) AS n FROM l1) x JOIN (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY rid) AS n FROM r1) y USING (g, kind, n)),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY lid) AS n, count(*) OVER (PARTITION BY g) AS size FROM l1 ANTI JOIN b USING (lid)),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rid) AS n, count(*) OVER (PARTITION BY g) AS size FROM r1 ANTI JOIN b USING (rid)),
+c AS (SELECT x.g, lid, rid FROM l2 x JOIN r2 y USING (g, n, size))
+SELECT g, lid, rid, 'number' AS phase FROM a UNION ALL SELECT g, lid, rid, 'kind' FROM b UNION ALL SELECT g, lid, rid, 'place' FROM c UNION ALL SELECT g, lid, NULL, 'none' FROM l2 ANTI JOIN c USING (lid)""",
         "first_occurrence": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
         "ref_resolution": """WITH n AS (SELECT s_suppkey AS norm_id, s_nationkey AS nation, s_suppkey % 5 AS number, CAST(s_suppkey % 7 AS VARCHAR) AS org, CAST(s_suppkey % 11 AS VARCHAR) AS w2 FROM supplier),
 r AS (SELECT c_custkey AS ref_id, c_nationkey AS nation, c_custkey % 5 AS number, CAST(c_custkey % 7 AS VARCHAR) AS src, CAST(c_custkey % 13 AS VARCHAR) AS word FROM customer),
