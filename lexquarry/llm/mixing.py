@@ -28,7 +28,7 @@ MOST = 2.0
 BLOCK_TOKENS = 4096
 RANGE_SLOTS = 1 << 16
 RANGES = 1 << 10  # ranges of hash values within a source
-SOURCES = 100_000  # more are refused, as a table of them is broadcast
+SOURCES = 100_000  # a table of more is not forced into a broadcast
 DIGITS = 52
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,23 +60,34 @@ def targets(totals: list[tuple], share: float = SHARE, most: float = MOST, weigh
 
 def shares(sized: DataFrame, share: float = SHARE, most: float = MOST) -> list[tuple]:
     """(source, size, target) of every source."""
-    totals = [(r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()]
-    if len(totals) > SOURCES:
-        raise ValueError(f"{len(totals)} sources; at most {SOURCES} can be mixed")
+    totals = [(r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     totals.sort(key=lambda t: (t[0] is None, [ord(c) for c in t[0] or ""]))
     return [(s, n, t) for (s, n), t in zip(totals, targets(totals, share, most), strict=True)]
 
 
+def per_source(table: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(table) if n <= SOURCES else table
+
+
 def schedule(spark, n_slots: int, goals: list[float]) -> DataFrame:
-    """slot, place (of the source), rank (of the slot among the source's): van der Corput points through cumulative shares."""
-    total, run, edges = sum(goals), 0.0, []
-    for g in goals:
+    """slot, place (of the source), rank (of the slot among the source's): van der Corput points through cumulative shares.
+
+    A source has the points from its lower edge up to its upper one. Edges and points meet in as many cells of equal width as
+    there are sources, so a cell has two sources or so on average, and their number is not bounded by the plan.
+    """
+    total, run, low, edges = sum(goals), 0.0, 0.0, []
+    for place, g in enumerate(goals):
         run += g
-        edges.append(run / total)
+        high = run / total if place < len(goals) - 1 else 2.0
+        if low < high:
+            edges.append((place, low, high))
+        low = high
+    cells = float(len(goals))
+    cell = lambda x: F.floor(F.least(F.col(x), F.lit(1.0)) * cells)
+    bounds = spark.createDataFrame(edges, "place int, low double, high double").withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
     mirrored = F.conv(F.rpad(F.reverse(F.bin("id")), DIGITS, "0"), 2, 10)
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (mirrored.cast("double") / float(1 << DIGITS)).alias("u"))
-    bounds = F.array(*(F.lit(e) for e in edges[:-1])) if len(edges) > 1 else F.expr("array()").cast("array<double>")
-    slots = slots.select("slot", F.size(F.filter(bounds, lambda e: e <= F.col("u"))).alias("place"))
+    slots = slots.withColumn("cell", cell("u")).join(per_source(bounds, len(goals)), "cell").where("low <= u and u < high").select("slot", "place")
     slots = slots.withColumn("range", F.floor(F.col("slot") / RANGE_SLOTS))
     before = slots.groupBy("place", "range").count()
     before = before.select("place", "range", F.coalesce(F.sum("count").over(Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -107,7 +118,7 @@ def mix(docs: DataFrame, sized: DataFrame, found: list[tuple], block_tokens: int
 
     # each document's place in its source's shuffled order
     order = ["h", "doc_id", "key"]
-    placed = sized.where("size > 0").join(F.broadcast(table), F.col("sized_source").eqNullSafe(F.col("source")))  # one row per source
+    placed = sized.where("size > 0").join(per_source(table, len(rows)), F.col("sized_source").eqNullSafe(F.col("source")))  # one row per source
     placed = placed.withColumn("h", F.xxhash64("key", F.lit(8))).withColumn("range", F.floor(F.col("h") / F.lit(float(2**64 // RANGES))))
     sums = placed.groupBy("place", "range").agg(F.sum("size").alias("n"))
     before = sums.select("place", "range", F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -145,7 +156,7 @@ def taken(docs: DataFrame, share: float = SHARE, most: float = MOST, block_token
     table = spark.createDataFrame([(s, int(n), float(t)) for s, n, t in found], "source string, source_size long, target double")
     out = sized.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).join(words, "key", "left")
     got = F.coalesce(F.col("whole") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0), F.lit(0))
-    out = out.join(F.broadcast(table), F.col("sized_source").eqNullSafe(F.col("source")))
+    out = out.join(per_source(table, len(found)), F.col("sized_source").eqNullSafe(F.col("source")))
     return out.select("doc_id", "size", "source_size", "target", got.cast("long").alias("taken"))
 
 

@@ -260,3 +260,26 @@ def test_token_counts_white_space_at_the_end(spark):
     counter = token_counts.Counter(path, token_counts._proven(path))
     for units in (["\n", "\n\nfoo"], ["\n", "\n\n", " x"], [" x　", "\n y"], [" j\xa0", "  z", "w"]):
         assert counter.counts(units).tolist() == [counter.library(u) for u in units]
+
+
+def test_mixing_schedule(spark):
+    from bisect import bisect_right
+    from itertools import accumulate
+
+    for goals in ([5.0], [1.0, 0.0, 3.0, 0.5, 0.0, 8.0], [float(i % 7) for i in range(300)]):
+        edges = [x / sum(goals) for x in accumulate(goals)][:-1]
+        seen, want = {}, set()
+        for slot in range(400):
+            place = bisect_right(edges, int(f"{slot:b}"[::-1].ljust(52, "0"), 2) / 2**52)
+            want.add((slot, place, seen.get(place, 0)))
+            seen[place] = seen.get(place, 0) + 1
+        rows = mixing.schedule(spark, 400, goals).collect()
+        assert len(rows) == 400 and {(r.slot, r.place, r["rank"]) for r in rows} == want
+
+
+def test_mixing_many_sources(spark):
+    n = 100_002
+    docs = spark.range(n).selectExpr("id as doc_id", "repeat('a ', 1 + int(id % 5)) as text", "concat('site', id) as source")
+    rows = mixing.taken(docs).collect()
+    assert len(rows) == n == len({r.doc_id for r in rows})
+    assert all(r.size == r.source_size == 1 + r.doc_id % 5 and r.taken == int(r.target) <= 2 * r.size for r in rows)
