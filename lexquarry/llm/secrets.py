@@ -1,8 +1,9 @@
 """Operator 5: secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a run of 16 or more characters of `[A-Za-z0-9_+/-]` with a digit in it. Its features are its length, the
-changes between kinds of characters, the share that dictionary pieces cover, its shares of digits, capitals and distinct
-characters, whether it is hexadecimal, all digits or has a known prefix, what its path and its own word look like, and what
+A candidate is a run of 16 or more characters of `[A-Za-z0-9_+/-]` with a digit in it, or whatever is assigned (`=` or `:`) to a
+name like a secret's, up to white space, a quote or one of `` `<>,; ``, of any length and characters. Its features are its length, the
+changes between kinds of characters, the share that dictionary pieces cover, its shares of digits, capitals, distinct
+characters and symbols, whether it is hexadecimal, all digits or has a known prefix, what its path and its own word look like, and what
 its neighbouring words say. The forest is trained on the driver from labelled findings (a bounded table, `FINDINGS` rows,
 generated by rule; their features come from the same expressions) and becomes one SQL expression, so that a document is
 scanned within its row: no Python, no shuffle and no explosion before the verdicts.
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}"
 WITH_DIGIT = r"(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}"
+#: A name like a secret's and what assigns to it; then the value.
+ASSIGN = r"(?i:token|secret|passw|pwd|api|key|auth|bearer|credential|access)[A-Za-z0-9_.\-]*[\"']?[\x20\x09-\x0D]*[:=]+[\x20\x09-\x0D]*[\"']?"
+VALUE = r"([^\x20\x09-\x0D\"'`<>,;]*[^\x20\x09-\x0D\"'`<>,;:=.)\]}])"
 MASK = "[SECRET]"
 FINDINGS = 3000
 TREES, DEPTH, LEAF = 15, 6, 4
@@ -39,7 +43,7 @@ PIECES = (
 GOOD = r"(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|access)"
 BAD = r"(?i)(sha|commit|md5|hash|digest|checksum|uuid|guid|etag|version|phone|tel|card|isbn|order|invoice|example|sample|dummy|placeholder|test|revision|blob)"
 PREFIX = r"^(AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abp]-|sk_live_|eyJ[A-Za-z0-9_-]{10,})"
-NAMES = ("length", "changes", "covered", "digits", "capitals", "distinct", "hex", "numeric", "prefix", "pathlike", "assigned", "quoted", "good", "bad", "bad_path")
+NAMES = ("length", "changes", "covered", "digits", "capitals", "distinct", "hex", "numeric", "prefix", "pathlike", "assigned", "quoted", "good", "bad", "bad_path", "symbols", "code")
 
 
 def number(c: Column) -> Column:
@@ -58,6 +62,7 @@ def features(core: Column, word: Column, before: Column, after: Column, path: Co
         number(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), number(core.rlike("^[0-9_+/\\-]+$")), number(core.rlike(PREFIX)),
         number(word.rlike(r"(://|/[^/]+/|@|\\|\.[a-z]{2,4}\b)")), number(F.concat(before, F.call_function("substring_index", word, core, F.lit(1))).rlike(r"[:=]\s*[\"']?$")),
         number(word.rlike("[\"']")), number(near.rlike(GOOD)), number(F.concat_ws(" ", near, after).rlike(BAD)), number(path.rlike(r"(?i)(test|fixture|example|lock|vendor|docs?/)")),
+        F.length(F.regexp_replace(core, r"[A-Za-z0-9_+/\-]", "")) / n, number(core.rlike(r"[(){}\[\]$*]|\.[A-Za-z_]+[.(\[]|^(self|os|config|env)\.|://")),
     ]
 
 
@@ -116,6 +121,38 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     return out
 
 
+def labelled_assignments(n: int = FINDINGS // 2, seed: int = 6) -> list[tuple[str, str, str, str, str, int]]:
+    """The same of short, digitless or broken values that are assigned to a name like a secret's."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    word = lambda: "".join(r.choice("the an er on re ing st ion en ou at ha es un de le ci ar ch ie au".split()) for _ in range(r.randint(1, 4)))
+    letters, digits, marks = string.ascii_letters, string.digits, "!@#%&*?.^+=~-_"
+    some = lambda: r.choice([word, lambda: r.choice(PIECES)])()
+    good = [
+        lambda: some() + pick(digits, r.randint(2, 4)), lambda: some().capitalize() + pick(digits, r.randint(1, 4)) + r.choice("!@#?&%"), lambda: pick(letters + digits, r.randint(7, 15)), lambda: pick(letters, r.randint(8, 24)),
+        lambda: pick(letters + digits, r.randint(4, 8)) + r.choice(marks) + pick(letters + digits + marks, r.randint(2, 8)) + pick(letters + digits, 1), lambda: some() + r.choice("!@.#%&") + some() + pick(digits, r.randint(0, 2)), lambda: pick("0123456789abcdef", r.randint(8, 15)),
+    ]
+    bad = [
+        word, lambda: r.choice(PIECES), lambda: r.choice("string str none None null true false True False int bytes required optional text hidden public private read write each any all yes no".split()), lambda: pick(digits, r.randint(1, 3)),
+        lambda: f"your_{r.choice(['password', 'token', 'key', 'secret'])}", lambda: r.choice("x*.") * r.randint(3, 8) + "x", lambda: f"${{{some().upper()}_{r.choice(['KEY', 'TOKEN'])}", lambda: f"{r.choice(['self', 'config', 'os.environ', 'settings'])}.{some()}",
+        lambda: f"get_{some()}(", lambda: f"{some()}-{some()}", lambda: f"{some()}_{some()}", lambda: f"<{some()}"[1:], lambda: some().capitalize(),
+    ]
+    out = []
+    for i in range(n):
+        core, name = r.choice(good if i % 2 == 0 else bad)(), r.choice("token secret password api_key apikey auth passwd access_key bearer pwd db_password key access credential".split())
+        before, value, style = f"{word()} {word()} {word()}", core, r.randrange(4)
+        if style == 0:
+            value = f"{name}={core}"
+        elif style == 1:
+            before, value = f"{word()} {name} =", f'"{core}"'
+        elif style == 2:
+            before = f"{word()} {word()} {name}:"
+        else:
+            value = f"{name}='{core}'"
+        out.append((core, value, before, word(), r.choice(["src", "app/config.py", "blog", "wiki", "forum", "mail"]), 1 - i % 2))
+    return out
+
+
 # ---------------------------------------------------------------- the forest
 
 
@@ -171,7 +208,7 @@ _forests: dict[tuple[int, int], list] = {}
 def trained(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> list:
     """The forest, from the labelled findings; features come from the engine's own expressions."""
     if (n, seed) not in _forests:
-        rows = labelled_findings(n, seed)
+        rows = labelled_findings(n, seed) + labelled_assignments(n // 2, seed + 1)
         table = spark.createDataFrame(rows, "core string, word string, before string, after string, path string, label int").coalesce(1)
         made = table.select("label", *(f.alias(c) for c, f in zip(NAMES, features(*map(F.col, ("core", "word", "before", "after", "path"))), strict=True))).collect()
         data = np.array([[float(v) for v in r] for r in made])
@@ -192,21 +229,24 @@ def scanned(docs: DataFrame, trees: list, path: str = "source", to: str = "findi
     def of_word(ws: Column, i: Column) -> Column:
         word = F.element_at(ws, i + 1)
         before = F.concat_ws(" ", *(F.when(i >= k, word_at(ws, F.greatest(i + 1 - k, F.lit(1)))).otherwise("") for k in (3, 2, 1)))
-        cores = F.regexp_extract_all(word, F.lit(WITH_DIGIT), F.lit(0))
+        runs = F.regexp_extract_all(word, F.lit(WITH_DIGIT), F.lit(0))
+        given = F.regexp_extract_all(word, F.lit(ASSIGN + VALUE), F.lit(1))
+        first = F.when(before.rlike(ASSIGN + "$"), F.regexp_extract(word, r"^[\"']?" + VALUE, 1)).otherwise("")
+        cores = F.concat(runs, F.filter(F.concat(given, F.array(first)), lambda c: (c != "") & ~F.array_contains(runs, c)))
         return F.transform(
             cores,
             lambda core: F.struct(i.alias("word_index"), core.alias("core"), F.array(*features(core, word, before, word_at(ws, i + 2), where)).alias("f")),
         )
 
     def all_of(ws: Column) -> Column:
-        indices = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.element_at(ws, i + 1).rlike(WITH_DIGIT))
+        indices = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.element_at(ws, i + 1).rlike(f"{WITH_DIGIT}|{ASSIGN}") | word_at(ws, F.greatest(i, F.lit(1))).rlike("[:=][\"']?$"))
         return F.flatten(F.transform(indices, lambda i: of_word(ws, i)))
 
     def judged(found: Column) -> Column:
         return F.transform(found, lambda c: F.struct(c["word_index"].alias("word_index"), c["core"].alias("core"), probability(trees, [c["f"][j] for j in range(len(NAMES))]).alias("score")))
 
     nothing = F.expr("cast(array() as array<struct<word_index: int, core: string, score: double>>)")
-    likely = text.rlike("[0-9]") & text.rlike(WITH_DIGIT)
+    likely = text.rlike("[0-9]") & text.rlike(WITH_DIGIT) | text.rlike(ASSIGN)
     # arrays of one element carry the words and the raw findings, so that each is computed once
     raw = F.flatten(F.transform(F.array(words), all_of))
     return docs.withColumn(to, F.when(likely, judged(raw)).otherwise(nothing))
@@ -223,13 +263,18 @@ def findings(docs: DataFrame, trees: list | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, trees: list | None = None) -> DataFrame:
-    """`docs` with every secret in the text replaced by MASK; all columns stay. A null text stays null."""
+    """`docs` with every secret in the text replaced by MASK; all columns stay. A null text stays null.
+
+    A long run is replaced wherever it stands, another value only where it is assigned.
+    """
     trees = trees or trained(docs.sparkSession)
     own = "findings"
     while own in docs.columns:
         own += "_"
     secrets = F.sort_array(F.array_distinct(F.transform(F.filter(own, lambda c: c["score"] >= CUT), lambda c: F.struct(F.length(c["core"]).alias("n"), c["core"].alias("core")))), False)
-    out = scanned(docs, trees, to=own).withColumn("text", F.aggregate(secrets, F.col("text"), lambda t, s: F.replace(t, s["core"], F.lit(MASK))))
+    here = lambda core: F.concat(F.lit(f"({ASSIGN})\\Q"), F.replace(core, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9_+/-])"))
+    masked = lambda t, core: F.when(core.rlike(f"^{WITH_DIGIT}$"), F.replace(t, core, F.lit(MASK))).otherwise(F.regexp_replace(t, here(core), F.lit(f"$1{MASK}")))
+    out = scanned(docs, trees, to=own).withColumn("text", F.aggregate(secrets, F.col("text"), lambda t, s: masked(t, s["core"])))
     return out.select(*docs.columns)
 
 

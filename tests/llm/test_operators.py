@@ -283,3 +283,17 @@ def test_mixing_many_sources(spark):
     rows = mixing.taken(docs).collect()
     assert len(rows) == n == len({r.doc_id for r in rows})
     assert all(r.size == r.source_size == 1 + r.doc_id % 5 and r.taken == int(r.target) <= 2 * r.size for r in rows)
+
+
+def test_secrets_assigned_values(spark):
+    """Short, digitless and broken values after an assignment to a name like a secret's; redacted there only."""
+    secret = {1: "hunter22", 2: "Tr0ub4dor&3", 3: "kJxQwZpRtbVn", 4: "p@ss.Word9x", 5: "a1B2c3D4"}
+    texts = [(1, "login password=hunter22 then hunter22 again"), (2, "the pwd: Tr0ub4dor&3"), (3, 'my secret = "kJxQwZpRtbVn" ok'), (4, "db_password='p@ss.Word9x'"), (5, "token=a1B2c3D4, next")]
+    texts += [(6, "password: string"), (7, "token = None"), (8, "the key: value of it"), (9, "access=public"), (10, "no name here a1B2c3D4 kJxQwZpRtbVn")]
+    docs = spark.createDataFrame([(i, t, "src") for i, t in texts], "doc_id long, text string, source string")
+    found = secrets.findings(docs).collect()
+    assert {(r.doc_id, r.finding_sha256) for r in found if r.is_secret} == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, s in secret.items()}
+    assert {r.doc_id for r in found} == set(range(1, 10))
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert got[1] == "login password=[SECRET] then hunter22 again" and got[3] == 'my secret = "[SECRET]" ok' and got[4] == "db_password='[SECRET]'"
+    assert all(got[i] == t for i, t in texts[5:])
