@@ -30,9 +30,8 @@ BUCKETS = 1 << 16
 DIM = 8
 SPAN = 3
 LABELLED = 8_000
-EPOCHS = 14
+EPOCHS = 60  # at every size
 BATCH = 64
-STEPS = 1000  # few labelled rows are gone through more often, up to 60 times
 CUT = 0.7
 TRIM = ".,;:!?\"'()[]{}<>*&%$#|~`+=_/\\-"
 
@@ -112,7 +111,6 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
     at = bounds[row] + start
     class_weight = len(labels) / 2 / np.maximum(1, np.bincount(labels, minlength=2))
     g_emb, g_weight, g_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
-    epochs = max(epochs, min(60, -(-STEPS * BATCH // (2 * len(labels)))))
     for epoch in range(epochs):
         margin = emb @ (weight[:, 1] - weight[:, 0])
         each = np.add.reduceat(margin[f], begin) / n

@@ -297,3 +297,15 @@ def test_secrets_assigned_values(spark):
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert got[1] == "login password=[SECRET] then hunter22 again" and got[3] == 'my secret = "[SECRET]" ok' and got[4] == "db_password='[SECRET]'"
     assert all(got[i] == t for i, t in texts[5:])
+
+
+@pytest.mark.parametrize("n", [2, 90, 3000])
+def test_toxicity_trains_alike_at_every_size(n, monkeypatch):
+    """One rule: as many rounds whatever the number of labelled rows."""
+    import numpy as np
+
+    r, rounds, sort = random.Random(4), [], np.lexsort
+    texts = [" ".join(r.choice(["idiot", "moron"] if i % 2 and j == 1 else ["the", "onta", "erst", "ouen"]) for j in range(3)) for i in range(n)]
+    monkeypatch.setattr(np, "lexsort", lambda keys: rounds.append(len(keys)) or sort(keys))  # each round ranks its passages once
+    toxicity.train(texts, np.arange(n) % 2)
+    assert len(rounds) == toxicity.EPOCHS
