@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D everywhere, as in
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -21,13 +22,15 @@ NULL_ID = 2**63 - 1  # a null doc_id sorts after every other
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share. Only where none is configured and all run on this machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         current = jsc.getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexquarry-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -41,12 +44,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written in the shared folder and read again, dropped together. They cut the lineage, survive lost executors, and small
+    files are read together, so tables that loops make from one another do not gather partitions as checkpoints would."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/lexquarry-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete what was kept; nothing that reads it may be used any more."""
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        self.paths = []
+
+
 def kept_table(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder and read it again. Cuts the lineage; small files are read together, so tables that
-    loops make from one another do not gather partitions as checkpoints would."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lexquarry-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table in the shared folder that the result itself still reads."""
+    return Tables(df.sparkSession).keep(df)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -226,8 +247,8 @@ def coarse(counts: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(node, component): component is the smallest node reachable. Large-star and small-star rounds.
+def components(edges: DataFrame, tables: Tables, left: str = "a", right: str = "b") -> DataFrame:
+    """(node, component): component is the smallest node reachable. Large-star and small-star rounds, kept in `tables`.
 
     A node with very many links (the centre of a large group) is only a join key whose partition adaptive execution
     splits, and an aggregation key that is combined before the shuffle. Self links and repeated links are allowed.
@@ -235,7 +256,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     def summary(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
 
-    now = kept_table(edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a < b").distinct())
+    now = tables.keep(edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a < b").distinct())
     seen = summary(now)
     while seen[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -243,7 +264,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
-        now = kept_table(small.select("e.a", "e.b").where("a < b").distinct())
+        now = tables.keep(small.select("e.a", "e.b").where("a < b").distinct())
         last, seen = seen, summary(now)
         if last == seen:
             break

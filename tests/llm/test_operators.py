@@ -113,8 +113,31 @@ def test_jaccard(docs, texts):
             if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 part[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    for common in (jaccard_join.COMMON, 1):  # 1: every shingle that is found twice passes by the counting
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, common=common).collect()}
+        assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_jaccard_hot_groups(spark):
+    """A third of all rows near copies of one text in chains, another part exact copies, a passage in every text, a very long text."""
+    r = random.Random(9)
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(60)] = f"x{r.randrange(50)}"
+        rows.append((" ".join(w)))
+    rows += [" ".join(base[:50])] * 30 + [" ".join([f"u{i}x{j}" for j in range(r.randint(5, 40))] + passage) for i in range(40)] + [" ".join(passage), " ".join(passage + ["end"])]
+    rows.append(" ".join(f"long{i % 30011}" for i in range(60_000)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, rows)]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if part[a] != part[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                part = [min(part[a], part[b]) if x in (part[a], part[b]) else x for x in part]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(table).collect()} == {i: (len(s), part[i]) for i, s in enumerate(sets)}
 
 
 def test_substring(docs, texts):
