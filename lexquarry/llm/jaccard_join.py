@@ -9,7 +9,7 @@
    documents are tried against one of them only (linear in the group's size) and links are joined into components; this repeats with another one. Then every pair
    that shares a token, lies in different components and passes the length, positional and suffix filters is a candidate, so
    no component is missed and pairs inside a large group of copies are never listed.
-4. A distinct candidate pair is verified once: the suffix filter bounds the overlap by counts in 16 ranges of hash
+4. A distinct candidate pair is verified once: the suffix filter bounds the overlap by the parity of counts in 512 ranges of hash
    values before any set moves, then the sets' shared shingles are intersected.
 
 A shingle of a great part of all documents would make its bucket hot. Counters over hashed shingles show them beforehand; their
@@ -39,11 +39,12 @@ PERCENT = 75
 SKETCH = 1 << 18
 SHINGLES_A_BUCKET = 1_500_000
 TAIL = 48  # bits of a shingle's hash within its bucket
-RANGES = 16
+RANGES = 512  # of hash values, each with the parity of how many shared shingles fall in it
 COMMON, ABOVE = 1 << 16, 4  # a counter over both COMMON and ABOVE times the mean shows shingles of a great part of all documents
-ROUNDS = 2  # linear rounds before the exact one
+ROUNDS = 3  # linear rounds before the exact one, unless one of them finds no link
 FOUND = "kind int, bucket long, blob binary, key long, doc_id long, node long, n long"
-LISTS = "node long, n long, rare long, low long, high long, tokens binary"
+PARITY = [f"r{i}" for i in range(RANGES // 64)]
+LISTS = f"node long, n long, rare long, {' long, '.join(PARITY)} long, tokens binary"
 
 
 def shingles(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +211,7 @@ def shared_shingles(docs: DataFrame, counts: np.ndarray, bits: int, k: int = K,
 
 def possible_lists(found: DataFrame, percent: int) -> DataFrame:
     """LISTS of the classes that can link at all: their shared shingles from rare to frequent, how many are in no other set
-    (`rare`), and counts of the shared ones in RANGES ranges of hash values (a byte each, 255 for more)."""
+    (`rare`), and the parity of the number of shared ones in each of RANGES ranges of hash values."""
 
     def order(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, n, size, token, times = joined_parts([unpacked(b.as_py()) for batch in batches for b in batch.column("blob")])
@@ -222,23 +223,23 @@ def possible_lists(found: DataFrame, percent: int) -> DataFrame:
         new = np.append(True, (np.diff(place) != 0) | (np.diff(token) != 0)) if len(token) else np.empty(0, dtype=bool)
         place, token = place[new], token[new]
         n, shared = n[first], np.bincount(place, minlength=len(ids))
-        ranges = np.zeros((len(ids), RANGES), dtype=np.int64)
-        np.add.at(ranges, (place, (mixed(token) >> U64(60)).astype(np.int64)), 1)
-        packed_ranges = np.minimum(ranges, 255).astype(np.uint8).view("<i8")
+        ranges = np.zeros((len(ids), RANGES), dtype=np.uint8)  # may overflow, which keeps the parity
+        np.add.at(ranges, (place, (mixed(token) % U64(RANGES)).astype(np.int64)), 1)
+        parity = np.packbits(ranges & 1, axis=1).view("<i8")
         ends = np.cumsum(shared)
         keep = np.flatnonzero(n - shared < prefix_length(n, percent))
         data = token.astype("<u8")
         for a in range(0, len(keep), 1024):
             some = keep[a : a + 1024]
             blobs = pa.array([data[ends[i] - shared[i] : ends[i]].tobytes() for i in some], pa.binary())
-            columns = (ids[some], n[some], (n - shared)[some], packed_ranges[some, 0], packed_ranges[some, 1])
+            columns = (ids[some], n[some], (n - shared)[some], *parity[some].T)
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), blobs], [x.split()[0] for x in LISTS.split(", ")])
 
     return found.where("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(order, LISTS)
 
 
 def prefix_postings(lists: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, pos: the prefix of every class, without what no other class has."""
+    """token, node, n, rare, pos: the prefix of every class, without what no other class has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "tokens", 4 << 20):
@@ -246,9 +247,9 @@ def prefix_postings(lists: DataFrame, percent: int) -> DataFrame:
             left = prefix_length(n, percent) - rare
             tokens = [np.frombuffer(t.as_py(), dtype="<i8", count=c) for t, c in zip(batch.column("tokens"), left, strict=True)]
             row, pos = np.repeat(np.arange(len(n)), left), spans(left)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (np.concatenate(tokens), nodes[row], n[row], rare[row] + pos))], ["token", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (np.concatenate(tokens), nodes[row], n[row], rare[row], rare[row] + pos))], ["token", "node", "n", "rare", "pos"])
 
-    return lists.select("node", "n", "rare", "tokens").mapInArrow(run, "token long, node long, n long, pos long")
+    return lists.select("node", "n", "rare", "tokens").mapInArrow(run, "token long, node long, n long, rare long, pos long")
 
 
 # ---------------------------------------------------------------- pairs
@@ -265,12 +266,10 @@ def needed(n: Column, m: Column, percent: int) -> Column:
 
 
 def similar_ranges(percent: int, a: str = "", b: str = "2") -> Column:
-    """The suffix filter: the overlap cannot exceed what the counts in the ranges have in common."""
+    """The suffix filter: where the numbers of shared shingles in a range differ in parity, a shingle is in one set only."""
     apart = F.lit(0)
-    for half in ("low", "high"):
-        for i in range(RANGES // 2):
-            byte = lambda c: F.shiftrightunsigned(F.col(c), 8 * i).bitwiseAND(F.lit(255))  # noqa: B023, E731
-            apart = apart + F.abs(byte(half + a) - byte(half + b))
+    for c in PARITY:
+        apart = apart + F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b)))
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
     shared = n - F.col(f"rare{a}") + m - F.col(f"rare{b}")
     return shared - apart >= 2 * needed(n, m, percent)
@@ -290,7 +289,7 @@ def verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
                 link[i] = np.count_nonzero(both[1:] == both[:-1]) >= need[i]
             yield pa.RecordBatch.from_arrays([pa.array(a[link]), pa.array(b[link])], ["a", "b"])
 
-    sizes = lambda c: lists.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "rare", "low", "high")))
+    sizes = lambda c: lists.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "rare", *PARITY)))
     pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(similar_ranges(percent, "_a", "_b")).select("a", "b", "n_a", "n_b")
     tokens = lambda c: lists.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}"))
     return pairs.join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
@@ -319,24 +318,25 @@ def linked_parts(lists: DataFrame, tables: Tables, percent: int = PERCENT, round
     parts = tables.keep(lists.select("node", F.col("node").alias("component")).limit(0))
     at = posted.withColumn("part", F.col("node"))
     tried = tables.keep(lists.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    turn = 0
+    turn, linear = 0, True
     while True:
-        # the tokens whose classes are not yet in one component
-        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos"))
+        # the tokens whose classes are not yet in one component, each with a class of its largest one: first that with the fewest
+        # shingles of its own, which is the likeliest to be what others are copies of, then others
+        own = -F.col("rare") if turn == 0 else F.lit(0)
+        one = F.max(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos"))
         heads = at.groupBy("token", "part").agg(F.count("*").alias("size"), one.alias("head"))
-        heads = heads.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part", "head")).alias("most")).where("parts > 1")
+        heads = heads.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("size", "head", "part")).alias("most")).where("parts > 1")
         heads = heads.select("token", F.col("most.part").alias("largest"), *(F.col(f"most.head.{c}").alias(f"{c}2") for c in ("node", "n", "pos")))
         at = tables.keep(at.join(heads, "token"))
         if at.isEmpty():
             break
-        linear = turn < rounds
         if linear:
-            # each class outside a token's largest component against one class inside it, another one at each turn
+            # each class outside a token's largest component against that class inside it
             found = at.where("part <> largest").where(similar_sizes(percent))
         else:
             # every pair of different components that may link
-            ranges = at.join(lists.select("node", "rare", "low", "high"), "node").drop("node2", "n2", "pos2")
-            others = ranges.where("part <> largest").select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "part", "rare", "low", "high")))
+            ranges = at.drop("node2", "n2", "pos2").join(lists.select("node", *PARITY), "node")
+            others = ranges.where("part <> largest").select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "part", "rare", *PARITY)))
             found = ranges.join(others, "token").where("part <> part2 and (part = largest or node < node2)").where(similar_sizes(percent) & similar_ranges(percent))
         found = tables.keep(candidates(found).join(tried, ["a", "b"], "left_anti"))
         step = tables.keep(components(between(verified(found, lists, percent), parts), tables))
@@ -345,8 +345,9 @@ def linked_parts(lists: DataFrame, tables: Tables, percent: int = PERCENT, round
         if not linear:
             break
         turn += 1
+        linear = turn < rounds and not step.isEmpty()
         tried = tried.union(found)
-        at = renamed(at.select("token", "node", "n", "pos", "part"), step, "part")
+        at = renamed(at.select("token", "node", "n", "rare", "pos", "part"), step, "part")
     return parts
 
 
