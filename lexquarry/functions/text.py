@@ -34,8 +34,8 @@ def word_count(c: Column) -> Column:
 
 
 def normalize_numero(c: Column) -> Column:
-    """`8/2026` and `08` become `8`; letters go to lower case."""
-    head = F.lower(F.trim(F.split_part(c, F.lit("/"), F.lit(1))))
+    """`8/2026` and `08` become `8`, `X - 6` becomes `x-6`; `s/n` stays."""
+    head = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"(?U)\s*-\s*", "-"), r"/\d{4}$", "")
     return F.when(head.rlike(r"^\d+$"), F.regexp_replace(head, r"^0+(?=\d)", "")).otherwise(head)
 
 
@@ -43,10 +43,13 @@ def normalize_tipo(c: Column) -> Column:
     return strip_accents(F.lower(squeeze(F.regexp_replace(c, "-", " "))))
 
 
+NOT_TOKEN = r"[^0-9a-záéíóúüñçàèìòùâêîôûäëïöß]+"
+DROPPED = r"(?<![^ ])(?:[^ ]|" + "|".join(w for w in STOP_WORDS if w not in LEGAL_TERMS) + r")(?![^ ])"
+
+
 def tokens(c: Column) -> Column:
     """Lower-case alphanumeric words of more than a letter, without function words but with legal terms and numbers."""
-    words = F.split(F.regexp_replace(F.lower(c), r"[^0-9a-záéíóúüñçàèìòùâêîôûäëïöß]+", " "), " ")
-    return F.filter(words, lambda w: (F.length(w) > 1) & (~w.isin(*STOP_WORDS) | w.isin(*LEGAL_TERMS)))
+    return F.array_remove(F.split(F.regexp_replace(F.regexp_replace(F.lower(c), NOT_TOKEN, " "), DROPPED, ""), " +"), "")
 
 
 def gazette_date(c: Column) -> Column:

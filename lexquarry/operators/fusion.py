@@ -115,11 +115,14 @@ def get_fusion_strategy(name: str):
 
 
 def pool(rankings: DataFrame, sparse: str = "bm25", dense: str = "dense") -> DataFrame:
-    """The union of two rankings with both scores; documents of both come first, then by the higher raw score."""
-    w = wide(rankings, F.col("score"), [sparse, dense])
+    """The union of two rankings with both scores and their sources; documents of both come first, then by the higher raw score, then in the
+    order in which they are met: the sparse list's, then the dense list's."""
+    met = F.min(F.struct((F.col("retriever") != sparse).alias("late"), "rank")).alias("met")
+    w = wide(rankings, F.col("score"), [sparse, dense]).join(rankings.groupBy("query_id", "doc_id").agg(met), ["query_id", "doc_id"])
     both = F.col(sparse).isNotNull() & F.col(dense).isNotNull()
-    order = Window.partitionBy("query_id").orderBy(both.desc(), F.greatest(sparse, dense).desc(), "doc_id")
-    return w.withColumn("both", both).withColumn("position", F.row_number().over(order))
+    order = Window.partitionBy("query_id").orderBy(both.desc(), F.greatest(sparse, dense).desc(), "met")
+    sources = F.array_compact(F.array(F.when(F.col(sparse).isNotNull(), "BM25"), F.when(F.col(dense).isNotNull(), "Dense")))
+    return w.withColumn("both", both).withColumn("sources", sources).withColumn("position", F.row_number().over(order)).drop("met")
 
 
 def overlap(rankings: DataFrame, k: int, sparse: str = "bm25", dense: str = "dense") -> DataFrame:

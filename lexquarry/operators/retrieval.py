@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BROADCAST_TERMS = 200_000  # query terms up to this many are sent to every executor
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096  # rows of a matrix product
+
+
+# ---------------------------------------------------------------- sparse
+
+
+class Index(NamedTuple):
+    """postings: term, doc_id, tf, dl; terms: term, df, idf; corpus: n, avgdl (one row)."""
 
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize=tokens) -> DataFrame:
     """term, doc_id, tf, dl: one row per term of a document; documents without tokens are not indexed."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(text, F.lit(""))).alias("ws")).where(F.size("ws") > 0)
-    return words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.coalesce(text, F.lit(""))).alias("ws"))
+    return words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    docs = index.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    return docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_stats(docs: DataFrame, text: str = "text", tokenize=tokens) -> DataFrame:
+    """One row: number of documents with tokens and their mean length."""
+    return docs.select(F.size(tokenize(F.coalesce(text, F.lit("")))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(index: DataFrame) -> DataFrame:
+def term_stats(index: DataFrame, n: int) -> DataFrame:
     """term, df, idf: ln(n - df + 0.5) - ln(df + 0.5); where negative, EPSILON times the mean over all terms."""
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats(index).select("n")))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
+def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenize=tokens) -> None:
+    """Write the index anew. Postings lie in order of their terms, so that a query's terms prune row groups; a term of very many
+    documents is split by document."""
+    spark = docs.sparkSession
+    postings(docs, doc_id, text, tokenize).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    corpus_stats(docs, text, tokenize).write.mode("overwrite").parquet(f"{folder}/corpus")
+    n = spark.read.parquet(f"{folder}/corpus").first().n
+    term_stats(spark.read.parquet(f"{folder}/postings"), n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    """The index in `folder`; a missing one is an error of the reader."""
+    return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("postings", "terms", "corpus")))
 
 
 def top_k(scored: DataFrame, k: int, retriever: str) -> DataFrame:
@@ -35,33 +66,64 @@ def top_k(scored: DataFrame, k: int, retriever: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.lit(retriever).alias("retriever"), "doc_id", "score", "rank")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = K1, b: float = B) -> DataFrame:
-    """Top k documents of each query (query_id, text) with a positive score. Repeated query words count repeatedly."""
-    index = postings(docs)
-    wanted = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # the query side is joined first, so that only its terms' postings are scored
-    hits = index.join(wanted, "term").join(term_stats(index), "term").crossJoin(F.broadcast(corpus_stats(index).select("avgdl")))
+def query_terms(queries: DataFrame, tokenize=tokens) -> DataFrame:
+    """query_id, term, qtf: repeated words count repeatedly."""
+    return queries.select("query_id", F.explode(tokenize(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: float = B, tokenize=tokens) -> DataFrame:
+    """Top k documents of each query (query_id, text) with a positive score; k <= 0 and empty queries give nothing.
+
+    The queries' terms meet the index first, so only their postings are scored. They are broadcast up to BROADCAST_TERMS rows.
+    """
+    wanted = query_terms(queries, tokenize).join(index.terms, "term").select("query_id", "term", "qtf", "idf")
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # parts are added in the order of their terms, whatever the partitions
     parts = hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
-    scored = parts.select("query_id", "doc_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"))
-    return top_k(scored.where(F.round("score", 9) > 0).withColumn("score", F.round("score", 9)), k, "bm25")
+    scored = parts.select("query_id", "doc_id", F.round(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]), 9).alias("score"))
+    return top_k(scored.where("score > 0"), k, "bm25")
+
 
+# ---------------------------------------------------------------- dense
 
-def unit(c):
-    """An embedding as doubles of length 1."""
-    v = F.transform(c, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+def packed_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """ids, matrix: rows (key, embedding) in blocks of up to `size`, as unit vectors of doubles; no shuffle. Null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                lists = part.column("embedding")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                norm = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+                unit = np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
+                ids = part.column(key).to_numpy(zero_copy_only=False).astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return rows.where("embedding is not null and size(embedding) > 0").select(key, "embedding").mapInArrow(run, "ids binary, matrix binary")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """Exact cosine top k of each query vector (query_id, embedding) among `vectors` (doc_id, embedding).
+    """Exact cosine top k of each query vector (query_id, embedding) among `vectors` (doc_id, embedding), numbers as ids.
 
-    The queries are a stated set, compared in blocks with all rows: every block of vectors keeps its own k best of a query before
-    the shuffle.
+    The queries are a stated set that meets all rows in blocks: one matrix product for a block of queries and a block of vectors,
+    of which each query keeps its own k best (ties by doc_id) before anything is shuffled.
     """
-    left = vectors.select("doc_id", unit("embedding").alias("v"))
-    right = queries.select("query_id", unit("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return top_k(left.crossJoin(right).select("query_id", "doc_id", F.round(dot, 9).alias("score")), k, "dense")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, q, vids, v = (np.frombuffer(batch.column(c)[i].as_py(), dtype=t) for c, t in (("ids", "<i8"), ("matrix", "<f8"), ("vids", "<i8"), ("vectors", "<f8")))
+                order = np.argsort(vids, kind="stable")
+                score = np.round(q.reshape(len(qids), -1) @ v.reshape(len(vids), -1)[order].T, 9)
+                top = np.argsort(-score, axis=1, kind="stable")[:, : max(k, 0)]  # stable: equal scores by id
+                n = top.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(vids[order][top].ravel()), pa.array(np.take_along_axis(score, top, axis=1).ravel())], ["query_id", "doc_id", "score"])
+
+    blocks = packed_vectors(vectors, "doc_id", VECTOR_BLOCK).withColumnsRenamed({"ids": "vids", "matrix": "vectors"})
+    asked = packed_vectors(queries, "query_id", QUERY_BLOCK)
+    return top_k(blocks.crossJoin(asked).mapInArrow(best, "query_id long, doc_id long, score double"), k, "dense")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.functions import legal as L
+
 
 def concatenated(chunks: DataFrame, group: str, page: str, content: str, position: str) -> DataFrame:
     """group, text and boundaries (offset, page): contents in page order (null page is 0; ties by position) joined by newlines."""
@@ -40,28 +42,37 @@ def without_superseded(rows: DataFrame, gone: DataFrame, key: str, holder: str)
     return rows.join(gone.where(F.col("superseded").isNotNull()).select(F.col(key), F.col("superseded").alias(holder)), [key, holder], "left_anti")
 
 
-def greedy_match(left: DataFrame, right: DataFrame, group: str, kind: str, number: str, lid: str, rid: str) -> DataFrame:
-    """One-to-one assignment in order of ids: by (kind, number), then by kind alone, then by place where counts are equal.
+def greedy_match(left: DataFrame, right: DataFrame, group: str, kind: str, number: str, lid: str, rid: str, unnumbered: str = "s/n") -> DataFrame:
+    """One-to-one assignment of segments (left) to identities (right) in order of ids: group, lid, rid, phase (null rid: unmatched).
 
-    Each phase takes the first of both sides that is still free, so equal keys are numbered on both sides and joined on it.
-    group, lid, rid, phase (null rid: unmatched).
+    By (kind, number) where the segment has a kind (`high`); then, among the rest, an identity without a number goes by kind alone
+    (`medium`); then by place where as many segments as identities are left in a group (`low`); else `none`. Each phase takes the
+    first of both sides that is still free, so equal keys are numbered on both sides and meet on the number: windows over the
+    union of both sides decide a phase, and no side is read again or joined to itself.
     """
-
-    def matched(a: DataFrame, b: DataFrame, keys: list[str], phase: str) -> DataFrame:
-        numbered = lambda d, i: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(i)))
-        return numbered(a, lid).join(numbered(b, rid).select(*keys, "_n", rid), [*keys, "_n"]).select(group, lid, rid, F.lit(phase).alias("phase"))
-
-    def rest(a: DataFrame, m: DataFrame, i: str) -> DataFrame:
-        return a.join(m.select(i), i, "left_anti")
-
-    one = matched(left.where(F.col(number).isNotNull()), right.where(F.col(number).isNotNull()), [group, kind, number], "number")
-    l1, r1 = rest(left, one, lid), rest(right, one, rid)
-    two = matched(l1, r1, [group, kind], "kind")
-    l2, r2 = rest(l1, two, lid), rest(r1, two, rid)
-    counts = l2.groupBy(group).count().join(r2.groupBy(group).agg(F.count("*").alias("_m")), group).where("count = _m").select(group)
-    three = matched(l2.join(counts, group, "left_semi"), r2.join(counts, group, "left_semi"), [group], "place")
-    none = rest(l2, three, lid).select(group, lid, F.lit(None).cast(right.schema[rid].dataType).alias(rid), F.lit("none").alias("phase"))
-    return one.unionByName(two).unionByName(three).unionByName(none)
+    side = lambda d, i, s: d.select(F.col(group).alias("g"), F.col(kind).alias("kind"), F.col(number).alias("number"), F.col(i).alias("id"), F.lit(s).alias("side"))
+    rows = side(left, lid, 0).unionByName(side(right, rid, 1)).withColumn("to", F.lit(None).cast(left.schema[lid].dataType)).withColumn("phase", F.lit("none"))
+
+    def phase(rows: DataFrame, keys: list[str], takes, name: str, counts: bool = False) -> DataFrame:
+        free = (F.col("phase") == "none") & takes
+        rows = rows.withColumn("free", free)
+        nth = Window.partitionBy(*keys, "free", "side").orderBy("id")
+        rows = rows.withColumn("nth", F.when(F.col("free"), F.row_number().over(nth)))
+        pair = Window.partitionBy(*keys, "free", "nth")
+        other = F.when(F.col("side") == 0, F.max(F.when(F.col("side") == 1, F.col("id"))).over(pair)).otherwise(F.max(F.when(F.col("side") == 0, F.col("id"))).over(pair))
+        met = F.col("free") & F.col("other").isNotNull()
+        if counts:
+            n = lambda s: F.count_if(F.col("free") & (F.col("side") == s)).over(Window.partitionBy(*keys))
+            rows = rows.withColumn("as_many", n(0) == n(1))
+            met = met & F.col("as_many")
+        rows = rows.withColumn("other", other)
+        return rows.withColumn("to", F.when(met, F.col("other")).otherwise(F.col("to"))).withColumn("phase", F.when(met, name).otherwise(F.col("phase"))).select("g", "kind", "number", "id", "side", "to", "phase")
+
+    known, bare = F.col("kind").isNotNull(), (F.col("side") == 0) | F.col("number").eqNullSafe(F.lit(unnumbered))
+    rows = phase(rows, ["g", "kind", "number"], known & F.col("number").isNotNull(), "high")
+    rows = phase(rows, ["g", "kind"], known & bare, "medium")
+    rows = phase(rows, ["g"], F.lit(True), "low", counts=True)
+    return rows.where("side = 0").select(F.col("g").alias(group), F.col("id").alias(lid), F.col("to").alias(rid), "phase")
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
@@ -85,3 +96,31 @@ def resolve(references: DataFrame, norms: DataFrame, keys: list[str], words: str
     tier = F.when(F.size("cs") == 0, "unresolved").when(F.size("cs") == 1, "exact").when(F.size("fuzzy") > 0, "fuzzy").when(F.size("own") == 1, "source_org").otherwise("ambiguous")
     to = F.when(F.size("cs") == 1, first(F.col("cs"))).when(F.size("fuzzy") > 0, first(F.col("fuzzy"))).when(F.size("own") == 1, first(F.col("own")))
     return g.select("ref_id", to.alias("norm_id"), tier.alias("confidence"))
+
+
+def segments(texts: DataFrame, group: str, text: str, boundaries: str) -> DataFrame:
+    """group, ordinal, goc_code, text, page_start, page_end: a text cut where its codes stand, each code's first place counts (whatever its case);
+    codes in parentheses belong to a summary. Texts without codes give no row."""
+    found = texts.select(group, F.col(text).alias("t"), F.col(boundaries).alias("b"), L.codes(F.col(text)).alias("cs"))
+    first = F.filter("cs", lambda c, i: ~F.exists(F.slice("cs", 1, i), lambda e: F.upper(e["code"]) == F.upper(c["code"])))
+    rows = found.withColumn("cs", first).select(group, "t", "b", "cs", F.posexplode("cs").alias("ordinal", "c"))
+    end = F.coalesce(F.try_element_at("cs", F.col("ordinal") + 2)["at"], F.length("t"))
+    piece = F.trim(F.regexp_replace(F.call_function("substring", "t", F.col("c.at") + 1, end - F.col("c.at")), r"(?U)^\s+|\s+$", ""))
+    return rows.select(group, "ordinal", F.col("c.code").alias("goc_code"), piece.alias("text"), page_of(F.col("b"), F.col("c.at")).alias("page_start"), page_of(F.col("b"), end - 1).alias("page_end"))
+
+
+def summary_text(text: Column) -> Column:
+    """What stands before the first code that is not in parentheses; the whole text without one."""
+    at = F.try_element_at(L.codes(text), F.lit(1))["at"]
+    return F.when(at.isNull(), text).otherwise(F.regexp_replace(F.substring(text, F.lit(1), at), r"(?U)^\s+|\s+$", ""))
+
+
+def first_of_group(rows: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """The columns of each group's first row."""
+    return rows.groupBy(group).agg(F.min_by(F.struct(*columns), order).alias("r")).select(group, "r.*")
+
+
+def grouping_key(checksum: Column, numero: Column, fecha: Column) -> Column:
+    """The checksum, else `numero_fecha`; null where a row has none of the three, so that it can be left out."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return F.when(blank(checksum) != "", checksum).when((blank(numero) != "") | (blank(fecha) != ""), F.concat_ws("_", blank(numero), blank(fecha)))

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text as T
-from lexquarry.operators import adaptive, fusion, metrics, rag, retrieval, structure
+from lexquarry.operators import adaptive, fusion, linking, metrics, rag, reports, retrieval, structure
+from lexquarry.plans import gazettes, store
+from lexquarry.sources import readers, sinks
 from lexquarry.sources.readers import html_rows, table
 from lexquarry.streaming.monitor import windowed
 
 BOTH = ["bm25", "dense"]
 TOP = 50
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+DEEP = max(adaptive.CANDIDATES, *adaptive.WEIGHTED_CANDIDATES)  # the longest lists that a configuration asks for
 KINDS = 6  # query types of the evaluation: query_id % KINDS
 
 
@@ -24,8 +26,18 @@ def items(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def paths(d, *names) -> list[str]:
+    return [f"{d}/{n}.parquet" for n in names]
+
+
+def index_of(spark, d) -> retrieval.Index:
+    """The term index of `documents`, built by the first query that needs it."""
+    folder = store.folder_of(spark, "bm25", paths(d, "documents"), lambda path: retrieval.build_index(table(spark, d, "documents"), path))
+    return retrieval.load_index(spark, folder)
+
+
 def sparse(spark, d, top=TOP, **kw) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), items(spark, d), top, **kw)
+    return retrieval.bm25(index_of(spark, d), items(spark, d), top, **kw)
 
 
 def near(spark, d, top=TOP) -> DataFrame:
@@ -35,7 +47,9 @@ def near(spark, d, top=TOP) -> DataFrame:
 
 
 def rankings(spark, d, top=TOP) -> DataFrame:
-    return sparse(spark, d, top).unionByName(near(spark, d, top))
+    """Both retrievers' lists; retrieved once to the greatest depth, as exact lists nest."""
+    made = lambda: sparse(spark, d, DEEP).unionByName(near(spark, d, DEEP))
+    return store.kept(spark, "rankings", paths(d, "documents", "benchmark", "embeddings"), made).where(F.col("rank") <= top)
 
 
 def qrels(spark, d) -> DataFrame:
@@ -67,37 +81,115 @@ def at_k(spark, d) -> DataFrame:
     return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
-def small_space(spark) -> DataFrame:
-    """16 configurations, as the SQL of the three queries over them has; the *_full queries take the whole space and have no SQL."""
-    return adaptive.search_space(spark, alphas=(0.3, 0.7), betas=(0.0, 0.3), ks=(10, 60), weighted_alphas=())
+def objectives(spark, d) -> DataFrame:
+    """Metrics at 10 of every configuration of the whole search space for every judged query."""
 
+    def made():
+        f = adaptive.fuse_configs(rankings(spark, d, DEEP), adaptive.search_space(spark))
+        q = qrels(spark, d)
+        return metrics.metrics_at(f.join(q.select("query_id").distinct(), "query_id", "left_semi"), q, 10, ("config", "query_id"))
 
-def objectives(spark, d, space=small_space, top=TOP) -> DataFrame:
-    f = adaptive.fuse_configs(rankings(spark, d, top), space(spark))
-    q = qrels(spark, d)
-    f = f.join(q.select("query_id").distinct(), "query_id", "left_semi")
-    return metrics.metrics_at(f, q, 10, ("config", "query_id"))
+    return store.kept(spark, "objectives", paths(d, "documents", "benchmark", "embeddings"), made)
 
 
-def full_objectives(spark, d) -> DataFrame:
-    return objectives(spark, d, adaptive.search_space, max(adaptive.CANDIDATES, *adaptive.WEIGHTED_CANDIDATES))
+def kinds(spark, d) -> DataFrame:
+    """query_id, kind: the type of every judged query."""
+    return qrels(spark, d).select("query_id").distinct().withColumn("kind", F.expr(f"element_at(array({', '.join(repr(t) for t in adaptive.TYPES)}), cast(query_id % {KINDS} + 1 as int))"))
 
 
-def grid(spark, d, of=objectives) -> DataFrame:
-    g = of(spark, d).groupBy("config").agg(F.avg("objective").alias("objective"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
-    return rounded(g)
+def grid(spark, d) -> DataFrame:
+    g = objectives(spark, d).groupBy("config").agg(F.avg("objective").alias("objective"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"))
+    return reports.competition_rank(rounded(g), "objective")
 
 
 def by_type(spark, d) -> DataFrame:
-    return rounded(adaptive.best_config(objectives(spark, d).withColumn("kind", F.col("query_id") % KINDS), ["kind"]))
+    return rounded(adaptive.best_config(objectives(spark, d).join(kinds(spark, d), "query_id"), ["kind"]))
+
+
+def fitted(spark, d) -> DataFrame:
+    return rounded(adaptive.fit_policy(objectives(spark, d), kinds(spark, d)))
+
+
+def loo(spark, d) -> DataFrame:
+    return rounded(adaptive.leave_one_out(objectives(spark, d).select("config", "query_id", F.round("objective", 9).alias("objective"))))
+
+
+def folds(spark, d) -> DataFrame:
+    """strategy, query_id, config, train, test: leave-one-out within each of the two families."""
+    rows = objectives(spark, d).select("config", "query_id", F.round("objective", 9).alias("objective"))
+    one = lambda name, test: adaptive.leave_one_out(rows.where(test)).select(F.lit(name).alias("strategy"), "*")
+    return one("hybridrank", "config < 300").unionByName(one("weighted", "config >= 300"))
+
+
+def differences(spark, d) -> DataFrame:
+    return reports.paired(folds(spark, d), "weighted", "hybridrank")
+
+
+def adaptive_folds(spark, d) -> DataFrame:
+    return rounded(adaptive.adaptive_leave_one_out(objectives(spark, d), kinds(spark, d)))
+
+
+def judged_items(spark, d) -> DataFrame:
+    return items(spark, d).join(qrels(spark, d).select("query_id").distinct(), "query_id", "left_semi")
+
+
+def adaptive_retrieval(spark, d) -> DataFrame:
+    """Queries whose class is sure take their type's configuration; the class's confidence is high for two of three."""
+    asked = judged_items(spark, d)
+    classes = adaptive.classify_by_oracle(asked, kinds(spark, d)).withColumn("confidence", F.expr("if(query_id % 3 = 0, 0.4D, 0.9D)"))
+    return adaptive.adaptive_retrieve(asked, rankings(spark, d), classes, adaptive.fit_policy(objectives(spark, d), kinds(spark, d)))[0]
+
+
+def chosen_configs(spark, d) -> DataFrame:
+    asked = judged_items(spark, d)
+    classes = adaptive.classify_by_oracle(asked, kinds(spark, d)).withColumn("confidence", F.expr("if(query_id % 3 = 0, 0.4D, 0.9D)"))
+    info = adaptive.adaptive_retrieve(asked, rankings(spark, d), classes, adaptive.fit_policy(objectives(spark, d), kinds(spark, d)))[1]
+    return rounded(info.select("query_id", "kind", "confidence", "config", "fallback_used", "overlap", "top1_sparse", "top1_dense", "gap"))
+
+
+def evaluated(spark, d) -> DataFrame:
+    """strategy, query_id, query_type, top_k, metrics of the named strategies at 5, 10 and 20."""
+
+    def made():
+        fused, q = adaptive.fuse_named(rankings(spark, d)), qrels(spark, d)
+        fused = fused.join(q.select("query_id").distinct(), "query_id", "left_semi")
+        rows = None
+        for k in (5, 10, 20):
+            at = metrics.metrics_at(fused, q, k, ("strategy", "query_id")).withColumn("top_k", F.lit(k))
+            rows = at if rows is None else rows.unionByName(at)
+        return rows.join(kinds(spark, d).withColumnRenamed("kind", "query_type"), "query_id")
+
+    return store.kept(spark, "evaluated", paths(d, "documents", "benchmark", "embeddings"), made)
+
+
+def at_ten(spark, d) -> DataFrame:
+    return evaluated(spark, d).where("top_k = 10").withColumn("objective", F.round("objective", 9))
+
+
+def strategies(spark, d) -> list[str]:
+    return sorted(adaptive.STRATEGIES)
+
+
+def metric_bests(spark, d) -> DataFrame:
+    g = objectives(spark, d).groupBy("config").agg(*(F.round(F.avg(m), 9).alias(m) for m in reports.METRICS))
+    return rounded(reports.best_by_metric(g))
 
 
-def by_type_full(spark, d) -> DataFrame:
-    return rounded(adaptive.policy(full_objectives(spark, d).withColumn("kind", F.col("query_id") % KINDS), ["kind"]))
+def overlaps(spark, d) -> DataFrame:
+    """query_type, top_k, overlap of both lists for every item that is judged."""
+    rows, k = None, kinds(spark, d).withColumnRenamed("kind", "query_type")
+    for n in (5, 10, 20):
+        at = fusion.overlap(rankings(spark, d), n).withColumn("top_k", F.lit(n))
+        rows = at if rows is None else rows.unionByName(at)
+    return rows.join(k, "query_id")
 
 
-def loo(spark, d, of=objectives) -> DataFrame:
-    return rounded(adaptive.leave_one_out(of(spark, d).select("config", "query_id", F.round("objective", 9).alias("objective"))))
+def predicted(spark, d) -> DataFrame:
+    """classifier, gold, kind: rules and a rule that knows only lengths, over all turns; the gold is the turn's place."""
+    turns = table(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("query_id"), "text", F.expr(f"element_at(array({', '.join(repr(t) for t in adaptive.TYPES)}), cast(turn % {KINDS} + 1 as int))").alias("gold"))
+    rules = adaptive.classify_by_rules(turns)
+    blank = turns.select("query_id", F.expr(f"if(query_id % 7 = 0, '', if(length(text) % 2 = 0, '{adaptive.TYPES[0]}', '{adaptive.TYPES[5]}'))").alias("kind"), F.lit("length").alias("classifier"))
+    return rules.select("query_id", "kind", "classifier").unionByName(blank).join(turns.select("query_id", "gold"), "query_id")
 
 
 def classified(spark, d) -> DataFrame:
@@ -124,16 +216,6 @@ def not_superseded(spark, d) -> DataFrame:
     return structure.without_superseded(table(spark, d, "orders"), duplicates(spark, d), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-def greedy(spark, d) -> DataFrame:
-    """Every order with the line of its key that it is matched to: by status and year, by status, or by place."""
-    o = table(spark, d, "orders")
-    left = o.select(F.col("o_orderkey").alias("g"), F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("number"), F.col("o_orderkey").alias("lid"))
-    line = table(spark, d, "lineitem")
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))  # line numbers repeat
-    right = line.select(F.col("l_orderkey").alias("g"), F.col("l_linestatus").alias("kind"), F.year("l_shipdate").alias("number"), (F.col("l_orderkey") * 1_000_000 + n).alias("rid"))
-    return structure.greedy_match(left, right, "g", "kind", "number", "lid", "rid")
-
-
 def references(spark, d) -> DataFrame:
     s = table(spark, d, "supplier")
     norms = s.select(F.col("s_suppkey").alias("norm_id"), F.col("s_nationkey").alias("nation"), F.expr("s_suppkey % 5").alias("number"), F.expr("cast(s_suppkey % 7 as string)").alias("org"), F.array(F.expr("cast(s_suppkey % 7 as string)"), F.expr("cast(s_suppkey % 11 as string)")).alias("words"))
@@ -156,18 +238,97 @@ def word_windows(spark, d) -> DataFrame:
     return w.select("doc_id", F.col("w.part").alias("part"), F.md5("w.text").alias("digest"), F.format_string("%s__f%03d", F.col("doc_id"), F.col("w.part")).alias("fragment_id"))
 
 
+def with_metadata(docs: DataFrame) -> DataFrame:
+    """documents as fragments of norms, with fields written from their ids."""
+    e = F.expr
+    return docs.select(
+        "doc_id", F.col("text").alias("content"), e("concat('norma_', doc_id % 40)").alias("norma_id"), e("if(doc_id % 2 = 0, 'Resolución', 'Ley')").alias("tipo"), e("cast(doc_id % 90 as string)").alias("numero"), e("if(doc_id % 5 = 0, 'sin', cast(2000 + doc_id % 20 as string))").alias("year"),
+        e("concat('Ministerio ', doc_id % 7)").alias("organismo_emisor"), e("if(doc_id % 3 = 0, '', concat('GOC-2020-', doc_id, '-O1'))").alias("goc_code"), e("if(doc_id % 4 = 0, null, cast(doc_id % 60 as string))").alias("gaceta_numero"), F.lit("03 Marzo, 2021").alias("gaceta_fecha"),
+        e("if(doc_id % 6 = 0, '', concat('ARTÍCULO ', doc_id % 9))").alias("fragment_label"), e("doc_id % 4 - 1").alias("page_start"), e("doc_id % 4 - 1 + doc_id % 2").alias("page_end"),
+    )
+
+
 def fragments(spark, d) -> DataFrame:
-    return sparse(spark, d).where("rank <= 10").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    """The first 10 documents of each item that the store has (it lacks every eleventh), ranked anew."""
+    have = with_metadata(table(spark, d, "documents").where("doc_id % 11 <> 5"))
+    found, _ = rag.get_fragments(sparse(spark, d, 10).drop("retriever"), have, "doc_id")
+    return found.withColumn("fragment_id", F.col("doc_id").cast("string"))
 
 
-def contexts(spark, d) -> DataFrame:
-    return rag.context(fragments(spark, d), 8, 12_000).select("query_id", F.md5("context").alias("digest"), "n_sources")
+def contexts(spark, d, options=rag.ContextOptions()) -> DataFrame:
+    return rag.context(fragments(spark, d), options).select("query_id", F.md5("context").alias("digest"), "n_sources")
 
 
 def batch(spark, d) -> DataFrame:
-    a = rag.answers(items(spark, d), fragments(spark, d), rag.echo)
-    c = rag.citations(a)
-    return a.join(c, "query_id").select("query_id", "answer", "n_retrieved", F.size("valid").alias("n_valid"), F.size("invalid").alias("n_invalid"))
+    """Answers with their bibliography and what they cite."""
+    f = fragments(spark, d)
+    a = rag.answers(items(spark, d), f, rag.get_generator("echo"))
+    c, b = rag.citations(a), rag.formatted_answers(a, f)
+    rows = a.join(c, "query_id").join(b, "query_id", "left").withColumn("formatted", F.coalesce("formatted", "answer"))
+    return rows.select("query_id", F.md5("answer").alias("answer"), "n_retrieved", F.size("valid").alias("n_valid"), F.size("invalid").alias("n_invalid"), F.size("uncited").alias("n_uncited"), F.md5("formatted").alias("digest"))
+
+
+def missing_fragments(spark, d) -> DataFrame:
+    have = table(spark, d, "documents").where("doc_id % 11 <> 5").select("doc_id")
+    return rag.get_fragments(sparse(spark, d, 10).drop("retriever"), have, "doc_id")[1]
+
+
+def logged(spark, d) -> DataFrame:
+    f = fragments(spark, d)
+    a = rag.answers(items(spark, d), f, rag.echo)
+    rows = rag.interaction_log(a, f, "bm25", "echo")
+    return rows.select("query_id", "retriever", F.size("retrieved_docs").alias("n_docs"), F.array_join("sources", ";").alias("sources"), F.md5("answer").alias("answer"))
+
+
+def prompts(spark, d) -> DataFrame:
+    c = rag.context(fragments(spark, d))
+    m = rag.messages(F.col("text"), F.col("context"))
+    return items(spark, d).join(c, "query_id").select("query_id", F.md5(m[0]["content"]).alias("system"), F.md5(m[1]["content"]).alias("user"))
+
+
+def records(spark, d) -> DataFrame:
+    """A judgement row for every query: pooled and relevant documents, and their norms in order of first place."""
+    pooled_ = fusion.pool(rankings(spark, d, 10)).select("query_id", "doc_id", "position")
+    q = qrels(spark, d).withColumn("relevant", F.lit(True))
+    rows = pooled_.join(q, ["query_id", "doc_id"], "left").withColumn("norm", F.expr("concat('norma_', doc_id % 40)"))
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "doc_id", "norm", "relevant"))).alias("r"))
+    text = lambda a: F.array_join(a, ",")
+    ids = lambda a: F.transform(a, lambda x: x["doc_id"].cast("string"))
+    norms = lambda a: F.array_distinct(F.transform(a, lambda x: x["norm"]))
+    hits = F.filter("r", lambda x: F.coalesce(x["relevant"], F.lit(False)))
+    return lists.select("query_id", text(ids(F.col("r"))).alias("pool_docs"), text(ids(hits)).alias("relevant_docs"), text(norms(F.col("r"))).alias("pool_normas"), text(norms(hits)).alias("relevant_normas"))
+
+
+def stored_elements(spark, d) -> DataFrame:
+    """documents as elements with vectors, some without an id, a text or a vector."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    e = table(spark, d, "documents").join(v, "doc_id", "left")
+    meta = F.struct(F.expr("if(doc_id % 9 = 0, '', concat('c', doc_id))").alias("chunk_id"), F.col("source").alias("source"), F.expr("if(doc_id % 5 = 0, null, cast(doc_id % 70 as int))").alias("page_number"), F.array(F.col("lang")).alias("gaceta_normas"), F.lit("x").alias("coordinates"))
+    return e.select("doc_id", F.expr("if(doc_id % 4 = 0, null, text)").alias("content"), F.expr("if(doc_id % 8 = 1, '  ', text)").alias("cleaned_content"), "embedding", meta.alias("metadata"))
+
+
+def index_rows(spark, d) -> DataFrame:
+    rows = readers.index_rows(readers.valid_elements(stored_elements(spark, d)))
+    return rows.select("id", F.md5("document").alias("digest"), F.size("embedding").alias("dimension"), "metadata.source", "metadata.page_number", "metadata.gaceta_normas")
+
+
+def numbered_rows(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return sinks.surrogate_ids(o, ["o_custkey", "o_orderkey"])
+
+
+def selected_files(spark, d) -> DataFrame:
+    """Orders as index entries: a third is not downloaded, files are missing, checksums repeat."""
+    o = table(spark, d, "orders")
+    path, status = F.expr("concat('f', o_orderkey % 5000)"), F.expr("if(o_orderkey % 3 = 0, 'pending', 'Downloaded')")
+    files = F.array(F.struct(F.lit("").alias("path"), F.lit("downloaded").alias("status"), F.lit("").alias("checksum")), F.struct(path.alias("path"), status.alias("status"), F.expr("if(o_orderkey % 4 = 0, '', concat('s', o_orderkey % 700))").alias("checksum")))
+    entries = o.select("o_orderkey", files.alias("files"))
+    there = o.where("o_orderkey % 7 <> 0").select(F.expr("concat('f', o_orderkey % 5000)").alias("path"))
+    return readers.selected_files(entries, there, "o_orderkey").select("o_orderkey", "file.path", "file.checksum")
+
+
+def previews(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(readers.preview(F.col("text"))).alias("preview"), F.md5(readers.readable(F.col("text"))).alias("readable"))
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -181,11 +342,11 @@ def summary(spark, d) -> DataFrame:
 
 
 def pooled(spark, d) -> DataFrame:
-    return fusion.pool(rankings(spark, d)).select("query_id", "doc_id", "both", "position")
+    return rounded(fusion.pool(rankings(spark, d)).select("query_id", "doc_id", "bm25", "dense", F.array_join("sources", "+").alias("sources"), "both", "position"))
 
 
 def vocabulary(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term")).where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("n"))
+    return sinks.vocabulary(table(spark, d, "documents"), T.tokens)
 
 
 def queries() -> dict:
@@ -200,26 +361,60 @@ def queries() -> dict:
         "grid_search": grid,
         "best_by_type": by_type,
         "loo_cv": loo,
-        "grid_search_full": lambda s, d: grid(s, d, full_objectives),
-        "best_by_type_full": by_type_full,
-        "loo_cv_full": lambda s, d: loo(s, d, full_objectives),
+        "policy_fit": fitted,
+        "adaptive_retrieval": adaptive_retrieval,
+        "adaptive_configs": chosen_configs,
+        "adaptive_loo": adaptive_folds,
+        "loo_summary": lambda s, d: rounded(reports.leave_one_out_summary(folds(s, d))),
+        "paired_comparison": lambda s, d: rounded(differences(s, d), 4),
+        "paired_summary": lambda s, d: rounded(reports.paired_summary(differences(s, d), "weighted", "hybridrank")),
+        "sign_test": lambda s, d: rounded(reports.sign_test(differences(s, d))),
+        "signed_rank": lambda s, d: rounded(reports.signed_rank(differences(s, d))),
+        "bootstrap": lambda s, d: rounded(reports.bootstrap(differences(s, d))),
+        "named_strategies": lambda s, d: rounded(evaluated(s, d).select("strategy", "query_id", "query_type", "top_k", *reports.METRICS, "objective")),
+        "strategy_summary": lambda s, d: reports.strategy_summary(at_ten(s, d)),
+        "best_by_metric": metric_bests,
+        "type_pivot": lambda s, d: rounded(reports.pivoted(at_ten(s, d), "query_type", "strategy", ["bm25_only", "dense_only", "rrf_k60", "hybridrank_a0.7_b0.3"], "objective").withColumnsRenamed({"hybridrank_a0.7_b0.3": "hybridrank"})),
+        "best_strategy_per_query": lambda s, d: rounded(reports.best_per_query(at_ten(s, d), "objective")),
+        "winner_counts": lambda s, d: reports.winners(reports.best_per_query(at_ten(s, d), "objective").withColumn("family", reports.family(F.col("strategy"))), "family"),
+        "query_difficulty": lambda s, d: rounded(reports.with_best(reports.query_summary(at_ten(s, d), "objective"), reports.best_per_query(at_ten(s, d), "objective"))),
+        "strategy_deltas": lambda s, d: rounded(reports.deltas(at_ten(s, d), "objective", "rrf_k60", ("bm25_only", "dense_only"))),
+        "config_usage": lambda s, d: reports.usage(adaptive_folds(s, d).withColumn("fallback_used", F.col("fallback_used").cast("string")), "kind", "fallback_used", ["true", "false"]).withColumnsRenamed({"true": "n_fallback", "false": "n_learned"}),
+        "overlap_summary": lambda s, d: rounded(reports.overlap_summary(overlaps(s, d))),
+        "confusion_matrix": lambda s, d: reports.confusion(predicted(s, d).where("classifier = 'rule_based'"), adaptive.TYPES),
+        "classification_summary": lambda s, d: reports.classification_summary(predicted(s, d)),
+        "column_profile": lambda s, d: reports.profile(table(s, d, "documents"), ["lang", "source", "text"]),
+        "index_audit": lambda s, d: reports.audit(table(s, d, "documents"), index_of(s, d).postings, "doc_id"),
+        "grid_top": lambda s, d: reports.top(grid(s, d).select("config", "objective"), "objective", "config"),
         "rule_classify": classified,
         "group_concat_ordered": lambda s, d: chunks(s, d).select("conv_id", F.md5("text").alias("digest"), F.size("boundaries").alias("n")),
         "asof_page": pages_of,
         "dup_latest": duplicates,
         "anti_superseded": not_superseded,
-        "greedy_match": greedy,
         "ref_resolution": references,
         "first_occurrence": first_of,
         "clean_text": cleaned,
         "word_windows": word_windows,
         "context_budget": contexts,
+        "context_per_norm": lambda s, d: contexts(s, d, rag.ContextOptions(deduplicate_by_norma=True, include_metadata=False)),
         "rag_batch": batch,
+        "rag_prompts": prompts,
+        "rag_log": logged,
+        "missing_fragments": missing_fragments,
+        "sources_list": lambda s, d: rag.sources_list(fragments(s, d)).select("query_id", F.md5("sources").alias("digest")),
+        "judgement_records": records,
+        "vector_index_rows": index_rows,
+        "embedding_statistics": lambda s, d: sinks.embedding_statistics(stored_elements(s, d)),
+        "resume_remaining": lambda s, d: sinks.remaining(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id"),
+        "surrogate_ids": numbered_rows,
+        "selected_files": selected_files,
+        "text_previews": previews,
         "summary_rollup": summary,
         "vocabulary": vocabulary,
         "interaction_windows": lambda s, d: rounded(windowed(table(s, d, "events")).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total"), 4),
-        "html_rows": lambda s, d: html_rows(table(s, d, "pages")),
+        "html_rows": lambda s, d: html_rows(table(s, d, "pages"), "url"),
     }
+    q |= gazettes.queries()
     q |= {f"norm_{n}": normalized(n) for n in fusion.NORMALIZERS}
     q |= {f"fuse_{n}": fused(n) for n in fusion.STRATEGIES if n != "hybridrank"}
     return q
@@ -232,7 +427,7 @@ _KEEP = ", ".join(f"'{w}'" for w in T.LEGAL_TERMS)
 _TOKENS = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^0-9a-záéíóúüñçàèìòùâêîôûäëïöß]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND (w NOT IN ({_STOP}) OR w IN ({_KEEP})))"
 
 
-def _bm25(k1: float = 1.5, b: float = 0.75) -> str:
+def _bm25(k1: float = 1.5, b: float = 0.75, top: int = TOP) -> str:
     return f"""
 tok AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
 post AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM tok) GROUP BY term, doc_id),
@@ -242,15 +437,22 @@ idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) EL
 want AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY query_id, term),
 part AS (SELECT query_id, doc_id, term, qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl)) AS p FROM post JOIN want USING (term) JOIN idf USING (term), st),
 sco AS (SELECT query_id, doc_id, round(sum(p ORDER BY term), 9) AS score FROM part GROUP BY query_id, doc_id),
-bm AS (SELECT query_id, 'bm25' AS retriever, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sco WHERE score > 0) WHERE rank <= {TOP})"""
+bm AS (SELECT query_id, 'bm25' AS retriever, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sco WHERE score > 0) WHERE rank <= {top})"""
 
 
-_DENSE = f"""
+def _dense(top: int = TOP) -> str:
+    return f"""
 dn AS (SELECT query_id, 'dense' AS retriever, doc_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT q.vec_id // 50 AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score
-    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= {TOP})"""
-_BOTH = f"WITH {_bm25()}, {_DENSE}, rk AS (SELECT * FROM bm UNION ALL SELECT * FROM dn)"
+    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= {top})"""
+
+
+def _both(top: int = TOP) -> str:
+    return f"WITH {_bm25(top=top)}, {_dense(top)}, rk AS (SELECT * FROM bm UNION ALL SELECT * FROM dn)"
+
+
+_DENSE, _BOTH = _dense(), _both()
 _W = "OVER (PARTITION BY query_id, retriever)"
 _NORM = {
     "minmax": f"CASE WHEN max(score) {_W} = min(score) {_W} THEN 1.0 ELSE (score - min(score) {_W}) / (max(score) {_W} - min(score) {_W}) END",
@@ -264,8 +466,8 @@ def _best(inner: str, top: int = 10) -> str:
     return f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({inner})) WHERE rank <= {top}"
 
 
-def _wide(value: str, score: str) -> str:
-    return _best(f"SELECT query_id, doc_id, round({score}, 9) AS score FROM (SELECT query_id, doc_id, coalesce(max(CASE WHEN retriever = 'bm25' THEN v END), 0.0) AS s, coalesce(max(CASE WHEN retriever = 'dense' THEN v END), 0.0) AS d FROM (SELECT *, {value} AS v FROM rk) GROUP BY query_id, doc_id)")
+def _wide(value: str, score: str, top: int = 10) -> str:
+    return _best(f"SELECT query_id, doc_id, round({score}, 9) AS score FROM (SELECT query_id, doc_id, coalesce(max(CASE WHEN retriever = 'bm25' THEN v END), 0.0) AS s, coalesce(max(CASE WHEN retriever = 'dense' THEN v END), 0.0) AS d FROM (SELECT *, {value} AS v FROM rk) GROUP BY query_id, doc_id)", top)
 
 
 _QREL = "qr AS (SELECT q.vec_id // 50 AS query_id, v.vec_id AS doc_id FROM embeddings v JOIN embeddings q ON v.label = q.label AND q.vec_id % 50 = 0)"
@@ -292,22 +494,103 @@ def _at_k(k: int) -> str:
     return f"SELECT query_id, {k} AS k, used_k, {_round('recall', 'precision', 'f1', 'mrr', 'map', 'ndcg')}, round({_OBJ}, 6) AS objective FROM ({_metrics('dn', 'query_id', k)})"
 
 
-_GRID = f"""{_BOTH}, {_QREL},
-cf AS (SELECT CAST(a * 8 + b * 4 + k * 2 + m AS INTEGER) AS config, CASE a WHEN 0 THEN 0.3 ELSE 0.7 END AS alpha, CASE b WHEN 0 THEN 0.0 ELSE 0.3 END AS beta, CASE k WHEN 0 THEN 10 ELSE 60 END AS kk, m FROM range(2) x(a), range(2) y(b), range(2) z(k), range(2) w(m)),
-nr AS (SELECT *, {_NORM['minmax']} AS mm, {_NORM['zscore']} AS zs FROM rk),
-dc AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN mm END) AS mm_s, max(CASE WHEN retriever = 'dense' THEN mm END) AS mm_d, max(CASE WHEN retriever = 'bm25' THEN zs END) AS zs_s, max(CASE WHEN retriever = 'dense' THEN zs END) AS zs_d,
-  max(CASE WHEN retriever = 'bm25' THEN rank END) AS r_s, max(CASE WHEN retriever = 'dense' THEN rank END) AS r_d FROM nr GROUP BY query_id, doc_id),
-cd AS (SELECT *, coalesce(1.0 / (kk + r_s), 0.0) + coalesce(1.0 / (kk + r_d), 0.0) AS rr FROM dc, cf),
+def _list(values) -> str:
+    return f"CAST([{', '.join(map(str, values))}] AS DOUBLE[])"
+
+
+_CK = "OVER (PARTITION BY ck, query_id, retriever)"
+_OVER = {n: v.replace(_W, _CK) for n, v in _NORM.items()}
+_TYPE = f"[{', '.join(repr(t) for t in adaptive.TYPES)}][query_id % {KINDS} + 1]"
+_CONFIGS = f"""cf AS (SELECT CAST(((a * 6 + b) * 5 + k) * 2 + m AS INTEGER) AS config, {_list(adaptive.ALPHAS)}[a + 1] AS alpha, {_list(adaptive.BETAS)}[b + 1] AS beta, {_list(adaptive.KS)}[k + 1] AS kk, m, {adaptive.CANDIDATES} AS ck FROM range(5) x(a), range(6) y(b), range(5) z(k), range(2) w(m)
+ UNION ALL SELECT CAST(300 + (a * 2 + m) * 3 + c AS INTEGER), {_list(adaptive.WEIGHTED_ALPHAS)}[a + 1], 0.0, NULL, m, [20, 50, 100][c + 1] FROM range(9) x(a), range(2) w(m), range(3) z(c))"""
+_FUSED = f"""nr AS (SELECT *, {_OVER['minmax']} AS mm, {_OVER['zscore']} AS zs FROM (SELECT rk.*, ck FROM rk, (VALUES (20), (50), (100)) c(ck) WHERE rank <= ck)),
+dc AS (SELECT ck, query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN mm END) AS mm_s, max(CASE WHEN retriever = 'dense' THEN mm END) AS mm_d, max(CASE WHEN retriever = 'bm25' THEN zs END) AS zs_s, max(CASE WHEN retriever = 'dense' THEN zs END) AS zs_d,
+  max(CASE WHEN retriever = 'bm25' THEN rank END) AS r_s, max(CASE WHEN retriever = 'dense' THEN rank END) AS r_d FROM nr GROUP BY ck, query_id, doc_id),
+cd AS (SELECT *, coalesce(1.0 / (kk + r_s), 0.0) + coalesce(1.0 / (kk + r_d), 0.0) AS rr FROM dc JOIN @cf USING (ck)),
 cu AS (SELECT *, CASE WHEN max(rr) OVER (PARTITION BY config, query_id) = min(rr) OVER (PARTITION BY config, query_id) THEN 1.0 ELSE (rr - min(rr) OVER (PARTITION BY config, query_id)) / (max(rr) OVER (PARTITION BY config, query_id) - min(rr) OVER (PARTITION BY config, query_id)) END AS u FROM cd),
-cs AS (SELECT config, query_id, doc_id, round(beta * u + (1 - beta) * (alpha * coalesce(CASE m WHEN 0 THEN mm_s ELSE zs_s END, 0.0) + (1 - alpha) * coalesce(CASE m WHEN 0 THEN mm_d ELSE zs_d END, 0.0)), 9) AS score FROM cu),
-fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 10),
-ob AS (SELECT *, {_OBJ} AS objective FROM ({_metrics('fu', 'config, query_id', 10).replace('SELECT r.*', 'SELECT r.*')}))"""
+cs AS (SELECT config, query_id, doc_id, round(beta * coalesce(u, 0.0) + (1 - beta) * (alpha * coalesce(CASE m WHEN 0 THEN mm_s ELSE zs_s END, 0.0) + (1 - alpha) * coalesce(CASE m WHEN 0 THEN mm_d ELSE zs_d END, 0.0)), 9) AS score FROM cu),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 10)"""
+_GRID = f"""{_both(DEEP)}, {_QREL}, {_CONFIGS}, {_FUSED.replace('@cf', 'cf')},
+ob AS (SELECT *, {_OBJ} AS objective FROM ({_metrics('fu', 'config, query_id', 10)})),
+ki AS (SELECT DISTINCT query_id, {_TYPE} AS kind FROM qr)"""
+_POLICY = f"""po AS (SELECT kind, config, objective FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY objective DESC, config) AS i FROM (SELECT kind, config, round(avg(objective), 9) AS objective, count(*) AS n FROM ob JOIN ki USING (query_id) GROUP BY kind, config) WHERE n >= {adaptive.LEAST}) WHERE i = 1),
+pl AS (SELECT kind, po.config, objective, n, po.config IS NULL AS fallback FROM (SELECT kind, count(*) AS n FROM ki GROUP BY kind) LEFT JOIN po USING (kind))"""
+_CHOSEN = f"""ch AS (SELECT query_id, kind, conf AS confidence, CASE WHEN conf < 0.5 THEN {adaptive.FALLBACK} ELSE coalesce(config, {adaptive.FALLBACK}) END AS config
+ FROM (SELECT query_id, kind, CASE WHEN query_id % 3 = 0 THEN 0.4 ELSE 0.9 END AS conf FROM ki WHERE query_id IN (SELECT item_id FROM benchmark)) LEFT JOIN po USING (kind))"""
+_UNITS = "un AS (SELECT CASE WHEN config < 300 THEN 'hybridrank' ELSE 'weighted' END AS strategy, config, query_id, round(objective, 9) AS objective, CAST(round(objective * 1e9) AS BIGINT) AS o FROM ob)"
+_OTHERS = "ot AS (SELECT strategy, config, query_id, objective AS test, sum(o) OVER (PARTITION BY config) - o AS others, count(*) OVER (PARTITION BY config) - 1 AS n FROM un)"
+_FOLDS = f"""{_GRID}, {_UNITS}, {_OTHERS},
+fo AS (SELECT strategy, query_id, config, round(others / n / 1e9, 9) AS train, round(test, 9) AS test FROM (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY others DESC, config) AS i FROM ot) WHERE i = 1),
+pa AS (SELECT query_id, round(a, 4) AS a, round(b, 4) AS b, round(b - a, 4) AS difference, CASE WHEN abs(b - a) <= 1e-6 THEN 'tie' WHEN b > a THEN 'hybridrank' ELSE 'weighted' END AS winner
+ FROM (SELECT query_id, max(CASE WHEN strategy = 'weighted' THEN test END) AS a, max(CASE WHEN strategy = 'hybridrank' THEN test END) AS b FROM fo GROUP BY query_id) WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+def _hybrid(alpha: float = 0.7, beta: float = 0.2, k: int = 10, top: int = 10) -> str:
+    return _best(f"""SELECT query_id, doc_id, round({beta} * (CASE WHEN hi = lo THEN 1.0 ELSE (rrf - lo) / (hi - lo) END) + (1 - CAST({beta} AS DOUBLE)) * ({alpha} * s + (1 - CAST({alpha} AS DOUBLE)) * d), 9) AS score FROM (
+SELECT *, max(rrf) OVER (PARTITION BY query_id) AS hi, min(rrf) OVER (PARTITION BY query_id) AS lo FROM (
+SELECT query_id, doc_id, coalesce(max(CASE WHEN retriever = 'bm25' THEN rr END), 0.0) + coalesce(max(CASE WHEN retriever = 'dense' THEN rr END), 0.0) AS rrf, coalesce(max(CASE WHEN retriever = 'bm25' THEN v END), 0.0) AS s, coalesce(max(CASE WHEN retriever = 'dense' THEN v END), 0.0) AS d
+FROM (SELECT *, {_NORM['minmax']} AS v, 1.0 / (rank + {k}) AS rr FROM rk) GROUP BY query_id, doc_id))""", top)
+
+
+def _strategy(name: str, top: int = 20) -> str:
+    kind, o = adaptive.STRATEGIES[name]
+    alpha = f"CAST({o.get('alpha', 0.5)} AS DOUBLE)"
+    made = {
+        "baseline": lambda: f"SELECT query_id, doc_id, score, rank FROM rk WHERE retriever = '{o['retriever']}' AND rank <= {top}",
+        "rrf": lambda: _wide(f"1.0 / (rank + {o['k']})", "s + d", top),
+        "borda": lambda: _wide(f"CAST(count(*) {_W} - rank + 1 AS DOUBLE)", "s + d", top),
+        "combsum": lambda: _wide(_NORM[o["normalizer"]], "s + d", top),
+        "combmnz": lambda: _wide(_NORM["minmax"], "(CAST(s > 0 AS INTEGER) + CAST(d > 0 AS INTEGER)) * (greatest(s, 0.0) + greatest(d, 0.0))", top),
+        "weighted": lambda: _wide(_NORM["minmax"], f"{alpha} * s + (1 - {alpha}) * d", top),
+        "hybridrank": lambda: _hybrid(o["alpha"], o["beta"], 10, top),
+    }[kind]()
+    return f"SELECT '{name}' AS strategy, * FROM ({made})"
+
+
+_EVALUATED = f"""{_BOTH}, {_QREL}, fs AS (SELECT * FROM ({' UNION ALL '.join(map(_strategy, adaptive.STRATEGIES))}) WHERE query_id IN (SELECT query_id FROM qr)),
+ev AS ({' UNION ALL '.join(f"SELECT *, {k} AS top_k, {_OBJ} AS objective, {_TYPE} AS query_type FROM ({_metrics('fs', 'strategy, query_id', k)})" for k in (5, 10, 20))}),
+en AS (SELECT * REPLACE (round(objective, 9) AS objective) FROM ev WHERE top_k = 10),
+bq AS (SELECT query_id, query_type, max(CASE WHEN n = 1 THEN strategy END) AS strategy, max(CASE WHEN n = 1 THEN objective END) AS best, max(CASE WHEN n = 2 THEN objective END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY objective DESC, strategy) AS n FROM en) GROUP BY query_id, query_type)"""
+_FAMILY = "CASE WHEN strategy LIKE '%hybridrank%' THEN 'hybridrank' WHEN strategy LIKE '%weighted%' THEN 'weighted' WHEN strategy LIKE '%only%' THEN 'baseline' ELSE 'classic' END"
+_FRAG = f"""WITH {_bm25(top=10)}, fd AS (SELECT doc_id, text AS content, 'norma_' || (doc_id % 40) AS norma_id, CASE WHEN doc_id % 2 = 0 THEN 'Resolución' ELSE 'Ley' END AS tipo, doc_id % 90 AS numero, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2000 + doc_id % 20 END AS year, 'Ministerio ' || (doc_id % 7) AS organismo,
+ CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'GOC-2020-' || doc_id || '-O1' END AS goc, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id % 60 AS VARCHAR) END AS gn, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'ARTÍCULO ' || (doc_id % 9) END AS label,
+ CASE WHEN doc_id % 4 - 1 <= 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'Pag. ' || (doc_id % 4 - 1) ELSE 'Pags. ' || (doc_id % 4 - 1) || '-' || (doc_id % 4) END AS pages FROM documents WHERE doc_id % 11 <> 5),
+fr AS (SELECT *, tipo || ' ' || numero || '/' || year AS ref, row_number() OVER (PARTITION BY query_id ORDER BY rank0) AS rank FROM (SELECT query_id, score, rank AS rank0, fd.* FROM bm JOIN fd USING (doc_id)))"""
+_META = "nullif(concat_ws(' | ', CASE WHEN gn <> '' THEN 'Gaceta Oficial No. ' || gn END, '03 Marzo, 2021', nullif(goc, ''), pages), '')"
+
+
+def _context(rows: str, number: str, head: str) -> str:
+    return f"""bl AS (SELECT query_id, {number} AS i, '[Fuente ' || {number} || '] ' || ref || ' - ' || organismo || {head} || chr(10) || '---' || chr(10) || coalesce(content, '') || chr(10) AS block FROM {rows}),
+cx AS (SELECT query_id, string_agg(block, chr(10) ORDER BY i) AS context, CAST(count(*) AS INTEGER) AS n_sources FROM (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY i) AS total FROM bl) WHERE i = 1 OR total <= 12000 GROUP BY query_id)"""
+
+
+_CONTEXT = f"{_FRAG}, {_context('(SELECT * FROM fr WHERE rank <= 8)', 'rank', f"coalesce(chr(10) || {_META}, '') || CASE WHEN label <> '' THEN chr(10) || 'Seccion: ' || label ELSE '' END")}"
+_KEY = "ref || CASE WHEN goc <> '' THEN ' (' || goc || ')' ELSE '' END"
+_ANSWERS = f"""{_FRAG}, an AS (SELECT item_id AS query_id, CASE WHEN n IS NULL THEN '{rag.NO_SOURCES}' ELSE substr(string_split(text, chr(10))[1], 1, 40) || ' [Fuente 1] y [fuente 99]' END AS answer, coalesce(n, 0) AS n
+ FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS n FROM fr GROUP BY query_id) f ON f.query_id = item_id)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_HYBRID = f"{_BOTH} {_hybrid()}"
+# the rules over conversations; word bounds as the engine sees them, at letters of any script
+_START, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+
+
+def _bounded(p: str) -> str:
+    """A word bound at a pattern's end, at its start or after an alternative as the class of characters that may stand there."""
+    p = p[:-2] + _END if p.endswith(r"\b") else p
+    return p.replace(r"\b", _START)
+
+
+_FLAGS = ", ".join(f"regexp_matches(coalesce(text, ''), '{_bounded(p)}') AS {n}" for n, p in adaptive.PATTERNS.items())
+_RULES = rf"""sg AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+')) AS n_words, {_FLAGS} FROM conversations),
+ru AS (SELECT *, conv_id * 1000 + turn AS qid, [{', '.join(repr(t) for t in adaptive.TYPES)}][turn % {KINDS} + 1] AS gold, {{case}} FROM sg)"""
+_CASE = [("has_reference AND (has_number OR has_year)", 0.9), ("has_temporal", 0.9), ("has_multi_hop", 0.9), ("n_words <= 3 AND NOT has_reference", 0.7), ("has_norm AND n_words > 12", 0.7), ("TRUE", 0.55)]
+_RULES = _RULES.replace("{case}", "CASE " + " ".join(f"WHEN {t} THEN '{n}'" for (t, _), n in zip(_CASE, adaptive.TYPES, strict=True)) + " END AS kind, CASE " + " ".join(f"WHEN {t} THEN {c}" for t, c in _CASE) + " END AS confidence")
 
-_HYBRID = f"""{_BOTH},
-nr AS (SELECT *, {_NORM['minmax']} AS v, 1.0 / (rank + 10) AS rr FROM rk),
-w AS (SELECT query_id, doc_id, coalesce(max(CASE WHEN retriever = 'bm25' THEN rr END), 0.0) + coalesce(max(CASE WHEN retriever = 'dense' THEN rr END), 0.0) AS rrf, coalesce(max(CASE WHEN retriever = 'bm25' THEN v END), 0.0) AS s, coalesce(max(CASE WHEN retriever = 'dense' THEN v END), 0.0) AS d FROM nr GROUP BY query_id, doc_id),
-u AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS hi, min(rrf) OVER (PARTITION BY query_id) AS lo FROM w)
-{_best("SELECT query_id, doc_id, round(0.2 * (CASE WHEN hi = lo THEN 1.0 ELSE (rrf - lo) / (hi - lo) END) + 0.8 * (0.7 * s + (1 - 0.7) * d), 9) AS score FROM u")}"""
 
 _CHUNKS = "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id"
 _DUP = """SELECT o_custkey, max(CASE WHEN n = 1 THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS kept, o_orderkey AS superseded, n FROM (
@@ -321,32 +604,91 @@ def oracle_sql() -> dict[str, str]:
         "bm25_params": f"WITH {_bm25(1.2, 0.5)} SELECT * FROM bm",
         "dense_topk": f"WITH {_DENSE} SELECT * FROM dn",
         "hybrid_retrieval": _HYBRID,
-        "pool_full_outer": f"""{_BOTH}, w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN score END) AS s, max(CASE WHEN retriever = 'dense' THEN score END) AS d FROM rk GROUP BY query_id, doc_id)
-SELECT query_id, doc_id, s IS NOT NULL AND d IS NOT NULL AS both, row_number() OVER (PARTITION BY query_id ORDER BY (s IS NOT NULL AND d IS NOT NULL) DESC, greatest(s, d) DESC, doc_id) AS position FROM w""".replace(" AS both,", ' AS "both",'),
+        "pool_full_outer": f"""{_BOTH}, w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN score END) AS bm25, max(CASE WHEN retriever = 'dense' THEN score END) AS dense, max(CASE WHEN retriever = 'bm25' THEN rank END) AS r1, max(CASE WHEN retriever = 'dense' THEN rank END) AS r2 FROM rk GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(bm25, 6) AS bm25, round(dense, 6) AS dense, concat_ws('+', CASE WHEN bm25 IS NOT NULL THEN 'BM25' END, CASE WHEN dense IS NOT NULL THEN 'Dense' END) AS sources, bm25 IS NOT NULL AND dense IS NOT NULL AS "both",
+ row_number() OVER (PARTITION BY query_id ORDER BY (bm25 IS NOT NULL AND dense IS NOT NULL) DESC, greatest(bm25, dense) DESC, coalesce(r1, 1000000 + r2)) AS position FROM w""",
         "retriever_overlap": f"""{_BOTH}, w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN 1 ELSE 0 END) AS s, max(CASE WHEN retriever = 'dense' THEN 1 ELSE 0 END) AS d FROM rk WHERE rank <= 10 GROUP BY query_id, doc_id)
 SELECT query_id, CAST(sum(s * d) AS BIGINT) AS shared, CAST(sum(s * (1 - d)) AS BIGINT) AS sparse_only, CAST(sum(d * (1 - s)) AS BIGINT) AS dense_only, sum(s * d) / 10.0 AS overlap FROM w GROUP BY query_id""",
         "metrics_at_k": f"WITH {_DENSE}, {_QREL} {_at_k(5)} UNION ALL {_at_k(10)} UNION ALL {_at_k(20)}",
-        "grid_search": f"{_GRID} SELECT config, round(avg(objective), 6) AS objective, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM ob GROUP BY config",
+        "grid_search": f"{_GRID}, gs AS (SELECT config, round(avg(objective), 6) AS objective, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM ob GROUP BY config) SELECT *, CAST(rank() OVER (ORDER BY objective DESC) AS INTEGER) AS rank FROM gs",
+        "grid_top": f"{_GRID}, gs AS (SELECT config, round(avg(objective), 6) AS objective FROM ob GROUP BY config) SELECT config, objective FROM gs ORDER BY objective DESC, config LIMIT 10",
         "best_by_type": f"""{_GRID} SELECT kind, config, round(objective, 6) AS objective, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY objective DESC, config) AS i FROM (
-SELECT query_id % {KINDS} AS kind, config, round(avg(objective), 9) AS objective, count(*) AS n FROM ob GROUP BY kind, config)) WHERE i = 1""",
-        "loo_cv": f"""{_GRID}, un AS (SELECT config, query_id, round(objective, 9) AS objective, CAST(round(objective * 1e9) AS BIGINT) AS o FROM ob),
-ot AS (SELECT a.config, a.query_id, any_value(a.objective) AS test, sum(b.o) AS others, count(*) AS n FROM un a JOIN un b ON a.config = b.config AND a.query_id <> b.query_id GROUP BY a.config, a.query_id)
+SELECT kind, config, round(avg(objective), 9) AS objective, count(*) AS n FROM ob JOIN ki USING (query_id) GROUP BY kind, config)) WHERE i = 1""",
+        "loo_cv": f"""{_GRID}, {_UNITS}, {_OTHERS}
 SELECT query_id, config, round(others / n / 1e9, 6) AS train, round(test, 6) AS test FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY others DESC, config) AS i FROM ot) WHERE i = 1""",
+        "policy_fit": f"{_GRID}, {_POLICY} SELECT kind, config, round(objective, 6) AS objective, n, fallback FROM pl",
+        "adaptive_retrieval": f"""{_both(DEEP)}, {_QREL}, {_CONFIGS}, {_FUSED.replace('@cf', 'cf')}, ob AS (SELECT *, {_OBJ} AS objective FROM ({_metrics('fu', 'config, query_id', 10)})), ki AS (SELECT DISTINCT query_id, {_TYPE} AS kind FROM qr), {_POLICY}, {_CHOSEN},
+c2 AS (SELECT * REPLACE (50 AS ck) FROM cf), {_FUSED.replace('@cf', 'c2').replace('nr AS', 'nr2 AS').replace('FROM nr ', 'FROM nr2 ').replace('dc AS', 'dc2 AS').replace('FROM dc ', 'FROM dc2 ').replace('cd AS', 'cd2 AS').replace('FROM cd)', 'FROM cd2)').replace('cu AS', 'cu2 AS').replace('FROM cu)', 'FROM cu2)').replace('cs AS', 'cs2 AS').replace('FROM cs)', 'FROM cs2)').replace('fu AS', 'fu2 AS')}
+SELECT query_id, doc_id, score, rank FROM fu2 JOIN ch USING (query_id, config)""",
+        "adaptive_configs": f"""{_GRID}, {_POLICY}, {_CHOSEN}, r5 AS (SELECT * FROM rk WHERE rank <= {TOP}),
+w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' AND rank <= 10 THEN 1 ELSE 0 END) * max(CASE WHEN retriever = 'dense' AND rank <= 10 THEN 1 ELSE 0 END) AS shared FROM r5 GROUP BY query_id, doc_id),
+g AS (SELECT query_id, max(CASE WHEN retriever = 'bm25' AND rank = 1 THEN score END) AS a, max(CASE WHEN retriever = 'dense' AND rank = 1 THEN score END) AS b FROM r5 GROUP BY query_id)
+SELECT query_id, kind, CAST(confidence AS DOUBLE) AS confidence, config, config = {adaptive.FALLBACK} AS fallback_used, o.overlap, round(a, 6) AS top1_sparse, round(b, 6) AS top1_dense, round(a - b, 6) AS gap FROM ch JOIN (SELECT query_id, sum(shared) / 10.0 AS overlap FROM w GROUP BY query_id) o USING (query_id) JOIN g USING (query_id)""",
+        "adaptive_loo": f"""{_GRID}, {_UNITS}, oa AS (SELECT kind, config, query_id, sum(o) OVER (PARTITION BY kind, config) - o AS others, count(*) OVER (PARTITION BY kind, config) - 1 AS n FROM un JOIN ki USING (query_id)),
+le AS (SELECT query_id, config FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY others DESC, config) AS i FROM oa WHERE n >= {adaptive.LEAST}) WHERE i = 1),
+cc AS (SELECT query_id, kind, coalesce(config, {adaptive.FALLBACK}) AS config FROM ki LEFT JOIN le USING (query_id))
+SELECT query_id, kind, config, config = {adaptive.FALLBACK} AS fallback_used, round(objective, 6) AS objective FROM cc JOIN ob USING (query_id, config)""",
+        "config_usage": f"""{_GRID}, {_UNITS}, oa AS (SELECT kind, config, query_id, sum(o) OVER (PARTITION BY kind, config) - o AS others, count(*) OVER (PARTITION BY kind, config) - 1 AS n FROM un JOIN ki USING (query_id)),
+le AS (SELECT query_id, config FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY others DESC, config) AS i FROM oa WHERE n >= {adaptive.LEAST}) WHERE i = 1),
+cc AS (SELECT kind, coalesce(config, {adaptive.FALLBACK}) = {adaptive.FALLBACK} AS f FROM ki LEFT JOIN le USING (query_id)) SELECT kind, count(*) FILTER (f) AS n_fallback, count(*) FILTER (NOT f) AS n_learned FROM cc GROUP BY kind""",
+        "loo_summary": f"{_FOLDS} SELECT strategy, round(avg(train), 6) AS mean_train, round(avg(test), 6) AS mean_test, round(stddev_samp(test), 6) AS std_test, round(avg(train) - avg(test), 6) AS overfitting_gap, count(*) AS n FROM fo GROUP BY strategy",
+        "paired_comparison": f"{_FOLDS} SELECT * FROM pa",
+        "paired_summary": f"""{_FOLDS} SELECT count(*) AS n, count(*) FILTER (winner = 'hybridrank') AS wins, count(*) FILTER (winner = 'weighted') AS losses, count(*) FILTER (winner = 'tie') AS ties, round(avg(difference), 6) AS mean, round(median(difference), 6) AS median,
+ round(stddev_pop(difference), 6) AS std, round(min(difference), 6) AS least, round(max(difference), 6) AS greatest FROM pa""",
+        "signed_rank": f"""{_FOLDS}, nz AS (SELECT difference AS d, rank() OVER (ORDER BY round(abs(difference), 9)) + (count(*) OVER (PARTITION BY round(abs(difference), 9)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY round(abs(difference), 9)) AS t FROM pa WHERE abs(difference) > 1e-6),
+s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS p, coalesce(sum(r) FILTER (d < 0), 0) AS m, coalesce(sum(t * t - 1), 0) AS c FROM nz)
+SELECT n, round(p, 6) AS w_plus, round(m, 6) AS w_minus, CASE WHEN n >= 6 THEN round(least(p, m), 6) END AS statistic, CASE WHEN n >= 6 THEN round((least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - c / 48), 6) END AS z FROM s""",
+        "sign_test": f"""{_FOLDS}, s AS (SELECT count(*) FILTER (difference > 1e-6) AS wins, count(*) FILTER (difference < -1e-6) AS losses, count(*) FILTER (abs(difference) <= 1e-6) AS ties FROM pa),
+b AS (SELECT *, range AS i, exp(lgamma(wins + losses + 1.0) - lgamma(range + 1.0) - lgamma(wins + losses - range + 1.0) - (wins + losses) * ln(2.0)) AS p FROM s, range(0, 1000) WHERE range <= wins + losses)
+SELECT wins, losses, ties, CASE WHEN wins + losses > 0 THEN round(least(1.0, sum(p) FILTER (p <= w * (1 + 1e-9))), 6) END AS p_value FROM (SELECT *, max(CASE WHEN i = wins THEN p END) OVER () AS w FROM b) GROUP BY wins, losses, ties""",
+        "named_strategies": f"{_EVALUATED} SELECT strategy, query_id, query_type, top_k, {_round(*reports.METRICS, 'objective')} FROM ev",
+        "strategy_summary": f"{_EVALUATED}, m AS (SELECT strategy, {', '.join(f'round(avg({x}), 4) AS {x}' for x in reports.METRICS)} FROM en GROUP BY strategy) SELECT *, CAST(row_number() OVER (ORDER BY recall DESC, strategy) AS INTEGER) AS position FROM m",
+        "best_by_metric": f"""{_GRID}, g AS (SELECT config, {', '.join(f'round(avg({x}), 9) AS {x}' for x in reports.METRICS)} FROM ob GROUP BY config), u AS (UNPIVOT g ON {', '.join(reports.METRICS)} INTO NAME metric VALUE value)
+SELECT metric, config, round(value, 6) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, config) AS i FROM u) WHERE i = 1""",
+        "type_pivot": f"""{_EVALUATED}, p AS (SELECT query_type, {', '.join(f"avg(objective) FILTER (strategy = '{n}') AS {a}" for n, a in (('bm25_only', 'bm25_only'), ('dense_only', 'dense_only'), ('rrf_k60', 'rrf_k60'), ('hybridrank_a0.7_b0.3', 'hybridrank')))} FROM en GROUP BY query_type)
+SELECT query_type, {_round('bm25_only', 'dense_only', 'rrf_k60', 'hybridrank')}, round(list_avg(list_filter([bm25_only, dense_only, rrf_k60, hybridrank], lambda x: x IS NOT NULL)), 6) AS mean FROM p""",
+        "best_strategy_per_query": f"{_EVALUATED} SELECT query_id, query_type, strategy, round(best, 6) AS best, round(second, 6) AS second, round(best - second, 6) AS gap FROM bq",
+        "winner_counts": f"{_EVALUATED} SELECT {_FAMILY} AS family, count(*) AS wins FROM bq GROUP BY 1",
+        "query_difficulty": f"""{_EVALUATED}, q AS (SELECT query_id, query_type, avg(objective) AS mean, max(objective) AS greatest, min(objective) AS least, stddev_samp(objective) AS std FROM en GROUP BY query_id, query_type)
+SELECT q.query_id, q.query_type, {_round('mean', 'greatest', 'least', 'std')}, CASE WHEN mean >= 0.8 THEN 'easy' WHEN mean >= 0.5 THEN 'medium' ELSE 'hard' END AS difficulty, coalesce(std > 0.1, false) AS differs, bq.strategy AS best_strategy, round(best - second, 6) AS gap FROM q JOIN bq USING (query_id)""",
+        "strategy_deltas": f"""{_EVALUATED}, m AS (SELECT strategy, avg(objective) AS mean FROM en GROUP BY strategy), f AS (SELECT max(mean) FILTER (strategy = 'rrf_k60') AS r, max(mean) FILTER (strategy IN ('bm25_only', 'dense_only')) AS b FROM m)
+SELECT strategy, round(mean, 6) AS mean, round(mean - r, 6) AS delta, round(100 * (mean - b) / nullif(b, 0), 6) AS percent FROM m, f""",
+        "overlap_summary": f"""{_BOTH}, {_QREL}, o AS (SELECT query_id, k AS top_k, {_TYPE} AS query_type, sum(s * d) / k AS overlap FROM (SELECT query_id, doc_id, k, max(CASE WHEN retriever = 'bm25' THEN 1 ELSE 0 END) AS s, max(CASE WHEN retriever = 'dense' THEN 1 ELSE 0 END) AS d FROM rk, (VALUES (5), (10), (20)) v(k) WHERE rank <= k GROUP BY query_id, doc_id, k) WHERE query_id IN (SELECT query_id FROM qr) GROUP BY query_id, k)
+SELECT coalesce(query_type, 'GLOBAL') AS query_type, CAST(top_k AS INTEGER) AS top_k, round(avg(overlap), 6) AS overlap, count(*) AS n FROM o GROUP BY GROUPING SETS ((query_type, top_k), (top_k))""",
+        "confusion_matrix": f"""WITH {_RULES}, g AS (SELECT unnest([{', '.join(repr(t) for t in sorted(adaptive.TYPES))}]) AS gold) SELECT g.gold, {', '.join(f"count(*) FILTER (kind = '{t}') AS {t}" for t in sorted(adaptive.TYPES))} FROM g LEFT JOIN ru USING (gold) GROUP BY g.gold""",
+        "classification_summary": f"""WITH {_RULES}, p AS (SELECT 'rule_based' AS classifier, gold, kind FROM ru UNION ALL SELECT 'length', gold, CASE WHEN qid % 7 = 0 THEN '' WHEN length(text) % 2 = 0 THEN '{adaptive.TYPES[0]}' ELSE '{adaptive.TYPES[5]}' END FROM ru)
+SELECT classifier, gold, round(avg(CASE WHEN kind = gold THEN 1.0 ELSE 0.0 END), 4) AS accuracy, count(*) AS n FROM p WHERE kind <> '' GROUP BY GROUPING SETS ((classifier), (classifier, gold))""",
+        "rule_classify": f"WITH {_RULES} SELECT conv_id, turn, CAST(n_words AS INTEGER) AS n_words, has_number, has_year, kind, CAST(confidence AS DOUBLE) AS confidence FROM ru",
+        "column_profile": " UNION ALL ".join(f'SELECT \'{c}\' AS "column", count(DISTINCT {c}) AS "distinct", count(*) FILTER ({c} IS NULL) AS nulls FROM documents' for c in ("lang", "source", "text")),
+        "index_audit": f"WITH t AS (SELECT doc_id, len({_TOKENS}) > 0 AS has FROM documents) SELECT count(*) AS in_corpus, count(*) FILTER (has) AS in_index, count(*) FILTER (NOT has) AS missing, CAST(0 AS BIGINT) AS unknown, bool_and(has) AS agrees FROM t",
+        "missing_fragments": f"WITH {_bm25(top=10)} SELECT query_id, doc_id FROM bm WHERE doc_id % 11 = 5",
+        "context_per_norm": f"""{_FRAG}, dd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM (SELECT *, row_number() OVER (PARTITION BY query_id, norma_id ORDER BY rank) AS nth FROM fr WHERE rank <= 8) WHERE nth = 1), {_context('dd', 'i', "''")} SELECT query_id, md5(context) AS digest, n_sources FROM cx""",
+        "rag_batch": f"""{_ANSWERS}, en AS (SELECT query_id, rank, '**[Fuente ' || rank || ']** ' || ref || chr(10) || '  *' || organismo || '*' || coalesce(chr(10) || '  ' || nullif(concat_ws(' | ', CASE WHEN gn <> '' THEN 'Gaceta Oficial No. ' || gn || ', 03 Marzo, 2021' END, nullif(goc, ''), pages), ''), '') AS entry, {_KEY} AS key FROM fr),
+bi AS (SELECT query_id, '---' || chr(10) || '**Fuentes Consultadas**' || chr(10) || chr(10) || max(CASE WHEN rank = 1 THEN entry END) || chr(10) || coalesce(chr(10) || '**Otras fuentes recuperadas:**' || chr(10) || string_agg(CASE WHEN rank > 1 THEN '- ' || key || chr(10) END, '' ORDER BY rank), '') AS bib FROM en GROUP BY query_id)
+SELECT query_id, md5(answer) AS answer, CAST(n AS INTEGER) AS n_retrieved, CASE WHEN n > 0 THEN 1 ELSE 0 END AS n_valid, CASE WHEN n > 0 THEN 1 ELSE 0 END AS n_invalid, CAST(greatest(n - 1, 0) AS INTEGER) AS n_uncited, md5(coalesce(answer || chr(10) || chr(10) || bib, answer)) AS digest FROM an LEFT JOIN bi USING (query_id)""",
+        "rag_prompts": f"""{_CONTEXT} SELECT query_id, md5({_quoted(rag.SYSTEM)}) AS system, md5({_quoted(rag.USER).replace('{context}', "' || context || '").replace('{query}', "' || text || '")}) AS "user" FROM cx JOIN benchmark ON item_id = query_id""",
+        "rag_log": f"""{_ANSWERS} SELECT query_id, 'bm25' AS retriever, 'echo' AS provider, CAST(n AS INTEGER) AS n_docs, coalesce(sources, '') AS sources, md5(substr(answer, 1, 500)) AS answer FROM an LEFT JOIN (SELECT query_id, string_agg({_KEY}, ';' ORDER BY rank) AS sources FROM fr GROUP BY query_id) USING (query_id)""".replace("'echo' AS provider, ", ""),
+        "sources_list": f"{_FRAG} SELECT query_id, md5(string_agg('[Fuente ' || rank || '] ' || ref || ' — ' || organismo, chr(10) ORDER BY rank)) AS digest FROM fr GROUP BY query_id",
+        "judgement_records": f"""{_both(10)}, {_QREL}, w AS (SELECT query_id, doc_id, max(CASE WHEN retriever = 'bm25' THEN score END) AS a, max(CASE WHEN retriever = 'dense' THEN score END) AS b, max(CASE WHEN retriever = 'bm25' THEN rank END) AS r1, max(CASE WHEN retriever = 'dense' THEN rank END) AS r2 FROM rk GROUP BY query_id, doc_id),
+p AS (SELECT query_id, doc_id, 'norma_' || (doc_id % 40) AS norm, row_number() OVER (PARTITION BY query_id ORDER BY (a IS NOT NULL AND b IS NOT NULL) DESC, greatest(a, b) DESC, coalesce(r1, 1000000 + r2)) AS i, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM qr) AS rel FROM w),
+n1 AS (SELECT query_id, norm, min(i) AS i, min(i) FILTER (rel) AS j FROM p GROUP BY query_id, norm)
+SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS pool_docs, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) FILTER (rel), '') AS relevant_docs, any_value(pn) AS pool_normas, coalesce(any_value(rn), '') AS relevant_normas
+FROM p JOIN (SELECT query_id, string_agg(norm, ',' ORDER BY i) AS pn, string_agg(norm, ',' ORDER BY j) FILTER (j IS NOT NULL) AS rn FROM n1 GROUP BY query_id) USING (query_id) GROUP BY query_id""",
+        "vector_index_rows": """SELECT 'c' || doc_id AS id, md5(CASE WHEN doc_id % 4 = 0 THEN text ELSE coalesce(text, text) END) AS digest, CAST(len(embedding) AS INTEGER) AS dimension, coalesce(source, '') AS source, CAST(CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id % 70 END AS INTEGER) AS page_number, '["' || lang || '"]' AS gaceta_normas
+FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 9 <> 0 AND doc_id % 8 <> 1 AND trim(coalesce(text, '')) <> ''""",
+        "embedding_statistics": "SELECT count(*) AS total, count(vec_id) AS valid, count(*) - count(vec_id) AS empty, CAST(max(len(embedding)) AS INTEGER) AS dimension FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+        "resume_remaining": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+        "surrogate_ids": "SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS id FROM orders",
+        "selected_files": """WITH e AS (SELECT o_orderkey, 'f' || (o_orderkey % 5000) AS path, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 's' || (o_orderkey % 700) END AS checksum FROM orders WHERE o_orderkey % 3 <> 0),
+t AS (SELECT DISTINCT 'f' || (o_orderkey % 5000) AS path FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT o_orderkey, path, checksum FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN checksum <> '' THEN 'c:' || checksum ELSE 'p:' || path END ORDER BY o_orderkey) AS n FROM e SEMI JOIN t USING (path)) WHERE n = 1""",
+        "text_previews": r"SELECT doc_id, md5(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE coalesce(text, '') END) AS preview, md5(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[^\S\n]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS readable FROM documents",
         "group_concat_ordered": f"SELECT conv_id, md5(text) AS digest, CAST(n AS INTEGER) AS n FROM ({_CHUNKS})",
         "asof_page": f"""WITH c AS ({_CHUNKS}), o AS (SELECT conv_id, unnest(range(0, length(text) + 1, 100)) AS at FROM c),
 b AS (SELECT conv_id, turn AS page, coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations)
 SELECT o.conv_id, o.at, max_by(b.page, b.start) AS page FROM o JOIN b ON b.conv_id = o.conv_id AND b.start <= o.at GROUP BY o.conv_id, o.at""",
         "dup_latest": f"SELECT o_custkey, kept, superseded FROM ({_DUP}) WHERE n > 1",
         "anti_superseded": f"SELECT o_custkey, superseded AS o_orderkey FROM ({_DUP}) WHERE n = 1",
-        "greedy_match": f"""WITH l AS (SELECT o_orderkey AS g, o_orderstatus AS kind, year(o_orderdate) AS number, o_orderkey AS lid FROM orders),
-r AS (SELECT l_orderkey AS g, l_linestatus AS kind, year(l_shipdate) AS number, l_orderkey * 1000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(f"{c} NULLS FIRST" for c in LINE_ORDER)}) AS rid FROM lineitem),
-a AS (SELECT x.g, lid, rid FROM (SELECT *, row_number() OVER (PARTITION BY g, kind, number ORDER BY lid) AS n FROM l) x JOIN (SELECT *, row_number() OVER (PARTITION BY g, kind, number ORDER BY rid) AS n FROM r) y USING (g, kind, number, n)),
-l1 AS (SELECT * FROM l ANTI JOIN a USING (lid)), r1 AS (SELECT * FROM r ANTI JOIN a USING (rid)),
-b AS (SELECT x.g, lid, rid FROM (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY lid) AS n FROM l1) x JOIN (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY rid) AS n FROM r1) y USING (g, kind, n)),
-l2 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY lid) AS n, count(*) OVER (PARTITION BY g) AS size FROM l1 ANTI JOIN b USING (lid)),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rid) AS n, count(*) OVER (PARTITION BY g) AS size FROM r1 ANTI JOIN b USING (rid)),
-c AS (SELECT x.g, lid, rid FROM l2 x JOIN r2 y USING (g, n, size))
-SELECT g, lid, rid, 'number' AS phase FROM a UNION ALL SELECT g, lid, rid, 'kind' FROM b UNION ALL SELECT g, lid, rid, 'place' FROM c UNION ALL SELECT g, lid, NULL, 'none' FROM l2 ANTI JOIN c USING (lid)""",
         "first_occurrence": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",
         "ref_resolution": """WITH n AS (SELECT s_suppkey AS norm_id, s_nationkey AS nation, s_suppkey % 5 AS number, CAST(s_suppkey % 7 AS VARCHAR) AS org, CAST(s_suppkey % 11 AS VARCHAR) AS w2 FROM supplier),
 r AS (SELECT c_custkey AS ref_id, c_nationkey AS nation, c_custkey % 5 AS number, CAST(c_custkey % 7 AS VARCHAR) AS src, CAST(c_custkey % 13 AS VARCHAR) AS word FROM customer),
@@ -357,12 +699,10 @@ SELECT ref_id, CASE WHEN n = 1 THEN lone WHEN fuzzy IS NOT NULL THEN fuzzy WHEN
         "word_windows": r"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(0, greatest(1, CAST(ceil((len(ws) - 60) / 320.0) AS BIGINT)))) AS part FROM w WHERE len(ws) > 0)
 SELECT doc_id, CAST(part AS INTEGER) AS part, md5(array_to_string(ws[part * 320 + 1 : part * 320 + 380], ' ')) AS digest, printf('%d__f%03d', doc_id, part) AS fragment_id FROM p""",
-        "context_budget": f"""WITH {_bm25()}, f AS (SELECT bm.query_id, rank, '[Fuente ' || rank || ']' || chr(10) || coalesce(d.text, '') AS block FROM bm JOIN documents d USING (doc_id) WHERE rank <= 8),
-g AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM f)
-SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS digest, CAST(count(*) AS INTEGER) AS n_sources FROM g WHERE i = 1 OR total <= 12000 GROUP BY query_id""",
+        "context_budget": f"{_CONTEXT} SELECT query_id, md5(context) AS digest, n_sources FROM cx",
         "summary_rollup": f"""WITH {_DENSE}, {_QREL}, m AS (SELECT *, query_id % {KINDS} AS kind FROM ({_metrics('dn', 'query_id', 10)}))
 SELECT kind, round(avg(recall), 6) AS recall, round(stddev_samp(recall), 6) AS sd, count(*) AS n FROM m GROUP BY ROLLUP (kind)""",
-        "vocabulary": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS term FROM documents) WHERE length(term) > 2 GROUP BY term",
+        "vocabulary": f"SELECT DISTINCT term FROM (SELECT unnest({_TOKENS}) AS term FROM documents) WHERE regexp_matches(term, '^\\p{{L}}{{3,}}$')",
         "interaction_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
         "fuse_rrf": f"{_BOTH} {_wide('1.0 / (rank + 60)', 's + d')}",
         "fuse_borda": f"{_BOTH} {_wide(f'CAST(count(*) {_W} - rank + 1 AS DOUBLE)', 's + d')}",
@@ -370,5 +710,6 @@ SELECT kind, round(avg(recall), 6) AS recall, round(stddev_samp(recall), 6) AS s
         "fuse_combmnz": f"{_BOTH} {_wide(_NORM['minmax'], '(CAST(s > 0 AS INTEGER) + CAST(d > 0 AS INTEGER)) * (greatest(s, 0.0) + greatest(d, 0.0))')}",
         "fuse_weighted": f"{_BOTH} {_wide(_NORM['minmax'], '0.5 * s + (1 - 0.5) * d')}",
     }
+    out |= gazettes.oracle_sql()
     out |= {f"norm_{n}": f"WITH {_bm25()} SELECT query_id, doc_id, round({v}, 6) AS norm FROM bm" for n, v in _NORM.items()}
     return out
