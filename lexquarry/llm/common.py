@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D everywhere, as in
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def kept_table(df: DataFrame) -> DataFrame:
     return Tables(df.sparkSession).keep(df)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -96,7 +110,16 @@ def text_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), data])
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on after a task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches again, each of about `most` bytes of text (a longer text is alone): bounds the memory of a step."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -119,6 +142,8 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
             start = stop
     if held:
         yield joined(held)
+    held.clear()
+    trim()
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -221,8 +246,9 @@ def hashed_counts(df: DataFrame, counts_of: Callable[[pa.RecordBatch], np.ndarra
             total += np.bincount(counts_of(batch), minlength=size)
         blocks = total.reshape(-1, chunk)
         rows = np.flatnonzero(blocks.any(axis=1))
+        some = TaskContext.get().partitionId() // 256
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in rows], pa.binary())], ["chunk", "counts"]
+            [pa.array(np.full(len(rows), some), pa.int32()), pa.array(rows, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in rows], pa.binary())], ["some", "chunk", "counts"]
         )
 
     def summed(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +256,14 @@ def hashed_counts(df: DataFrame, counts_of: Callable[[pa.RecordBatch], np.ndarra
         for batch in rows:
             for blob in batch.column("counts"):
                 total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     kinds = "chunk int, counts binary"
     out = np.zeros(size, dtype=np.int64)
-    for row in df.mapInArrow(partial, kinds).groupBy("chunk").applyInArrow(summed, kinds).collect():
-        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(bytes(row.counts), dtype=np.int64)
+    # in two steps, so that a group never holds more than a few hundred tasks' vectors
+    parts = df.mapInArrow(partial, "some int, " + kinds).groupBy("chunk", "some").applyInArrow(summed, kinds)
+    for row in parts.groupBy("chunk").applyInArrow(summed, kinds).collect():
+        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
     return out.reshape(planes, n_buckets) if planes > 1 else out
 
 

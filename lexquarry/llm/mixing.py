@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import cut
+from lexquarry.llm.common import cut, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -168,13 +168,14 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, most: float = MOST, b
     sized = cut(prepared(docs))
     found = shares(sized.withColumnRenamed("sized_source", "source"), share, most)
     parts = mix(docs, sized, found, block_tokens).groupBy("key", "place", "pass").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("size").alias("size"))
-    parts = parts.select("key", *(F.col(c).alias(f"part_{c}") for c in ("first", "last", "size")))
-    whole = (F.col("part_first") == 0) & (F.col("part_last") == F.col("part_size"))
+    key, first, last, size = fresh(docs, "key", "first", "last", "size")
+    parts = parts.select(F.col("key").alias(key), F.col("first").alias(first), F.col("last").alias(last), F.col("size").alias(size))
+    whole = (F.col(first) == 0) & (F.col(last) == F.col(size))
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    some = F.array_join(F.slice(words, (F.col("part_first") + 1).cast("int"), (F.col("part_last") - F.col("part_first")).cast("int")), " ")
+    some = F.array_join(F.slice(words, (F.col(first) + 1).cast("int"), (F.col(last) - F.col(first)).cast("int")), " ")
     # rows alike in doc_id, text and source have one key, and a part for each of them
-    once = docs.withColumn("key", F.xxhash64("doc_id", "text", "source")).dropDuplicates(["key"])
-    return once.join(parts, "key").withColumn("text", F.when(whole, F.col("text")).otherwise(some)).select(*docs.columns)
+    once = docs.withColumn(key, F.xxhash64("doc_id", "text", "source")).dropDuplicates([key])
+    return once.join(parts, key).withColumn("text", F.when(whole, F.col("text")).otherwise(some)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from lexquarry.llm.common import by_bytes, coded_words, cut, spans, strings, sym
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+SALTED = 100_000  # pieces of one length that are ranked in one group, about
 GRID = 8  # tokens in a length class of the fitted patterns
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -127,7 +128,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32 and a salt for ranking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, most=8 << 20):
+        for batch in by_bytes(batches):
             ids, offsets = encoded(text_array(batch.column("text")), path, end_id)
             lengths = np.diff(offsets)
             n = -(-lengths // capacity)
@@ -137,7 +138,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             length = np.minimum(capacity, lengths[row] - start)
             view, at = memoryview(ids).cast("B"), (offsets[row] + start) * 4
             crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(at, at + length * 4, strict=True)), dtype=np.int64, count=len(row))
-            salt = (crc ^ (crc >> 11) ^ (row * 7919)) % 64
+            salt = (crc ^ (crc >> 11) ^ (row * 7919)) & 0x7FFFFFFF
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(salt, pa.int32())],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
@@ -261,6 +262,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, grid: int = GRID) -> l
 
 def packed(cut_pieces: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
     """Add sequence_id and offset to pieces (a materialised table as `pieces` gives)."""
+    salts = max(64, cut_pieces.count() // SALTED)
+    cut_pieces = cut_pieces.withColumn("salt", F.col("salt") % salts)
     counts = cut_pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     per_length = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
     histogram = np.zeros(capacity + 1, dtype=np.int64)

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.llm.common import fresh
+
 SPACE = r"[\x20\x09-\x0D]+"
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}"
 WITH_DIGIT = r"(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}"
@@ -268,9 +270,7 @@ def redact(docs: DataFrame, trees: list | None = None) -> DataFrame:
     A long run is replaced wherever it stands, another value only where it is assigned.
     """
     trees = trees or trained(docs.sparkSession)
-    own = "findings"
-    while own in docs.columns:
-        own += "_"
+    (own,) = fresh(docs, "findings")
     secrets = F.sort_array(F.array_distinct(F.transform(F.filter(own, lambda c: c["score"] >= CUT), lambda c: F.struct(F.length(c["core"]).alias("n"), c["core"].alias("core")))), False)
     here = lambda core: F.concat(F.lit(f"({ASSIGN})\\Q"), F.replace(core, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9_+/-])"))
     masked = lambda t, core: F.when(core.rlike(f"^{WITH_DIGIT}$"), F.replace(t, core, F.lit(MASK))).otherwise(F.regexp_replace(t, here(core), F.lit(f"$1{MASK}")))

@@ -8,7 +8,7 @@ one call by ranks (a proof in the tests and the library on demand hold this to t
 as a whole.
 
 Nulls count as empty texts (0 tokens), a null doc_id stays null, repeated rows each give a row, other columns are not
-read. Long texts are cut into units like any other; memory follows the distinct units of about 8 MB of text.
+read. Long texts are cut into units like any other; memory follows the distinct units of about 4 MB of text.
 """
 
 from __future__ import annotations
