@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages over `documents`: quality rules, near duplicates, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns a DataFrame; every one but
-the last returns the columns of `documents`.
+the last returns the columns of `documents` and of any others that the rows have, whatever their names.
+
+In every stage a null text counts as empty: quality rules drop it (it has fewer than 10 words). A null doc_id sorts last among
+near duplicates, a null source is a source of its own, repeated rows are one document from the second stage on, ties go to the least doc_id
+(then key), an empty table stays empty, and texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import jaccard_join, mixing, packing, quality, secrets
-from lexquarry.llm.common import cut, hashed_id, kept_table
+from lexquarry.llm.common import fresh, hashed_id, kept_table
 
 #: No SQL: the quality verdict needs hashed multinomials, packing a tokenizer. A brute-force test of the whole is still missing.
 ORACLE_SQL = None
@@ -24,13 +28,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that link, that with the least doc_id stays."""
-    rows = cut(jaccard_join.link_classes(docs))
+    rows = jaccard_join.link_classes(docs)
     # a document without shingles is a group of its own
     first = rows.groupBy("component", F.when(F.col("component").isNull(), F.col("key")).alias("alone")).agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    keep = first.select(F.col("first.key").alias("key_"))
-    keyed = docs.withColumn("key_", hashed_id())
+    (key,) = fresh(docs, "key")
+    keep = first.select(F.col("first.key").alias(key))
     # rows alike in doc_id and text are one document
-    once = keyed.join(keep, "key_", "left_semi").dropDuplicates(["key_"])
+    once = docs.withColumn(key, hashed_id()).join(keep, key, "left_semi").dropDuplicates([key])
     return once.select(*docs.columns)
 
 
