@@ -2,13 +2,16 @@
 
 `encode` stores bytes losslessly as 8-bit mono samples (a byte less 128) in a FLAC stream: STREAMINFO with the samples'
 MD5, a SEEKTABLE with a point for every frame, and frames of up to `BLOCK` samples whose subframes are constant, verbatim,
-a fixed predictor of order 0 to 2 or a linear predictor of order 1, with partitioned Rice residuals. `decode` reads a
+a fixed predictor of order 0 to 2 or a linear predictor of order 1 or 2, with partitioned Rice residuals. `decode` reads a
 stream back: it parses metadata, checks the headers' CRC-8 and the frames' CRC-16, decodes Rice residuals and fixed or linear
-predictors (any order, any coefficients), compares the MD5 and returns PCM blocks with their sample offsets. Both work on the
-frames of many streams at once, a sample of every frame at a time, in numpy.
+predictors (any order, any coefficients), compares the MD5 and returns PCM blocks with their sample offsets. Without a full seek
+table the frames are found by their sync codes and checksums. `read_at` decodes only the frames that hold the samples asked for.
+Whatever is damaged raises `Broken`. Both directions work on `RUN` frames of many streams at once, a sample of every frame at a time, in numpy.
+
+`pcm_blocks` writes the decoded samples as blocks with their offsets; features and `samples` read from those.
 
 A null text counts as empty; an empty text is 64 zero bytes. Null doc_ids and repeated rows are kept as they are. Texts
-are stored whole; memory follows blocks of about 4 MB of text.
+are stored whole; memory follows blocks of about 2 MB of text, or a longer text's own size and its stream's.
 """
 
 from __future__ import annotations
@@ -25,9 +28,13 @@ from pyspark.sql import functions as F
 from lexquarry.llm.common import by_bytes, spans
 
 BLOCK = 1024
+RUN = 512  # frames that are worked on at once
 RATE = 8000
 UNIT = 64
 LPC_PRECISION = 8
+POINT = [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]  # of a seek table
+MOST_POINTS = ((1 << 24) - 1) // 18
+WARM = np.array([0, 1, 2, 1, 2])  # warm-up samples of the predictors that are written: fixed 0 to 2, linear 1 and 2
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -73,29 +80,35 @@ def utf8_number(n: int) -> bytes:
 
 
 def residuals(x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(predictor of each frame, its residuals, quantised coefficient of the linear predictor). x: frames x BLOCK.
+    """(predictor of each frame, its residuals, quantised coefficients of the linear predictor). x: frames x BLOCK.
 
-    Predictors 0, 1, 2 are the fixed ones of that order; 3 is linear of order 1 with a shift of LPC_PRECISION - 2 bits.
+    Predictors 0, 1, 2 are the fixed ones of that order; 3 and 4 are linear of order 1 and 2 with a shift of LPC_PRECISION - 2 bits.
     """
     n = valid.sum(axis=1)
     first = np.zeros_like(x)
     first[:, 1:] = x[:, 1:] - x[:, :-1]
     second = np.zeros_like(x)
     second[:, 2:] = first[:, 2:] - first[:, 1:-1]
-    past, now = x[:, :-1].astype(np.float64), x[:, 1:].astype(np.float64)
-    inside = valid[:, 1:]
-    energy = np.maximum((past * past * inside).sum(axis=1), 1)
     shift = LPC_PRECISION - 2
-    coefficient = np.clip(np.round((past * now * inside).sum(axis=1) / energy * (1 << shift)), -(1 << (LPC_PRECISION - 1)), (1 << (LPC_PRECISION - 1)) - 1).astype(np.int32)
-    linear = np.zeros_like(x)
-    linear[:, 1:] = x[:, 1:] - ((x[:, :-1] * coefficient[:, None]) >> shift)
-    candidates = np.stack([x, first, second, linear])
-    warm = np.array([0, 1, 2, 1])
-    cost = np.stack([(np.abs(r[:, w:]) * valid[:, w:]).sum(axis=1) for r, w in zip(candidates, warm, strict=True)])
-    cost = cost + warm[:, None] * 8
+    quantised = lambda c: np.clip(np.round(c * (1 << shift)), -(1 << (LPC_PRECISION - 1)), (1 << (LPC_PRECISION - 1)) - 1).astype(np.int32)
+    y = np.where(valid, x, 0).astype(np.float64)
+    now, one, two = y[:, 2:], y[:, 1:-1] * valid[:, 2:], y[:, :-2] * valid[:, 2:]
+    product = lambda a, b: (a * b).sum(axis=1)
+    c11, c12, c22, c01, c02 = product(one, one), product(one, two), product(two, two), product(now, one), product(now, two)
+    alone = quantised(c01 / np.maximum(c11, 1))
+    det = c11 * c22 - c12 * c12
+    safe = np.where(det > 1e-6 * np.maximum(c11 * c22, 1), det, np.inf)
+    pair = quantised((c01 * c22 - c02 * c12) / safe), quantised((c02 * c11 - c01 * c12) / safe)
+    linear, linear_two = np.zeros_like(x), np.zeros_like(x)
+    linear[:, 1:] = x[:, 1:] - ((x[:, :-1] * alone[:, None]) >> shift)
+    linear_two[:, 2:] = x[:, 2:] - ((x[:, 1:-1] * pair[0][:, None] + x[:, :-2] * pair[1][:, None]) >> shift)
+    candidates = [x, first, second, linear, linear_two]
+    cost = np.stack([(np.abs(r[:, w:]) * valid[:, w:]).sum(axis=1) for r, w in zip(candidates, WARM, strict=True)])
+    cost = cost + np.array([0, 8, 16, 25, 41])[:, None] // 2
     best = cost.argmin(axis=0)
     best[n <= 2] = 0
-    return best, candidates[best, np.arange(len(x))], coefficient
+    chosen = np.choose(best[:, None], candidates)
+    return best, chosen, np.stack([np.where(best == 4, pair[0], alone), np.where(best == 4, pair[1], 0)])
 
 
 class Bits:
@@ -114,21 +127,15 @@ class Bits:
         return np.frombuffer(self.words.astype(">u4").tobytes(), dtype=np.uint8)[:n].copy()
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload (bytes, none empty)."""
-    sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
-    frames_of = -(-sizes // BLOCK)
-    stream = np.repeat(np.arange(len(sizes)), frames_of)
-    number = spans(frames_of)
-    n = np.minimum(BLOCK, sizes[stream] - number * BLOCK)
-    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    begin = (np.cumsum(sizes) - sizes)[stream] + number * BLOCK
+def encode_frames(data: np.ndarray, begin: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(frames one after another, length of each): frame i has the n[i] bytes of data from begin[i] on."""
     place = np.arange(BLOCK)
     valid = place < n[:, None]
     x = np.where(valid, data[np.minimum(begin[:, None] + place, len(data) - 1)].astype(np.int32) - 128, 0)
     constant = (np.where(valid, x, x[:, :1]) == x[:, :1]).all(axis=1)
-    kind, r, coefficient = residuals(x, valid)
-    warm = np.array([0, 1, 2, 1])[kind]
+    kind, r, coefficients = residuals(x, valid)
+    warm = WARM[kind]
+    linear, order = kind >= 3, np.where(kind >= 3, kind - 2, 0)
     coded = valid & (place >= warm[:, None]) & ~constant[:, None]
     u = np.where(coded, (r << 1) ^ (r >> 31), 0)
     m = coded.sum(axis=1)
@@ -139,7 +146,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     bits = np.stack([((u >> k[:, None].astype(np.int32)) * coded).sum(axis=1) + m * (1 + k) for k in options])
     k = options[bits.argmin(axis=0), np.arange(len(n))]
     rice_bits = bits.min(axis=0)
-    subframe = np.where(kind == 3, 4 + 5 + LPC_PRECISION, 0) + 8 * warm + 2 + 4 + 4 + rice_bits
+    described = np.where(linear, 4 + 5 + LPC_PRECISION * order, 0)
+    subframe = described + 8 * warm + 2 + 4 + 4 + rice_bits
     verbatim = ~constant & (subframe >= 8 * n)
     subframe = np.where(constant, 8, np.where(verbatim, 8 * n, subframe))
 
@@ -158,7 +166,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     at = np.cumsum(frame_len) - frame_len
     out = Bits(int(frame_len.sum()) * 8)
     p = (at + head_len + 1) * 8
-    type_code = np.where(constant, 0, np.where(verbatim, 1, np.where(kind == 3, 32, 8 + kind)))
+    type_code = np.where(constant, 0, np.where(verbatim, 1, np.where(linear, 31 + order, 8 + kind)))
     out.put(p, type_code << 1, 8)
     p = p + 8
     out.put(p[constant], x[constant, 0] & 0xFF, 8)
@@ -169,11 +177,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         on = predicted & (warm > j)
         out.put(p[on] + 8 * j, x[on, j] & 0xFF, 8)
     p = p + 8 * warm
-    on = predicted & (kind == 3)
+    on = predicted & linear
     out.put(p[on], np.full(on.sum(), LPC_PRECISION - 1), 4)
     out.put(p[on] + 4, np.full(on.sum(), LPC_PRECISION - 2), 5)
-    out.put(p[on] + 9, coefficient[on] & ((1 << LPC_PRECISION) - 1), LPC_PRECISION)
-    p = p + np.where(kind == 3, 9 + LPC_PRECISION, 0)
+    for j in range(2):
+        on = predicted & (order > j)
+        out.put(p[on] + 9 + LPC_PRECISION * j, coefficients[j, on] & ((1 << LPC_PRECISION) - 1), LPC_PRECISION)
+    p = p + described
     out.put(p[predicted] + 6, k[predicted], 4)  # method 0 and partition order 0 before it
     p = p + 10
     mask = coded & predicted[:, None]
@@ -190,20 +200,35 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     packed[at + head_len] = crc8
     crc16 = crcs(packed, at, body, CRC16, 16)
     packed[at + body], packed[at + body + 1] = crc16 >> 8, crc16 & 0xFF
+    return packed.tobytes(), frame_len
+
 
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream of each payload (bytes, none empty)."""
+    sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
+    frames_of = -(-sizes // BLOCK)
+    number = spans(frames_of)
+    n = np.minimum(BLOCK, np.repeat(sizes, frames_of) - number * BLOCK)
+    begin = np.repeat(np.cumsum(sizes) - sizes, frames_of) + number * BLOCK
+    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
+    runs = [encode_frames(data, begin[a : a + RUN], n[a : a + RUN], number[a : a + RUN]) for a in range(0, len(n), RUN)]
+    frame_len = np.concatenate([r[1] for r in runs]) if runs else np.empty(0, dtype=np.int64)
+    view = memoryview(b"".join(r[0] for r in runs))
+    at = np.cumsum(frame_len) - frame_len
     result = []
     edges = np.concatenate([[0], np.cumsum(frames_of)])
-    view = packed.tobytes()
     for i, payload in enumerate(payloads):
         a, b = edges[i], edges[i + 1]
         lens, lo = frame_len[a:b], int(at[a])
-        points = np.zeros(b - a, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+        points = np.zeros(b - a, dtype=POINT)
         points["sample"], points["offset"], points["n"] = number[a:b] * BLOCK, at[a:b] - lo, n[a:b]
         samples = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()
         packed_info = (RATE << 44) | (0 << 41) | (7 << 36) | len(payload)
         info = BLOCK.to_bytes(2, "big") * 2 + int(lens.min()).to_bytes(3, "big") + int(lens.max()).to_bytes(3, "big") + packed_info.to_bytes(8, "big") + hashlib.md5(samples).digest()
+        # a table of more points than a block can hold has those of every second frame, or fewer; readers find the others
+        points = points[:: -(-len(points) // MOST_POINTS)]
         table = points.tobytes()
-        result.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + view[lo : lo + int(lens.sum())])
+        result.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + bytes(view[lo : lo + int(lens.sum())]))
     return result
 
 
@@ -254,48 +279,114 @@ def signed(value: np.ndarray, width) -> np.ndarray:
     return value - ((value >> (np.asarray(width) - 1) & 1) << np.asarray(width))
 
 
-def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
-    """(samples as bytes plus 128, [(sample offset, samples) of each frame]) of each stream."""
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    base = np.cumsum([0, *map(len, streams)])
-    total, digest, at, number, expected, owner = [], [], [], [], [], []
-    for i, s in enumerate(streams):
-        if s[:4] != b"fLaC":
-            raise Broken("no FLAC stream")
-        p, last, points = 4, False, None
-        while not last:
-            last, kind, size = bool(s[p] & 0x80), s[p] & 0x7F, int.from_bytes(s[p + 1 : p + 4], "big")
-            block = s[p + 4 : p + 4 + size]
-            if kind == 0:
-                packed = int.from_bytes(block[10:18], "big")
-                if packed >> 36 & 31 != 7 or packed >> 41 & 7:
-                    raise Broken("not 8-bit mono")
-                total.append(packed & ((1 << 36) - 1))
-                digest.append(block[18:34])
-            elif kind == 3:
-                points = np.frombuffer(block, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-            p += 4 + size
-        if points is None or int(points["n"].sum()) != total[-1]:
-            raise Broken("the seek table does not reach every frame")
-        at.append(points["offset"].astype(np.int64) + base[i] + p)
-        number.append(np.arange(len(points)))
-        expected.append(points["n"].astype(np.int64))
-        owner.append(np.full(len(points), i))
-    at, number, expected, owner = map(np.concatenate, (at, number, expected, owner))
-    if (data[at] != 0xFF).any() or (data[at + 1] != 0xF8).any() or (data[at + 3] != 0x02).any():
-        raise Broken("no frame where the seek table says")
-    # header length: the frame number in UTF-8 form, then the block size
+def header(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a frame header with a right checksum is there, samples, header length without the checksum, frame number) at each place.
+    data has 16 bytes more than its last frame needs."""
+    ok = (data[at] == 0xFF) & (data[at + 1] == 0xF8) & (data[at + 3] == 0x02)
+    # the frame number in UTF-8 form, then the block size
     lead = data[at + 4]
     more = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], range(6), 6)
+    number = np.where(more == 0, lead, lead & (0x3F >> np.minimum(more, 6))).astype(np.int64)
+    for j in range(6):
+        number = np.where(more > j, number << 6 | data[at + 5 + j] & 0x3F, number)
     code = data[at + 2] >> 4
     size_at = at + 5 + more
     n = np.where(code == 6, data[size_at].astype(np.int64) + 1, np.where(code == 7, (data[size_at].astype(np.int64) << 8 | data[size_at + 1]) + 1, np.where(code >= 8, 256 << (np.maximum(code, 8).astype(np.int64) - 8), np.where(code == 1, 192, 576 << (np.clip(code, 2, 5).astype(np.int64) - 2)))))
     head = 5 + more + np.where(code == 6, 1, np.where(code == 7, 2, 0))
-    if (crcs(data, at, head, CRC8, 8) != data[at + head]).any() or (n != expected).any():
-        raise Broken("a frame header's checksum or size is wrong")
-
+    ok &= (code > 0) & (crcs(data, at, head, CRC8, 8) == data[at + head])
+    return ok, n, head, number
+
+
+def metadata(stream: bytes) -> tuple[int, bytes, int, np.ndarray | None, tuple[int, int, int, int]]:
+    """(samples, their MD5, place of the first frame, a full seek table or None, least and greatest block and frame sizes) of a stream."""
+    if stream[:4] != b"fLaC":
+        raise Broken("no FLAC stream")
+    p, last, points, total, digest, sizes = 4, False, None, None, b"", (0, 0, 0, 0)
+    while not last:
+        last, kind, size = bool(stream[p] & 0x80), stream[p] & 0x7F, int.from_bytes(stream[p + 1 : p + 4], "big")
+        block = stream[p + 4 : p + 4 + size]
+        if kind == 127 or len(block) < size:
+            raise Broken("metadata beyond the stream")
+        if kind == 0:
+            packed = int.from_bytes(block[10:18], "big")
+            if total is not None or size != 34 or packed >> 36 & 31 != 7 or packed >> 41 & 7:
+                raise Broken("not 8-bit mono")
+            total, digest = packed & ((1 << 36) - 1), block[18:34]
+            sizes = tuple(int.from_bytes(block[i:j], "big") for i, j in ((0, 2), (2, 4), (4, 7), (7, 10)))
+        elif kind == 3:
+            points = np.frombuffer(block, dtype=POINT)
+        p += 4 + size
+    if not total:
+        raise Broken("no samples")
+    if points is not None and (not len(points) or int(points["n"].sum(dtype=np.int64)) != total):
+        points = None  # placeholders, or fewer points than frames
+    return total, digest, p, points, sizes
+
+
+def frames(streams: list[bytes], data: np.ndarray) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(samples and MD5 of each stream; place in data, length, samples and stream of every frame). data: the streams one after another and 16 bytes more."""
+    found = [metadata(s) for s in streams]
+    base = np.cumsum([0, *map(len, streams)])
+    begins, stops = base[:-1] + np.array([f[2] for f in found]), base[1:]
+    starts, told, owner = [], [], []
+    for i, (total, _, _, points, _) in enumerate(found):
+        if points is None:
+            at = np.array(scanned(np.concatenate([data[begins[i] : stops[i]], np.zeros(16, dtype=np.uint8)]), total), dtype=np.int64)
+            n = np.full(len(at), -1)
+        else:
+            at, n = points["offset"].astype(np.int64), points["n"].astype(np.int64)
+            if int(points["sample"][-1]) != total - int(n[-1]):
+                raise Broken("the seek table's samples do not follow each other")
+        starts.append(at + begins[i])
+        told.append(n)
+        owner.append(np.full(len(at), i))
+    at, told, owner = np.concatenate(starts), np.concatenate(told), np.concatenate(owner)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    last = np.append(first[1:], len(at)) - 1
+    inner = np.diff(owner) == 0
+    if (at[first] != begins).any() or (np.diff(at)[inner] <= 0).any() or (at >= stops[owner]).any():
+        raise Broken("frames that are not in order")
+    ok, n, _, number = header(data, at)
+    total = np.array([f[0] for f in found])
+    if not ok.all() or (number != np.arange(len(at)) - first[owner]).any() or (np.add.reduceat(n, first) != total).any() or ((told >= 0) & (n != told)).any():
+        raise Broken("a frame header is not what it should be")
+    length = np.append(at[1:], 0) - at
+    length[last] = stops - at[last]
+    least, most, small, large = np.array([f[4] for f in found]).T
+    wrong = lambda known, seen: ((known != 0) & (known != seen)).any()
+    if wrong(small, np.minimum.reduceat(length, first)) or wrong(large, np.maximum.reduceat(length, first)):
+        raise Broken("frames of other sizes than STREAMINFO says")
+    inside = np.ones(len(at), dtype=bool)
+    inside[last] = False
+    if (least != most).any() or (n[inside] != least[owner[inside]]).any() or (n[last] > least).any():
+        raise Broken("blocks of other sizes than STREAMINFO says")
+    return total.tolist(), [f[1] for f in found], at, length, n, owner
+
+
+def scanned(data: np.ndarray, total: int) -> list[int]:
+    """The frames' places by their sync codes: one that follows ends the one before, if that one's checksum is right there."""
+    body = data[:-16]
+    sync = np.flatnonzero((body[:-1] == 0xFF) & (body[1:] == 0xF8))
+    sync = sync[sync + 16 <= len(data)]
+    ok, n, _, number = header(data, sync)
+    places, begin, done = [], 0, 0
+    for at, samples, i in zip(sync[ok].tolist(), n[ok].tolist(), number[ok].tolist(), strict=True):
+        if i == len(places) and (not places or at > begin + 2 and crcs(data, np.array([begin]), np.array([at - 2 - begin]), CRC16, 16)[0] == (int(data[at - 2]) << 8 | int(data[at - 1]))):
+            places.append(at)
+            begin, done = at, done + samples
+    if done != total:
+        raise Broken("the frames do not reach every sample")
+    return places
+
+
+def decode_frames(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> bytes:
+    """The samples plus 128 of all frames one after another."""
+    data = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    ok, n, head, _ = header(data, at)
+    if not ok.all():
+        raise Broken("a frame header's checksum is wrong")
     order = np.argsort(-n, kind="stable")  # the frames that have a sample i are a prefix
-    at_o, n_o, head_o = at[order], n[order], head[order]
+    at_o, n_o, head_o, length_o = at[order], n[order], head[order], length[order]
     reader = Reader(data)
     p = (at_o + head_o + 1) * 8
     kind = reader.bits(p, 8) >> 1
@@ -343,6 +434,8 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
     param, raw, escaped = np.zeros((3, len(coded)), dtype=np.int64)  # raw: an escaped partition's bits a sample
     counts = np.searchsorted(-c_n, -np.arange(len(x)), "left")
     several = bool(partitions.any())
+    if (c_n & ((1 << partitions) - 1)).any() or (per < c_warm).any():
+        raise Broken("partitions that do not fit the frame")
     for i in range(len(x)):
         c = counts[i]
         if not c:
@@ -376,33 +469,85 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
     p[coded] = c_p
     end = np.where(constant, p + 8, p)
     end = -(-end // 8)
+    if (end + 2 != at_o + length_o).any():
+        raise Broken("a frame of another length than its place says")
     crc = crcs(data, at_o, end - at_o, CRC16, 16)
     if (crc != (data[end].astype(np.int64) << 8 | data[end + 1])).any():
         raise Broken("a frame's checksum is wrong")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     pcm = (x + 128).astype(np.uint8).T[back]
-    flat = pcm[np.arange(pcm.shape[1]) < n[:, None]].tobytes()
-    result, done, f = [], 0, 0
-    frame_edges = np.searchsorted(owner, np.arange(len(streams) + 1))
+    return pcm[np.arange(pcm.shape[1]) < n[:, None]].tobytes()
+
+
+def guarded(f):
+    """Damage of any kind is `Broken`: a wrong length or place shows itself in many ways."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        except Broken:
+            raise
+        except (IndexError, ValueError, OverflowError, MemoryError) as error:
+            raise Broken(f"the stream is damaged: {error}") from error
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+@guarded
+def decode(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """(samples as bytes plus 128, [(sample offset, samples) of each frame]) of each stream."""
+    if not streams:
+        return []
+    data = np.frombuffer(b"".join(streams) + bytes(16), dtype=np.uint8)
+    total, digest, at, length, n, owner = frames(streams, data)
+    pieces = []
+    for a in range(0, len(at), RUN):
+        some, lens = at[a : a + RUN], length[a : a + RUN]
+        lo, hi = int(some[0]), int(some[-1] + lens[-1])
+        pieces.append(decode_frames(data[lo:hi], some - lo, lens))
+    view, done, result = memoryview(b"".join(pieces)), 0, []
+    edges = np.searchsorted(owner, np.arange(len(streams) + 1))
     for i, size in enumerate(total):
-        payload = flat[done : done + size]
+        payload = bytes(view[done : done + size])
         done += size
         if hashlib.md5((np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()).digest() != digest[i]:
             raise Broken("the samples' MD5 is wrong")
-        sizes = n[frame_edges[i] : frame_edges[i + 1]]
+        sizes = n[edges[i] : edges[i + 1]]
         result.append((payload, list(zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True))))
     return result
 
 
+@guarded
+def read_at(stream: bytes, first: int, count: int) -> bytes:
+    """`count` samples (bytes plus 128) from sample `first` on, fewer at the end: only the frames that hold them are decoded."""
+    data = np.frombuffer(stream + bytes(16), dtype=np.uint8)
+    (total,), _, at, length, n, _ = frames([stream], data)
+    first, last = max(first, 0), min(first + count, total)
+    if first >= last:
+        return b""
+    ends = np.cumsum(n)
+    a, b = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last - 1, "right")) + 1
+    pieces = []
+    for i in range(a, b, RUN):
+        j = min(i + RUN, b)
+        pieces.append(decode_frames(data[at[i] : at[j - 1] + length[j - 1]], at[i:j] - at[i], length[i:j]))
+    begin = int(ends[a] - n[a])
+    return b"".join(pieces)[first - begin : last - begin]
+
+
 # ---------------------------------------------------------------- columns
 
 
+BLOCKS = "array<struct<sample: long, pcm: binary>>"
+
+
 def media_column(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: the text's UTF-8 bytes, padded with zeros to a positive multiple of UNIT, as a FLAC stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text, most=4 << 20):
+        for batch in by_bytes(batches, text, most=2 << 20):
             raw = [b or b"" for b in batch.column(text).cast(pa.large_binary()).to_pylist()]
             padded = [b + bytes(max(-len(b) % UNIT, UNIT if not b else 0)) for b in raw]
             yield pa.RecordBatch.from_arrays(
@@ -413,42 +558,55 @@ def media_column(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, blocks: the decoded samples with their offsets, for a table as `media_column` gives."""
+    """doc_id, n_bytes, media_bytes, media_sha256, blocks: the decoded samples as blocks with their offsets, for a table as `media_column` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "media", most=4 << 20):
-            blocks = [[{"sample": a, "pcm": payload[a : a + n]} for a, n in frames] for payload, frames in decode(batch.column("media").to_pylist())]
-            kind = pa.list_(pa.struct([("sample", pa.int64()), ("pcm", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(blocks, kind)], ["doc_id", "n_bytes", "blocks"])
+        for batch in by_bytes(batches, "media", most=2 << 20):
+            streams = batch.column("media").to_pylist()
+            read = decode(streams)
+            frames = np.array([f for _, fs in read for f in fs], dtype=np.int64).reshape(-1, 2)
+            ends = np.concatenate([[0], np.cumsum(frames[:, 1])])
+            pcm = pa.Array.from_buffers(pa.large_binary(), len(frames), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(p for p, _ in read))]).cast(pa.binary())
+            edges = np.concatenate([[0], np.cumsum([len(fs) for _, fs in read])])
+            blocks = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(frames[:, 0]), pcm], ["sample", "pcm"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(list(map(len, streams)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in streams]), blocks],
+                ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"],
+            )
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks {BLOCKS}")
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, blocks array<struct<sample: long, pcm: binary>>")
+def samples(first: int, count: int, blocks: str = "blocks"):
+    """A column of `count` samples from sample `first` on: the blocks that hold them are cut, others are not read."""
+    have = F.filter(blocks, lambda b: (b["sample"] < first + count) & (b["sample"] + F.length(b["pcm"]) > first))
+    part = lambda b: F.substring(b["pcm"], (F.greatest(F.lit(first) - b["sample"], F.lit(0)) + 1).cast("int"), F.least(F.lit(first + count) - b["sample"], F.lit(count)).cast("int"))
+    return F.aggregate(F.transform(have, part), F.lit(b""), lambda s, x: F.concat(s, x))
 
 
-def features(media: DataFrame) -> DataFrame:
-    """The contract's columns, from streams that are read back."""
+def features(blocks: DataFrame) -> DataFrame:
+    """The contract's columns, from samples that were read back (`pcm_blocks`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "media", most=4 << 20):
-            streams = batch.column("media").to_pylist()
-            read = decode(streams)
-            feature = []
-            for payload, frames in read:
+        for batch in batches:
+            made = []
+            for frames in batch.column("blocks"):
+                pcm = [f.as_py() for f in frames.values.field("pcm")]
+                payload = b"".join(pcm)
                 x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
                 crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                feature.append(f"frames={len(frames)};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(np.abs(x).max())};crossings={crossings}")
+                feature = f"frames={len(pcm)};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(np.abs(x).max())};crossings={crossings}"
+                made.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature))
+            size, sha, crc, feature = zip(*made, strict=True) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p, _ in read], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p, _ in read]), pa.array([zlib.crc32(p[-64:]) for p, _ in read], pa.int64()),
-                    pa.array(list(map(len, streams)), pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array(feature),
-                ],
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array(feature, pa.string())],
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, kinds)
+    return blocks.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, kinds)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return features(media_column(docs))
+    return features(pcm_blocks(media_column(docs)))
