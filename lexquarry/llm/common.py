@@ -53,9 +53,14 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark).rstrip('/')}/lexquarry-{uuid.uuid4().hex}"
+    def folder(self, name: str) -> str:
+        """A new folder that goes with the tables."""
+        path = f"{shared_dir(self.spark).rstrip('/')}/lexquarry-{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
+        return path
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self.folder("table")
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -4,12 +4,13 @@ Writing: each task writes gzip members, a record each, to an archive of its own
 attempt, so a repeated task leaves no half file in the way) and yields its run of index entries: URL key, timestamp,
 page, file, offset, length. The entries are kept as a table, so nothing that was written is written again.
 
-Index: every run is sorted by (URL key, timestamp, page), cut at splitting keys that come from a sample of the keys,
+Index: every run is sorted by (URL key, timestamp, page), cut at splitting keys that come from about SAMPLE keys, chosen by hash,
 and sent as packed slices. The task of a key range merges its slices of all runs with a loser tree. Ranges in
 order are the globally ordered capture histories. A URL that has a third of all captures is split too, since timestamp
 and page are part of the key.
 
-Reading: entries in order; members are fetched from the archives, parsed, and their digests computed again.
+Reading: the archives' bytes are dealt out evenly in ranges of file and offset, so that each is read in order; members are parsed, and their
+digests computed again.
 
 Of records with equal payloads of `least` bytes or more, that with the largest page_id is the response and the others are
 revisits of it (in the same row order for repeated page_ids: each row is a record; all rows of the largest page_id are
@@ -33,10 +34,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import by_bytes, kept_table, shared_dir, shuffle_width
+from lexquarry.llm.common import Tables, by_bytes, cut, shuffle_width
 
 LEAST = 1000
-SAMPLE = 20_000  # keys from which the splitting keys are chosen
+SAMPLE = 20_000  # keys from which the splitting keys are chosen, about
+READ = 64 << 20  # bytes of archives that a task reads, about
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
 ENTRY = "urlkey string, ts string, page_id long, file string, offset long, length long"
 NAMES = [x.split()[0] for x in ENTRY.split(", ")]
@@ -59,16 +61,21 @@ def capture_time(page_id: int | None) -> datetime:
     return FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % (1 << 30))
 
 
+def record_id(page_id, url: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{digest}')}>"
+
+
 def record(page_id, url: str, payload: bytes, digest: str, refers_to, refers_url: str | None) -> bytes:
     """A WARC/1.1 record: a response holds the payload, a revisit only says where it is."""
     kind = "response" if refers_to is None else "revisit"
     head = [
-        f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{digest}')}>",
+        f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}",
         f"WARC-Date: {capture_time(page_id):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {capture_time(refers_to):%Y-%m-%dT%H:%M:%SZ}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}"]
+        head += [f"WARC-Refers-To-Target-URI: {refers_url}", f"WARC-Refers-To-Date: {capture_time(refers_to):%Y-%m-%dT%H:%M:%SZ}", f"X-Refers-To-Page-ID: {refers_to}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
@@ -90,17 +97,17 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload (binary), digest, refers_to for every row: which record each page becomes."""
+    """page_id, url, payload (binary), digest, refers_to, refers_url for every row: which record each page becomes."""
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", "%20").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    leaders = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("leader")).where("n > 1")
-    rows = rows.join(leaders.select("digest", "leader"), "digest", "left")
+    leaders = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("l")).where("n > 1")
+    rows = rows.join(leaders.select("digest", F.col("l.page_id").alias("leader"), F.col("l.url").alias("leader_url")), "digest", "left")
     same = F.col("leader").isNull() | (F.coalesce(F.col("page_id"), F.lit(-(2**63))) == F.col("leader"))
-    return rows.select("page_id", "url", "payload", "digest", F.when(~same, F.col("leader")).alias("refers_to"))
+    return rows.select("page_id", "url", "payload", "digest", F.when(~same, F.col("leader")).alias("refers_to"), F.when(~same, F.col("leader_url")).alias("refers_url"))
 
 
-def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """Write the records of `revisits` to archives in `folder`; gives the entries (ENTRY), kept as a table. Lossless and re-runnable."""
+def write_archives(records: DataFrame, folder: str, tables: Tables, level: int = 1) -> DataFrame:
+    """Write the records of `revisits` to archives in `folder`; gives the entries (ENTRY), kept in `tables`. Lossless and re-runnable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = opened(folder)
@@ -112,7 +119,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame
             rows = []
             for row in batch.to_pylist():
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = packer.compress(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], None)) + packer.flush()
+                member = packer.compress(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["refers_url"])) + packer.flush()
                 out.write(member)
                 rows.append((url_key(row["url"]), f"{capture_time(row['page_id']):%Y%m%d%H%M%S}", row["page_id"], name, at, len(member)))
                 at += len(member)
@@ -120,7 +127,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 1) -> DataFrame
         if out is not None:
             out.close()
 
-    return kept_table(records.mapInArrow(run, ENTRY))
+    return tables.keep(records.mapInArrow(run, ENTRY))
 
 
 # ---------------------------------------------------------------- index merge
@@ -176,7 +183,8 @@ def merged_index(entries: DataFrame, ranges: int | None = None) -> DataFrame:
     """`part`, `position` and the entries' columns: the entries of all runs in global order (part, then position)."""
     ranges = ranges or shuffle_width(entries.sparkSession)
     keys = ("urlkey", "ts", "page_id", "file", "offset")
-    sample = entries.orderBy(F.xxhash64(*keys)).select(*keys, "length").limit(SAMPLE).collect()
+    each = max(1, entries.count() // SAMPLE)
+    sample = entries.where(F.pmod(F.xxhash64(*keys), F.lit(each)) == 0).select(*keys, "length").collect()
     sample = sorted(sort_key(tuple(r)) for r in sample)
     splits = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
 
@@ -257,14 +265,18 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             f.close()
 
     kinds = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return index.select("file", "offset", "length").mapInArrow(run, kinds)
+    width = max(shuffle_width(index.sparkSession), int(index.agg(F.sum("length")).first()[0] or 0) // READ)
+    return index.select("file", "offset", "length").repartitionByRange(width, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, kinds)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    entries = write_archives(revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
-    back = read_archives(merged_index(entries), folder)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    tables = Tables(spark)
+    folder = tables.folder("warc")
+    entries = write_archives(revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder, tables)
+    index = tables.keep(merged_index(entries))
+    back = cut(read_archives(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    tables.drop()
+    return back
 
 
 ORACLE = """
