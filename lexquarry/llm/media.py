@@ -589,13 +589,16 @@ def features(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for frames in batch.column("blocks"):
-                pcm = [f.as_py() for f in frames.values.field("pcm")]
-                payload = b"".join(pcm)
-                x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
-                crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-                feature = f"frames={len(pcm)};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(np.abs(x).max())};crossings={crossings}"
+            column, made = batch.column("blocks"), []
+            edges = column.offsets.to_numpy() - column.offsets[0].as_py()
+            pcm = column.flatten().flatten()[1]
+            ends = np.frombuffer(pcm.buffers()[1], dtype=np.int32)[pcm.offset : pcm.offset + len(pcm) + 1] if len(pcm) else np.zeros(1, dtype=np.int32)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                payload = bytes(pcm.buffers()[2][int(ends[a]) : int(ends[b])])
+                x = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).view(np.int8)
+                below, wide = x < 0, x.astype(np.int32)
+                crossings = int(np.count_nonzero(below[1:] != below[:-1]))
+                feature = f"frames={b - a};sum={int(wide.sum(dtype=np.int64))};energy={int((wide * wide).sum(dtype=np.int64))};peak={int(np.abs(wide).max())};crossings={crossings}"
                 made.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature))
             size, sha, crc, feature = zip(*made, strict=True) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
