@@ -1,8 +1,9 @@
 """Operator 5: secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-A candidate is a run of 16 or more characters of `[A-Za-z0-9_+/-]` with a digit in it, or whatever is assigned (`=` or `:`) to a
+A candidate is a run of 16 or more characters of `[A-Za-z0-9_+/-]` with a digit in it, a signed web token, or whatever is assigned (`=` or `:`) to a
 name like a secret's, up to white space, a quote or one of `` `<>,; ``, of any length and characters. Its features are its length, the
-changes between kinds of characters, the share that dictionary pieces cover, its shares of digits, capitals, distinct
+changes between kinds of characters, the share that a dictionary covers (the corpus's `DICTIONARY` most frequent words, counted over all
+documents, and pieces of ordinary words), its shares of digits, capitals, distinct
 characters and symbols, whether it is hexadecimal, all digits or has a known prefix, what its path and its own word look like, and what
 its neighbouring words say. The forest is trained on the driver from labelled findings (a bounded table, `FINDINGS` rows,
 generated by rule; their features come from the same expressions) and becomes one SQL expression, so that a document is
@@ -26,7 +27,8 @@ from lexquarry.llm.common import fresh
 
 SPACE = r"[\x20\x09-\x0D]+"
 CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}"
-WITH_DIGIT = r"(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}"
+#: A signed web token, or a run with a digit.
+WITH_DIGIT = r"(?:eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}|(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,})"
 #: A name like a secret's and what assigns to it; then the value.
 ASSIGN = r"(?i:token|secret|passw|pwd|api|key|auth|bearer|credential|access)[A-Za-z0-9_.\-]*[\"']?[\x20\x09-\x0D]*[:=]+[\x20\x09-\x0D]*[\"']?"
 VALUE = r"([^\x20\x09-\x0D\"'`<>,;]*[^\x20\x09-\x0D\"'`<>,;:=.)\]}])"
@@ -34,6 +36,7 @@ MASK = "[SECRET]"
 FINDINGS = 3000
 TREES, DEPTH, LEAF = 15, 6, 4
 CUT = 0.5
+DICTIONARY = 1000
 #: Pieces of ordinary words; what they cover is unlikely to be random.
 PIECES = (
     "tion ment ness able ible ance ence ship hood less ward wise ling ology graph phone photo micro inter under trans super "
@@ -52,12 +55,18 @@ def number(c: Column) -> Column:
     return c.cast("double")
 
 
-def features(core: Column, word: Column, before: Column, after: Column, path: Column) -> list[Column]:
-    """`NAMES` as doubles. before: up to three words before; after: the next word; path: where the text is from. All not null."""
+def dictionary(docs: DataFrame, n: int = DICTIONARY) -> tuple[str, ...]:
+    """The n most frequent words of 4 to 12 small letters in all documents (of equally frequent ones the first by name)."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?<![A-Za-z0-9_])[a-z]{4,12}(?![A-Za-z0-9_])"), F.lit(0))).alias("w"))
+    return tuple(r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n).collect())
+
+
+def features(core: Column, word: Column, before: Column, after: Column, path: Column, words: tuple[str, ...] = ()) -> list[Column]:
+    """`NAMES` as doubles. before: up to three words before; after: the next word; path: where the text is from; words: the dictionary. All not null."""
     n = F.length(core)
     count = lambda p: F.length(core) - F.length(F.regexp_replace(core, p, ""))
     changes = F.regexp_count(core, F.lit(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"))
-    covered = F.length(core) - F.length(F.regexp_replace(F.lower(core), "|".join(sorted(PIECES, key=len, reverse=True)), ""))
+    covered = F.length(core) - F.length(F.regexp_replace(F.lower(core), "|".join(sorted({*PIECES, *words}, key=lambda w: (-len(w), w))), ""))
     near = F.concat_ws(" ", before, F.call_function("substring_index", word, core, F.lit(1)))
     return [
         number(n), changes / n, covered / n, count("[0-9]") / n, count("[A-Z]") / n, F.size(F.array_distinct(F.split(core, ""))) / n,
@@ -82,9 +91,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
         before, after, path, word = f"{plain()} {plain()} {plain()}", plain(), r.choice(["src", "app/config.py", "blog", "wiki", "forum", "mail"]), None
         secret = i % 2 == 0
         if secret:
-            kind = r.randrange(6)
-            core = [lambda: "AKIA" + pick(upper, 16), lambda: pick(hexa, r.choice([32, 40, 64])), lambda: "ghp_" + pick(alnum, 36), lambda: pick(hexa, r.randint(16, 24)), lambda: pick(alnum + "+/", r.randint(20, 44)), lambda: pick(alnum, r.randint(16, 40))][kind]()
-            if kind not in (0, 2):
+            kind = r.randrange(7)
+            core = [lambda: "AKIA" + pick(upper, 16), lambda: pick(hexa, r.choice([32, 40, 64])), lambda: "ghp_" + pick(alnum, 36), lambda: pick(hexa, r.randint(16, 24)), lambda: pick(alnum + "+/", r.randint(20, 44)), lambda: pick(alnum, r.randint(16, 40)), lambda: f"eyJ{pick(alnum, r.randint(15, 33))}.eyJ{pick(alnum + '-_', r.randint(20, 60))}.{pick(alnum + '-_', r.randint(22, 43))}"][kind]()
+            if kind not in (0, 2, 6) or r.random() < 0.3:
                 name = r.choice(["token", "secret", "password", "api_key", "apikey", "auth", "passwd", "access_key", "bearer", "pwd"])
                 style = r.randrange(4)
                 if style == 0:
@@ -204,24 +213,30 @@ def probability(trees: list, values: list[Column]) -> Column:
     return total / float(len(trees))
 
 
-_forests: dict[tuple[int, int], list] = {}
+_forests: dict[tuple, list] = {}
 
 
-def trained(spark: SparkSession, n: int = FINDINGS, seed: int = 5) -> list:
-    """The forest, from the labelled findings; features come from the engine's own expressions."""
-    if (n, seed) not in _forests:
+def trained(spark: SparkSession, words: tuple[str, ...] = (), n: int = FINDINGS, seed: int = 5) -> list:
+    """The forest for a dictionary, from the labelled findings; features come from the engine's own expressions."""
+    if (words, n, seed) not in _forests:
         rows = labelled_findings(n, seed) + labelled_assignments(n // 2, seed + 1)
         table = spark.createDataFrame(rows, "core string, word string, before string, after string, path string, label int").coalesce(1)
-        made = table.select("label", *(f.alias(c) for c, f in zip(NAMES, features(*map(F.col, ("core", "word", "before", "after", "path"))), strict=True))).collect()
+        made = table.select("label", *(f.alias(c) for c, f in zip(NAMES, features(*map(F.col, ("core", "word", "before", "after", "path")), words), strict=True))).collect()
         data = np.array([[float(v) for v in r] for r in made])
-        _forests[n, seed] = forest(data[:, 1:], data[:, 0])
-    return _forests[n, seed]
+        _forests[words, n, seed] = forest(data[:, 1:], data[:, 0])
+    return _forests[words, n, seed]
+
+
+def model(docs: DataFrame) -> tuple[list, tuple[str, ...]]:
+    """(forest, dictionary) for a corpus."""
+    words = dictionary(docs)
+    return trained(docs.sparkSession, words), words
 
 
 # ---------------------------------------------------------------- scanning
 
 
-def scanned(docs: DataFrame, trees: list, path: str = "source", to: str = "findings") -> DataFrame:
+def scanned(docs: DataFrame, trees: list, words_of: tuple[str, ...] = (), path: str = "source", to: str = "findings") -> DataFrame:
     """`docs` with the column `to`: array of (word_index, core, score), an empty array where there is nothing."""
     text = F.coalesce("text", F.lit(""))
     where = F.coalesce(F.col(path), F.lit("")) if path in docs.columns else F.lit("")
@@ -237,7 +252,7 @@ def scanned(docs: DataFrame, trees: list, path: str = "source", to: str = "findi
         cores = F.concat(runs, F.filter(F.concat(given, F.array(first)), lambda c: (c != "") & ~F.array_contains(runs, c)))
         return F.transform(
             cores,
-            lambda core: F.struct(i.alias("word_index"), core.alias("core"), F.array(*features(core, word, before, word_at(ws, i + 2), where)).alias("f")),
+            lambda core: F.struct(i.alias("word_index"), core.alias("core"), F.array(*features(core, word, before, word_at(ws, i + 2), where, words_of)).alias("f")),
         )
 
     def all_of(ws: Column) -> Column:
@@ -254,27 +269,27 @@ def scanned(docs: DataFrame, trees: list, path: str = "source", to: str = "findi
     return docs.withColumn(to, F.when(likely, judged(raw)).otherwise(nothing))
 
 
-def findings(docs: DataFrame, trees: list | None = None) -> DataFrame:
+def findings(docs: DataFrame) -> DataFrame:
     """One row per finding: doc_id, nth (in its text), word_index, finding_length, finding_sha256, score, is_secret."""
-    trees = trees or trained(docs.sparkSession)
+    trees, dictionary_ = model(docs)
     columns = ["doc_id", "text"] + (["source"] if "source" in docs.columns else [])
-    found = scanned(docs.select(*columns), trees).select("doc_id", F.posexplode("findings").alias("nth", "f"))
+    found = scanned(docs.select(*columns), trees, dictionary_).select("doc_id", F.posexplode("findings").alias("nth", "f"))
     return found.select(
         "doc_id", "nth", F.col("f.word_index").alias("word_index"), F.length("f.core").alias("finding_length"), F.sha2("f.core", 256).alias("finding_sha256"), F.col("f.score").alias("score"), (F.col("f.score") >= CUT).alias("is_secret")
     )
 
 
-def redact(docs: DataFrame, trees: list | None = None) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every secret in the text replaced by MASK; all columns stay. A null text stays null.
 
     A long run is replaced wherever it stands, another value only where it is assigned.
     """
-    trees = trees or trained(docs.sparkSession)
+    trees, dictionary_ = model(docs)
     (own,) = fresh(docs, "findings")
     secrets = F.sort_array(F.array_distinct(F.transform(F.filter(own, lambda c: c["score"] >= CUT), lambda c: F.struct(F.length(c["core"]).alias("n"), c["core"].alias("core")))), False)
     here = lambda core: F.concat(F.lit(f"({ASSIGN})\\Q"), F.replace(core, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9_+/-])"))
     masked = lambda t, core: F.when(core.rlike(f"^{WITH_DIGIT}$"), F.replace(t, core, F.lit(MASK))).otherwise(F.regexp_replace(t, here(core), F.lit(f"$1{MASK}")))
-    out = scanned(docs, trees, to=own).withColumn("text", F.aggregate(secrets, F.col("text"), lambda t, s: masked(t, s["core"])))
+    out = scanned(docs, trees, dictionary_, to=own).withColumn("text", F.aggregate(secrets, F.col("text"), lambda t, s: masked(t, s["core"])))
     return out.select(*docs.columns)
 
 
