@@ -25,9 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array or JSON lines; items that are no objects are dropped."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True)
-    return rows.where("_bad is null").drop("_bad")
+    """Files of a JSON array each, or of a JSON object in each line; items that are no objects are dropped, one of them does not spoil its file.
+    A file of an array is one task's; large inputs belong in lines, or better in tables."""
+    value = F.trim("value")
+    items = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.split(value, r"\r?\n"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(items).alias("item")).where(F.ltrim("item").startswith("{"))
+    return rows.select(F.from_json("item", schema).alias("r")).select("r.*")
 
 
 def gazette_index(spark: SparkSession, path: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_search_space(space):
     assert {c["candidate_k"] for c in space if c["strategy"] == "weighted"} == {20, 50, 100} and {c["candidate_k"] for c in space[:300]} == {50}
     f = space[adaptive.FALLBACK]
     assert (f["strategy"], f["alpha"], f["beta"], f["k"], f["normalizer"]) == ("hybridrank", 0.7, 0.2, 10.0, "minmax")
-    assert {"grid_search_full", "best_by_type_full", "loo_cv_full"} <= set(registry.queries())
+    assert {"grid_search", "best_by_type", "loo_cv", "policy_fit"} <= set(registry.queries()) & set(registry.oracle_sql())
 
 
 def normalized(values, how):

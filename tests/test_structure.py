@@ -43,10 +43,11 @@ def test_query_rules(spark):
 
 
 def test_greedy_match(spark):
-    left = spark.createDataFrame([(1, "ley", "1", 1), (1, "ley", "1", 2), (1, "acuerdo", None, 3)], "g int, kind string, number string, lid int")
-    right = spark.createDataFrame([(1, "ley", "1", 10), (1, "ley", None, 11)], "g int, kind string, number string, rid int")
+    left = spark.createDataFrame([(1, "ley", "1", 1), (1, "ley", "2", 2), (1, "acuerdo", "3", 3), (2, "ley", "5", 4), (2, "ley", "9", 5), (3, None, None, 6)], "g int, kind string, number string, lid int")
+    right = spark.createDataFrame([(1, "ley", "1", 10), (1, "ley", "s/n", 11), (2, "ley", "7", 12), (3, "ley", "7", 13)], "g int, kind string, number string, rid int")
     got = {r.lid: (r.rid, r.phase) for r in structure.greedy_match(left, right, "g", "kind", "number", "lid", "rid").collect()}
-    assert got == {1: (10, "number"), 2: (11, "kind"), 3: (None, "none")}
+    # an identity with another number is not taken by kind
+    assert got == {1: (10, "high"), 2: (11, "medium"), 3: (None, "none"), 4: (None, "none"), 5: (None, "none"), 6: (13, "low")}
 
 
 def test_entry_without_llm(tmp_path):
