@@ -59,6 +59,11 @@ def search_space(spark: SparkSession, alphas=ALPHAS, betas=BETAS, ks=KS, normali
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "config int, strategy string, alpha double, beta double, k double, normalizer string, candidate_k int")
 
 
+def params_json() -> Column:
+    """A configuration's parameters as JSON, keys in order; what it has not is left out."""
+    return F.to_json(F.struct("alpha", "beta", "k", "normalizer"))
+
+
 def fuse_configs(rankings: DataFrame, configs: DataFrame, top: int = 10, sparse: str = "bm25", dense: str = "dense", picked: DataFrame | None = None) -> DataFrame:
     """config, query_id, doc_id, score, rank: fusion by every configuration (or, with `picked`, by the query's own one of (query_id, config))
     over candidates that are retrieved once.

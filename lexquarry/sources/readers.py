@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+logger = logging.getLogger(__name__)
+
 GAZETTE_INDEX = "tipo_edicion string, fecha string, numero string, normas array<string>, pdf_url string, files array<struct<path string, status string, checksum string>>"
 ELEMENT = (
     "content string, cleaned_content string, embedding array<double>, metadata struct<source string, page_number int, type string, filetype string, filename string, chunk_id string, document_type string, "
@@ -45,6 +48,28 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
 
 
+def parsed_elements(files: DataFrame, parse) -> DataFrame:
+    """source, position, content, page_number, type, chunk_id: parse(bytes) gives (content, page, type) of each element of a file, in order.
+
+    The parser is injected, as none is part of the engine; ids are digests of file and place, the same at every run. A file that cannot be parsed gives none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    found = list(parse(bytes(content)))
+                except Exception as error:  # a parser may raise anything
+                    logger.warning("%s was not parsed: %s", path, error)
+                    continue
+                out += [(path, i, text, page, kind) for i, (text, page, kind) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["source", "position", "content", "page_number", "type"])
+
+    rows = files.select("path", "content").mapInPandas(run, "source string, position int, content string, page_number int, type string")
+    return rows.withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", "source", F.col("position").cast("string")), 256))
+
+
 def downloaded(index: DataFrame) -> DataFrame:
     """`index` with `file`: the first file that is downloaded and has a path."""
     good = F.filter("files", lambda f: (F.lower(f["status"]) == "downloaded") & (F.coalesce(f["path"], F.lit("")) != ""))

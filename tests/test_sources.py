@@ -147,3 +147,52 @@ def test_labels(spark):
     assert [reports.metric_column(reports.metric_label(m, 5)) for m in reports.METRICS] == list(reports.METRICS)
     rows = spark.createDataFrame([("hybridrank_a0.5_b0.5",), ("weighted_a0.3",), ("bm25_only",), ("rrf_k60",)], "s string")
     assert [r.f for r in rows.select(reports.family(F.col("s")).alias("f")).collect()] == ["hybridrank", "weighted", "baseline", "classic"]
+
+
+def test_parsed(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"uno|dos")
+    (tmp_path / "b.pdf").write_bytes(b"bad")
+
+    def parse(data):
+        if data == b"bad":
+            raise ValueError("no")
+        return [(x, i + 1, "Text") for i, x in enumerate(data.decode().split("|"))]
+
+    rows = readers.parsed_elements(readers.pdf_files(spark, str(tmp_path)), parse).orderBy("position").collect()
+    assert [(r.content, r.page_number, r.position, len(r.chunk_id)) for r in rows] == [("uno", 1, 0, 64), ("dos", 2, 1, 64)] and rows[0].chunk_id != rows[1].chunk_id
+
+
+def test_stream(spark, tmp_path):
+    """New files of a stream are handled once, also after a restart; windows over a stream with a watermark."""
+    from lexquarry.streaming import monitor
+
+    src, done = f"{tmp_path}/in", f"{tmp_path}/out"
+    kind = "ts timestamp, event_type string, value double"
+    rows = lambda *x: spark.createDataFrame(x, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    handle = lambda batch, _: batch.write.mode("append").parquet(done)
+    for day in ("01", "02"):
+        rows((f"2024-01-{day} 10:05:00", "a", 1.0), (f"2024-01-{day} 10:55:00", "a", 2.0)).write.mode("append").parquet(src)
+        monitor.ingest(spark.readStream.schema(kind).parquet(src), handle, f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(done).count() == 4
+    stream = monitor.windowed(spark.readStream.schema(kind).parquet(src)).writeStream.format("memory").queryName("windows_seen").outputMode("complete").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert sorted((r.n, r.total) for r in spark.table("windows_seen").collect()) == [(2, 3.0), (2, 3.0)]
+
+
+def test_linking_report(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "ley", "Ley", "1", 2000, "r", "exact", "deroga"), ("a", "ley", "Ley", "2", None, "r", "unresolved", "menciona"), ("b", "ley", "Ley", "3", 2001, "r", "ambiguous", "menciona")], "source string, tipo_norm string, tipo string, numero string, year int, raw string, confidence string, relation_type string")
+    sinks.linking_report(rows, f"{tmp_path}/l")
+    assert tuple(spark.read.json(f"{tmp_path}/l/totals").select("found", "resolved", "ambiguous", "unresolved").first()) == (3, 1, 1, 1)
+    assert spark.read.json(f"{tmp_path}/l/unresolved").count() == 2 and spark.read.json(f"{tmp_path}/l/tipo_norm").first().n == 2
+
+
+def test_keys(spark):
+    from lexquarry.operators import adaptive, structure
+
+    rows = spark.createDataFrame([("s", "1", "f"), ("", "1", "f"), (None, "1", None), ("", "", None)], "c string, n string, f string")
+    assert [r.k for r in rows.select(structure.grouping_key(F.col("c"), F.col("n"), F.col("f")).alias("k")).collect()] == ["s", "1_f", "1_", None]
+    space = adaptive.search_space(spark)
+    got = [r.p for r in space.where("config in (140, 300)").orderBy("config").select(adaptive.params_json().alias("p")).collect()]
+    assert [json.loads(x) for x in got] == [{"alpha": 0.7, "beta": 0.2, "k": 10.0, "normalizer": "minmax"}, {"alpha": 0.1, "normalizer": "minmax"}]
+    ranked = reports.competition_rank(spark.createDataFrame([("a", 3.0), ("b", 3.0), ("c", 1.0)], "x string, v double"), "v")
+    assert sorted((r.x, r["rank"]) for r in ranked.collect()) == [("a", 1), ("b", 1), ("c", 3)]
