@@ -122,6 +122,23 @@ _next_number = re.compile(r"\s*(?:,\s*|y\s+)(?:No\.?\s*)?(\d+[A-Za-z0-9/_-]*)")
 _goes_on = re.compile(r"\s*(?:,|y\s)")
 _heading = re.compile(rf"(?is)(?:^|(?<=\n)|(?<=\.\s)|(?<=:\s))\s*(?P<label>{HEADINGS})")
 _blanks = re.compile(r"[\s-]+")
+# where a kind of norm, a verb or a code can begin, in small letters: cheap to find, so that the patterns are only tried there
+_kind_begins, _action_begins, _code_begins = (re.compile(p) for p in ("resoluci|instrucci|acuerdo|decreto|ley", r"se\s|queda|deja", "goc-"))
+
+
+def _found(pattern: re.Pattern, begins: re.Pattern, text: str):
+    """pattern.finditer(text), for a pattern that only matches where `begins` does in the text's small letters."""
+    small = text.lower()
+    if len(small) != len(text):  # a letter that has no small one of its own length
+        yield from pattern.finditer(text)
+        return
+    at, start = 0, begins.search(small)
+    while start:
+        m = pattern.match(text, start.start())
+        at = m.end() if m else start.start() + 1
+        if m:
+            yield m
+        start = begins.search(small, at)
 
 
 def _around(text: str, start: int, end: int) -> str:
@@ -131,7 +148,7 @@ def _around(text: str, start: int, end: int) -> str:
 def _codes(text: str | None) -> list[dict]:
     """Codes outside of parentheses (a summary's are inside), with their places."""
     found = []
-    for m in _goc.finditer(text or ""):
+    for m in _found(_goc, _code_begins, text or ""):
         inside = text[m.end() : m.end() + 5].lstrip().startswith(")") or text[max(0, m.start() - 3) : m.start()].rstrip().endswith("(")
         if not inside:
             found.append({"at": m.start(), "code": m.group()})
@@ -141,7 +158,7 @@ def _codes(text: str | None) -> list[dict]:
 def _references(text: str | None) -> list[dict]:
     return [
         {"at": m.start(), "tipo": _blanks.sub(" ", m["tipo"]).strip(), "numero": m["numero"], "year": int(m["year"]), "organismo": (m["organismo"] or "").strip() or None, "raw": m.group(), "context": _around(text, m.start(), m.end())}
-        for m in _reference.finditer(text or "")
+        for m in _found(_reference, _kind_begins, text or "")
     ]
 
 
@@ -158,9 +175,9 @@ def _numbers_after(rest: str) -> list[str]:
 def _loose_references(text: str | None) -> list[dict]:
     """Kind and number after a verb that acts on a norm; the order in the list is the order in which they are found."""
     found = []
-    for verb in _action.finditer(text or ""):
+    for verb in _found(_action, _action_begins, text or ""):
         window = text[verb.start() : verb.end() + CONTEXT]
-        for m in _loose.finditer(window):
+        for m in _found(_loose, _kind_begins, window):
             if not _loose_number.fullmatch(m["numero"]):
                 continue
             tipo = _blanks.sub(" ", m["tipo"]).strip()
