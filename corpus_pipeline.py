@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lexquarry.llm import jaccard_join, mixing, packing, quality, secrets
 from lexquarry.llm.common import fresh, hashed_id, kept_table
 
-#: No SQL: the quality verdict needs hashed multinomials, packing a tokenizer. A brute-force test of the whole is still missing.
+#: No SQL: the quality verdict needs hashed multinomials, packing a tokenizer. `tests/llm/test_pipeline.py` has a brute force of every stage.
 ORACLE_SQL = None
 
 
