@@ -43,8 +43,8 @@ def normalize_tipo(c: Column) -> Column:
     return strip_accents(F.lower(squeeze(F.regexp_replace(c, "-", " "))))
 
 
-NOT_TOKEN = r"[^0-9a-záéíóúüñçàèìòùâêîôûäëïöß]+"
-DROPPED = r"(?<![^ ])(?:[^ ]|" + "|".join(w for w in STOP_WORDS if w not in LEGAL_TERMS) + r")(?![^ ])"
+NOT_TOKEN = r"[^\p{L}\p{N}]+"
+DROPPED = r"\b(?:[^ ]|" + "|".join(w for w in STOP_WORDS if w not in LEGAL_TERMS) + r")\b"
 
 
 def tokens(c: Column) -> Column:

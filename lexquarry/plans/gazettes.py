@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import legal as L
 from lexquarry.functions import text as T
 from lexquarry.operators import cleaning, fragments, linking, reports, structure
-from lexquarry.sources.readers import table
+from lexquarry.sources.readers import spread, table
 
 KINDS = ("Resolución", "Acuerdo", "Decreto Ley", "Ley", "Instrucción")
 CAPITALS = ("RESOLUCIÓN", "ACUERDO", "DECRETO-LEY", "LEY", "INSTRUCCIÓN")
@@ -30,7 +30,7 @@ TEXT = f"""concat({_sql(CAPITALS)}, ' ', numero, '/', year, ' cuerpo. ', {_PAD},
 
 
 def orders(spark, d) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("gaceta_id"))
+    return spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("gaceta_id")))
 
 
 def norms(spark, d, text: str = TEXT) -> DataFrame:
@@ -151,7 +151,7 @@ NOISE = "Gaceta Oficial No. 12 Ordinaria de 3 de marzo de 2021\nPágina 7\n  15
 
 
 def elements(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     noisy = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(NOISE), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     return docs.select("doc_id", noisy.alias("content"), F.expr("if(doc_id % 10 = 0, 'Table', 'CompositeElement')").alias("type"))
 

@@ -32,7 +32,7 @@ def paths(d, *names) -> list[str]:
 
 def index_of(spark, d) -> retrieval.Index:
     """The term index of `documents`, built by the first query that needs it."""
-    folder = store.folder_of(spark, "bm25", paths(d, "documents"), lambda path: retrieval.build_index(table(spark, d, "documents"), path))
+    folder = store.folder_of(spark, "bm25", paths(d, "documents"), lambda path: retrieval.build_index(readers.spread(table(spark, d, "documents").select("doc_id", "text")), path))
     return retrieval.load_index(spark, folder)
 
 
@@ -234,7 +234,7 @@ def cleaned(spark, d) -> DataFrame:
 
 
 def word_windows(spark, d) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
+    w = readers.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
     return w.select("doc_id", F.col("w.part").alias("part"), F.md5("w.text").alias("digest"), F.format_string("%s__f%03d", F.col("doc_id"), F.col("w.part")).alias("fragment_id"))
 
 
@@ -346,7 +346,7 @@ def pooled(spark, d) -> DataFrame:
 
 
 def vocabulary(spark, d) -> DataFrame:
-    return sinks.vocabulary(table(spark, d, "documents"), T.tokens)
+    return sinks.vocabulary(readers.spread(table(spark, d, "documents").select("text")), T.tokens)
 
 
 def queries() -> dict:
@@ -424,7 +424,7 @@ def queries() -> dict:
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _KEEP = ", ".join(f"'{w}'" for w in T.LEGAL_TERMS)
-_TOKENS = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^0-9a-záéíóúüñçàèìòùâêîôûäëïöß]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND (w NOT IN ({_STOP}) OR w IN ({_KEEP})))"
+_TOKENS = f"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND (w NOT IN ({_STOP}) OR w IN ({_KEEP})))"
 
 
 def _bm25(k1: float = 1.5, b: float = 0.75, top: int = TOP) -> str:

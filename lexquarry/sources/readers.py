@@ -27,6 +27,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in as many partitions as there are cores, if a small input has fewer: for work that costs more than moving the rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files of a JSON array each, or of a JSON object in each line; items that are no objects are dropped, one of them does not spoil its file.
     A file of an array is one task's; large inputs belong in lines, or better in tables."""
