@@ -81,9 +81,9 @@ def bm25(index: Index, queries: DataFrame, k: int = 50, k1: float = K1, b: float
         wanted = F.broadcast(wanted)
     hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # parts are added in the order of their terms, whatever the partitions
-    parts = hits.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
-    scored = parts.select("query_id", "doc_id", F.round(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]), 9).alias("score"))
+    # parts are added as whole units of 1e-12: the same sum in every order, combined before the shuffle
+    units = F.sum(F.round(part * 1e12).cast("long")).alias("units")
+    scored = hits.groupBy("query_id", "doc_id").agg(units).select("query_id", "doc_id", F.round(F.col("units") / 1e12, 9).alias("score"))
     return top_k(scored.where("score > 0"), k, "bm25")
 
 

@@ -436,7 +436,7 @@ raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM pos
 idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
 want AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY query_id, term),
 part AS (SELECT query_id, doc_id, term, qtf * idf * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl)) AS p FROM post JOIN want USING (term) JOIN idf USING (term), st),
-sco AS (SELECT query_id, doc_id, round(sum(p ORDER BY term), 9) AS score FROM part GROUP BY query_id, doc_id),
+sco AS (SELECT query_id, doc_id, round(sum(CAST(round(p * 1e12) AS BIGINT)) / 1e12, 9) AS score FROM part GROUP BY query_id, doc_id),
 bm AS (SELECT query_id, 'bm25' AS retriever, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sco WHERE score > 0) WHERE rank <= {top})"""
 
 
