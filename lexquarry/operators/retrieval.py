@@ -47,13 +47,13 @@ def term_stats(index: DataFrame, n: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenize=tokens) -> None:
-    """Write the index anew. Postings lie in order of their terms, so that a query's terms prune row groups; a term of very many
-    documents is split by document."""
+    """Write the index anew. Every file's postings lie in order of their terms, so that a query's terms prune row groups; the postings of a
+    term are spread over files by document, so a term of very many documents is no one task's."""
     spark = docs.sparkSession
-    postings(docs, doc_id, text, tokenize).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    postings(docs, doc_id, text, tokenize).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
     corpus_stats(docs, text, tokenize).write.mode("overwrite").parquet(f"{folder}/corpus")
     n = spark.read.parquet(f"{folder}/corpus").first().n
-    term_stats(spark.read.parquet(f"{folder}/postings"), n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    term_stats(spark.read.parquet(f"{folder}/postings"), n).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
 
 
 def load_index(spark: SparkSession, folder: str) -> Index:
