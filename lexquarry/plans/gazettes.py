@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexquarry.functions import legal as L
 from lexquarry.functions import text as T
 from lexquarry.operators import cleaning, fragments, linking, reports, structure
+from lexquarry.plans import store
 from lexquarry.sources.readers import spread, table
 
 KINDS = ("Resolución", "Acuerdo", "Decreto Ley", "Ley", "Instrucción")
@@ -100,21 +101,29 @@ def extracted_loose(spark, d) -> DataFrame:
     return linking.extract_loose(n, linking.extract_references(n)).select(F.col("source_row").alias("id"), "tipo_norm", "numero", "relation_type", "raw")
 
 
+def index_of(spark, d) -> DataFrame:
+    """The norms by key and id, built by the first query that needs them."""
+    return store.kept(spark, "norms", [f"{d}/orders.parquet"], lambda: linking.build_index(norms(spark, d)))
+
+
+def links(spark, d) -> DataFrame:
+    return linking.link_all(norms(spark, d), index_of(spark, d))
+
+
 def linked(spark, d) -> DataFrame:
-    return linking.link_all(norms(spark, d)).select(F.col("source_row").alias("id"), "source", "tipo_norm", "numero", "year", "confidence", "target")
+    return links(spark, d).select(F.col("source_row").alias("id"), "source", "tipo_norm", "numero", "year", "confidence", "target")
 
 
 def relations(spark, d) -> DataFrame:
-    n = norms(spark, d)
-    return linking.relationships(linking.link_all(n), n)
+    return linking.relationships(links(spark, d), index_of(spark, d))
 
 
 def link_counts(spark, d) -> DataFrame:
-    return linking.counters(linking.link_all(norms(spark, d)))
+    return linking.counters(links(spark, d))
 
 
 def link_histogram(spark, d) -> DataFrame:
-    return reports.histogram(linking.link_all(norms(spark, d)), "confidence").select("confidence", "n", "position")
+    return reports.histogram(links(spark, d), "confidence").select("confidence", "n", "position")
 
 
 def dispositions(spark, d) -> DataFrame:

@@ -101,6 +101,19 @@ def test_resolution(spark):
     assert [x.confidence for x in linking.link_all(twice).where("numero = '41' and year = 2026").collect()] == ["ambiguous"]
 
 
+def test_resolution_of_repeated_norms(spark):
+    """Norms that share a key and references that ask the same count as one each where candidates meet."""
+    text = "Queda derogada la Resolución 41 de 2025, sin más. Se modifica el Acuerdo 3."
+    rows = [(i, f"resolucion_41_2025_{i % 3}", "Resolución", "41", 2025, f"Ministerio {'abc'[i % 3]}x", f"G{i}", "") for i in range(600)]
+    rows += [(1000 + i, "decreto_5_2020_bx", "Decreto", "5", 2020, "Ministerio bx", "", text) for i in range(300)]
+    n = spark.createDataFrame([*rows, (2000, "acuerdo_3_2020_cx", "Acuerdo", "3", 2020, "Consejo cx", "A", "")], NORMS)
+    index = linking.build_index(n)
+    assert sorted((x.norm_id, x.n, x.row, x.goc_code) for x in index.collect()) == [("acuerdo_3_2020_cx", 1, 2000, "A"), ("decreto_5_2020_bx", 300, 1000, "")] + [(f"resolucion_41_2025_{i}", 200, i, f"G{597 + i}") for i in range(3)]
+    linked = linking.link_all(n, index)
+    assert {(r.tipo_norm, r.confidence, r.target, r["count"]) for r in linked.groupBy("tipo_norm", "confidence", "target").count().collect()} == {("resolucion", "ambiguous", None, 300), ("acuerdo", "exact_loose", "acuerdo_3_2020_cx", 300)}
+    assert "collect_list" not in linked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_segments(spark):
     text = "SUMARIO (GOC-2026-1-O1) .. ( GOC-2026-2-O1 )\nGOC-2026-1-O1 uno\nvea goc-2026-1-o1\nGOC-2026-2-EX5 dos "
     b = "array(named_struct('offset', 0L, 'page', 1L), named_struct('offset', 45L, 'page', 2L), named_struct('offset', 80L, 'page', 3L))"
