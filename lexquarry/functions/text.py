@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +87,41 @@ def relation_type(context: Column) -> Column:
     return out.otherwise("menciona")
 
 
+#: How every phrase of a relation begins, and what it has in it, in small letters: cheap to look for.
+BEGINS = {"deroga": ("se", "queda", "deja", "sin"), "modifica": ("se", "queda"), "complementa": ("complement", "en")}
+STEMS = {"deroga": ("derog", "efecto", "vigor"), "modifica": ("modific", "adicion", "sustituye", "reemplaz", "suprim", "redactad"), "complementa": ("complement",)}
+_relations = {name: re.compile(pattern.replace("(?iu)", "(?i)").replace(r"\s", r"[ \t\n\x0b\f\r]")) for name, pattern in RELATIONS.items()}
+
+
+def small_letters(text: str) -> str | None:
+    """The text in small letters; None where a letter has no small one of its own length, or a pattern takes it for another letter."""
+    small = text.lower()
+    return small if len(small) == len(text) and "ı" not in small and "ſ" not in small else None
+
+
+def places(small: str, begins: tuple[str, ...], start: int, end: int) -> list[int]:
+    """Where one of `begins` stands from start up to end, in order."""
+    found = []
+    for word in begins:
+        at = small.find(word, start, end)
+        while at >= 0:
+            found.append(at)
+            at = small.find(word, at + 1, end)
+    return sorted(found)
+
+
+def relation_of(text: str, small: str | None, start: int, end: int) -> str:
+    """`relation_type` of text[start:end] in Python; small: `small_letters` of the text."""
+    for name, pattern in _relations.items():
+        if small is None:
+            found = pattern.search(text, start, end)
+        else:
+            found = any(small.find(stem, start, end) >= 0 for stem in STEMS[name]) and any(pattern.match(text, at, end) for at in places(small, BEGINS[name], start, end))
+        if found:
+            return name
+    return "menciona"
+
+
 def windows(c: Column, size: int = 380, overlap: int = 60) -> Column:
     """Word windows as array<struct<part,text>>: a step of size - overlap, the last is the first that reaches the end."""
     words = F.filter(F.split(squeeze(c), " "), lambda w: w != "")

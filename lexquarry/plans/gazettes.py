@@ -91,14 +91,19 @@ def greedy(spark, d) -> DataFrame:
     return structure.greedy_match(left, right, "g", "kind", "number", "lid", "rid")
 
 
+def mentioned(spark, d) -> DataFrame:
+    """What the norms' texts mention, read from them by the first query that needs it."""
+    made = lambda: linking.mentions(norms(spark, d), context=False).drop("at", "tipo", "context")
+    return store.kept(spark, "mentions", [f"{d}/orders.parquet"], made)
+
+
 def extracted(spark, d) -> DataFrame:
-    rows = linking.extract_references(norms(spark, d))
-    return rows.select(F.col("source_row").alias("id"), "tipo_norm", "numero", "year", "organismo", "relation_type", "raw")
+    return linking.dated_of(mentioned(spark, d)).select(F.col("source_row").alias("id"), "tipo_norm", "numero", "year", "organismo", "relation_type", "raw")
 
 
 def extracted_loose(spark, d) -> DataFrame:
-    n = norms(spark, d)
-    return linking.extract_loose(n, linking.extract_references(n)).select(F.col("source_row").alias("id"), "tipo_norm", "numero", "relation_type", "raw")
+    m = mentioned(spark, d)
+    return linking.loose_of(m, linking.dated_of(m)).select(F.col("source_row").alias("id"), "tipo_norm", "numero", "relation_type", "raw")
 
 
 def index_of(spark, d) -> DataFrame:
@@ -107,7 +112,7 @@ def index_of(spark, d) -> DataFrame:
 
 
 def links(spark, d) -> DataFrame:
-    return linking.link_all(norms(spark, d), index_of(spark, d))
+    return linking.link_all(norms(spark, d), index_of(spark, d), mentioned(spark, d))
 
 
 def linked(spark, d) -> DataFrame:

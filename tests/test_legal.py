@@ -71,6 +71,22 @@ def test_loose_references(spark):
     assert sorted((x.source, x.tipo_norm, x.numero, x.relation_type) for x in r) == [("x", "acuerdos", "5204", "deroga"), ("x", "acuerdos", "5209", "deroga")]
 
 
+def test_references_are_read_in_one_pass(spark):
+    """Both sorts by one Python pass, which keeps the first of each key itself; what `places` finds is what the patterns find."""
+    text = "Se modifica la Ley 7, la Ley 07 de 2020, y la Ley 7 de 2020. Queda derogado el instruccıón 5."
+    m = linking.mentions(spark.createDataFrame([(1, "x", "Ley", "1", 2020, "C", "", text)], NORMS))
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Window" not in plan
+    rows = [(x.loose, x.tipo_norm, x.numero, x.year, x.relation_type) for x in m.orderBy("seq").collect()]
+    assert rows == [(False, "ley", "7", 2020, "deroga"), (True, "ley", "7", None, "deroga"), (True, "instruccıon", "5", None, "deroga")]
+    for t in ("Quedan derogados", "SE MODIFICÓ", "en lo  que complementa", "deja sin efecto", "sin vigor", "nada", "se adicionan", "ſe deroga"):
+        assert T.relation_of(t, T.small_letters(t), 0, len(t)) == one(spark, T.relation_type(F.lit(t))), t
+    for t in ("Decreto-Ley", "Resolución Conjunta", "INSTRUCCIÓN", "Ley"):
+        assert L._plain_tipo(t) == one(spark, T.normalize_tipo(F.lit(t)))
+    for t in ("08", "8/2026", "X-144", "s/n", "000", "0/2020", "12/20201"):
+        assert L._plain_numero(t) == one(spark, T.normalize_numero(F.lit(t)))
+
+
 def test_resolution(spark):
     rows = [
         (1, "resolucion_41_2026_finanzas", "Resolución", "41", 2026, "Ministerio de Finanzas", "G1", ""),
