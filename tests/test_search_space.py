@@ -4,6 +4,7 @@ import random
 from statistics import fmean, pstdev
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry.operators import adaptive
 from lexquarry.plans import registry
@@ -77,3 +78,18 @@ def test_policy_and_leave_one_out(spark):
     for x in adaptive.leave_one_out(rows.drop("kind")).collect():
         others = {c: sum(round(value[c, q] * 1e9) for q in range(9) if q != x.query_id) for c in range(354)}
         assert x.config == min(others, key=lambda c: (-others[c], c)) and x.test == pytest.approx(value[x.config, x.query_id])
+
+
+def test_judged_without_pairs(spark):
+    """Numbers of relevant documents from the sizes of labels give what all pairs give, and only ranked documents are judged."""
+    from lexquarry.operators import metrics
+    from lexquarry.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    v = registry.table(spark, d, "embeddings").select("vec_id", "label")
+    pairs = v.join(v.where("vec_id % 50 = 0").selectExpr("vec_id div 50 as query_id", "label"), "label").select("query_id", F.col("vec_id").alias("doc_id"))
+    r = registry.near(spark, d)
+    q, n = registry.relevant(spark, d, r), registry.totals(spark, d)
+    assert 0 < q.count() < pairs.count() and q.count() <= r.count()
+    want, got = (sorted(map(tuple, x.collect())) for x in (metrics.metrics_at(r, pairs, 10), metrics.metrics_at(r, q, 10, totals=n)))
+    assert want == got and want
