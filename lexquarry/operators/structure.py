@@ -86,16 +86,26 @@ def resolve(references: DataFrame, norms: DataFrame, keys: list[str], words: str
     first (fuzzy); one of the source's own organism (source_org); several left is ambiguous; none is unresolved.
 
     references: ref_id, keys, org_words, source_org; norms: norm_id, org, keys, `words` (array). Repeated norm rows are candidates each.
+
+    References that ask the same are resolved once, against one row for the norms that share keys, org and words: what meets grows with
+    the different of both, and no list of candidates is made.
     """
-    c = references.join(norms.select(*keys, "norm_id", "org", F.col(words).alias("_w")), keys, "left")
-    g = c.groupBy("ref_id").agg(F.first("org_words").alias("org_words"), F.first("source_org").alias("source_org"), F.array_sort(F.collect_list(F.when(F.col("norm_id").isNotNull(), F.struct("norm_id", "org", "_w")))).alias("cs"))
-    fuzzy = F.filter("cs", lambda x: overlap_coefficient(x["_w"], F.col("org_words")) >= least)
-    own = F.filter("cs", lambda x: x["org"] == F.col("source_org"))
-    first = lambda a: F.try_element_at(a, F.lit(1))["norm_id"]
-    g = g.withColumn("fuzzy", fuzzy).withColumn("own", own)
-    tier = F.when(F.size("cs") == 0, "unresolved").when(F.size("cs") == 1, "exact").when(F.size("fuzzy") > 0, "fuzzy").when(F.size("own") == 1, "source_org").otherwise("ambiguous")
-    to = F.when(F.size("cs") == 1, first(F.col("cs"))).when(F.size("fuzzy") > 0, first(F.col("fuzzy"))).when(F.size("own") == 1, first(F.col("own")))
-    return g.select("ref_id", to.alias("norm_id"), tier.alias("confidence"))
+    like = F.struct("norm_id", "org", "_w")
+    some = norms.select(*keys, "norm_id", "org", F.col(words).alias("_w")).where("norm_id is not null")
+    some = some.groupBy(*keys, "org", "_w").agg(F.count("*").alias("n"), F.min("norm_id").alias("norm_id"))
+    asks = [*keys, "org_words", "source_org"]
+    rows = references.select(*asks).distinct().join(some, keys, "left")
+    fuzzy, own = overlap_coefficient(F.col("_w"), F.col("org_words")) >= least, F.col("org") == F.col("source_org")
+    first = lambda test: F.min(F.when(test, like))["norm_id"]
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    here = F.col("norm_id").isNotNull()
+    g = rows.groupBy(*asks).agg(count(here).alias("n"), first(here).alias("lone"), first(here & fuzzy).alias("fuzzy"), count(here & own).alias("own_n"), first(here & own).alias("own"))
+    n = F.col("n")
+    tier = F.when(n == 0, "unresolved").when(n == 1, "exact").when(F.col("fuzzy").isNotNull(), "fuzzy").when(F.col("own_n") == 1, "source_org").otherwise("ambiguous")
+    to = F.when(n == 1, F.col("lone")).when(n > 1, F.coalesce("fuzzy", F.when(F.col("own_n") == 1, F.col("own"))))
+    answers = g.select(*(F.col(k).alias(f"_{k}") for k in asks), to.alias("norm_id"), tier.alias("confidence"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in asks]
+    return references.join(answers, same).select("ref_id", "norm_id", "confidence")
 
 
 def segments(texts: DataFrame, group: str, text: str, boundaries: str) -> DataFrame:

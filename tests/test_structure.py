@@ -62,3 +62,13 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_retrieval' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_repeated_candidates(spark):
+    """References that ask the same meet norms that are alike as one: right counts, and no lists of candidates."""
+    norms = spark.createDataFrame([(i, i % 2, "o" + str(i % 3), ["w" + str(i % 3)]) for i in range(90)] + [(100, 7, "o1", ["w9"]), (101, 8, "o1", ["a"]), (102, 8, "o2", ["b"])], "norm_id long, key int, org string, words array<string>")
+    refs = spark.createDataFrame([(i, 0, ["w1"], "o1") for i in range(50)] + [(60, 1, ["no"], "o2"), (61, 7, ["x"], None), (62, 8, ["x"], "o2"), (63, 9, ["x"], "o2"), (64, None, None, None)], "ref_id long, key int, org_words array<string>, source_org string")
+    got = structure.resolve(refs, norms, ["key"], "words")
+    want = {i: (4, "fuzzy") for i in range(50)} | {60: (None, "ambiguous"), 61: (100, "exact"), 62: (102, "source_org"), 63: (None, "unresolved"), 64: (None, "unresolved")}
+    assert {r.ref_id: (r.norm_id, r.confidence) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
