@@ -39,8 +39,8 @@ def build_fragments(rows: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     prefix = squeeze(F.concat(blank("tipo"), F.lit(" "), blank("numero"), F.lit(" de "), blank("year"), F.lit(" - "), blank("organismo")))
     checksum = L.checksum_12(F.col("gaceta_checksum"), F.col("gaceta_numero"), F.col("gaceta_fecha"), F.col("gaceta_tipo_edicion"))
-    parts = rows.withColumn("_checksum", checksum).withColumn("_prefix", prefix).withColumn("_parts", L.split_norm(F.col("text"))).withColumn("_total", F.size("_parts"))
-    parts = parts.select("*", F.posexplode("_parts").alias("_i", "_p"))
+    parts = rows.withColumn("_checksum", checksum).withColumn("_prefix", prefix).withColumn("_parts", L.split_norm(F.col("text")))
+    parts = parts.drop("text").withColumn("_total", F.size("_parts")).select("*", F.posexplode("_parts").alias("_i", "_p")).drop("_parts")
     fragment = L.fragment_id(F.col("norm_id"), F.col("_checksum"), F.col("goc_code"), F.col("ordinal_position"), F.col("_i"))
-    content = squeeze(F.concat(F.col("_prefix"), F.lit(". "), F.col("_p.label"), F.lit(". "), F.col("_p.text")))
+    content = F.concat(F.col("_prefix"), F.lit(". "), F.col("_p.label"), F.lit(". "), F.col("_p.text"))  # its parts have single blanks
     return parts.select(fragment.alias("fragment_id"), content.alias("content"), F.lower(content).alias("cleaned_content"), metadata(F.col("_i"), F.col("_total"), F.col("_p.label"), fragment).alias("metadata"))

@@ -6,6 +6,8 @@ written from their columns, and the SQL says from the columns alone what must be
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,9 +149,10 @@ def superseded(spark, d) -> DataFrame:
 
 
 def fragment_rows(spark, d) -> DataFrame:
-    rows = norms(spark, d, LONG).withColumn("ordinal_position", F.expr("cast(id % 1000 as int)")).withColumn("goc_code", F.expr("if(id % 4 = 0, '', goc_code)"))
+    rows = norms(spark, d).drop("text").withColumn("ordinal_position", F.expr("cast(id % 1000 as int)")).withColumn("goc_code", F.expr("if(id % 4 = 0, '', goc_code)"))
     rows = rows.withColumns({"page_start": F.expr("if(id % 2 = 0, cast(id % 60 as int), null)"), "page_end": F.lit(None).cast("int"), "match_confidence": F.lit("high"), "raw_metadata_string": F.lit(None).cast("string")})
-    return fragments.build_fragments(fragments.norm_rows(rows, gazettes(spark, d), superseded(spark, d)))
+    rows = fragments.norm_rows(rows, gazettes(spark, d), superseded(spark, d))
+    return fragments.build_fragments(rows.withColumn("text", F.expr(re.sub(r"\bk\b", "id", LONG))))  # texts are written where they are split, none is shuffled
 
 
 def fragment_digests(spark, d) -> DataFrame:

@@ -153,6 +153,13 @@ def test_split(spark):
     assert [x[0] for x in small][:1] == ["CAPÍTULO I parte 1"] and small[-1][0] == "ANEXO fin".split()[0] + " fin"
 
 
+def test_texts_are_split_once(spark):
+    """No filter on the parts is made, which would split every text a second time."""
+    n = spark.createDataFrame([("a b",)], "text string").select(F.posexplode(L.split_norm(F.col("text"))))
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "Filter" not in plan and n.count() == 1
+
+
 def test_fragment_ids(spark):
     n = spark.createDataFrame([(1, "resolucion_1_2026_ministerio_test", "Resolución", "1", 2026, "Ministerio Test", "GOC-2026-001-O1", "Texto.", 5, 1), (2, "ley_2_2026_x", "Ley", "2", 2026, "X", None, "Otro.", 6, 7)], NORMS + ", gaceta_id long, ordinal_position int")
     for c in ("page_start", "page_end"):
