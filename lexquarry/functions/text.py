@@ -46,12 +46,12 @@ def normalize_tipo(c: Column) -> Column:
 
 
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
-DROPPED = r"\b(?:[^ ]|" + "|".join(w for w in STOP_WORDS if w not in LEGAL_TERMS) + r")\b"
+DROPPED = tuple(w for w in STOP_WORDS if w not in LEGAL_TERMS)
 
 
 def tokens(c: Column) -> Column:
     """Lower-case alphanumeric words of more than a letter, without function words but with legal terms and numbers."""
-    return F.array_remove(F.split(F.regexp_replace(F.regexp_replace(F.lower(c), NOT_TOKEN, " "), DROPPED, ""), " +"), "")
+    return F.filter(F.split(F.lower(c), NOT_TOKEN), lambda w: (F.length(w) > 1) & ~w.isin(*DROPPED))
 
 
 def gazette_date(c: Column) -> Column:
