@@ -36,6 +36,12 @@ PUNCTUATION = r".,!?;:()\[\]%\-/°ªº_"
 WORD_CLASS = r"\p{L}\p{N}_"  # marks of their own are no word characters
 LEAST = 10  # characters of a cleaned element
 
+# what must be there for a pattern to match, cheap to look for: what is kept begins so and has a digit or is an Inciso; all other patterns need a
+# digit, but for these, which need a colon, and the last, which need neither. Removing makes no character that was not there.
+BEGINS = r"(?=(?-iu:[Aa][RrPp]|[Ii\u0130\u0131]|[LlDdRr][Ee]|[Gg][Oo]))"
+WITH_COLON, PLAIN = (1, 3, 5, 11, 12), (1, 11, 12)  # of REMOVED
+REWRITTEN_WITH_COLON = 4  # the first of REWRITTEN
+
 OPEN, CLOSE = "__legal_ref_", "__"
 LINES = "(?iumUd)"  # anchors at every line, and only \n ends one
 
@@ -45,17 +51,18 @@ def without_urls(c: Column) -> Column:
 
 
 def without_emails(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\S*@\S*\s?", "")
+    return F.regexp_replace(c, r"(?U)(?<!\S)\S*@\S*\s?", "")  # a word with @, tried where a word begins
 
 
 def legal_references(c: Column) -> Column:
     """References in the order in which they stand."""
-    return F.regexp_extract_all(c, F.lit(f"{L.FLAGS}({KEPT})"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(f"{L.FLAGS}{BEGINS}({KEPT})"), F.lit(1))
+    return F.when(c.rlike(r"(?iu)\p{Nd}|inciso"), found).otherwise(F.when(c.isNotNull(), F.expr("cast(array() as array<string>)")))
 
 
 def masked(c: Column) -> Column:
     """The text with the i-th reference as `__legal_ref_i__`."""
-    parts = F.split(c, f"{L.FLAGS}(?:{KEPT})")
+    parts = F.split(c, f"{L.FLAGS}{BEGINS}(?:{KEPT})")
     return F.concat_ws("", F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), i - 1, F.lit(CLOSE), p))))
 
 
@@ -64,19 +71,26 @@ def unmasked(c: Column, references: Column) -> Column:
     return F.aggregate(F.transform(references, lambda r, i: F.struct(i.alias("i"), r.alias("r"))), c, lambda t, x: F.replace(t, F.concat(F.lit(OPEN), x["i"], F.lit(CLOSE)), x["r"]))
 
 
-def without_headers(c: Column) -> Column:
+def without_headers(c: Column, patterns=REMOVED) -> Column:
     """Lines and phrases that a gazette's pages repeat."""
-    for p in REMOVED:
+    for p in patterns:
         c = F.regexp_replace(c, LINES + p, "")
     return c
 
 
-def legal_formatting(c: Column) -> Column:
-    for p, to in REWRITTEN:
+def legal_formatting(c: Column, patterns=REWRITTEN) -> Column:
+    for p, to in patterns:
         c = F.regexp_replace(c, L.FLAGS + p, to)
     return c
 
 
+def standardized(c: Column) -> Column:
+    """legal_formatting(without_headers(c)), less the patterns that cannot match. c is taken several times."""
+    some = lambda of: [REMOVED[i] for i in of]
+    with_colon = legal_formatting(without_headers(c, some(WITH_COLON)), REWRITTEN[:REWRITTEN_WITH_COLON])
+    return F.when(c.rlike(r"\p{Nd}"), legal_formatting(without_headers(c))).when(c.contains(":"), with_colon).otherwise(without_headers(c, some(PLAIN)))
+
+
 def important_header(c: Column) -> Column:
     return L.any_of(*(F.trim(c).rlike(L.FLAGS + p) for p in HEADERS))
 
@@ -85,19 +99,33 @@ def alphanumeric(c: Column, punctuation: str = PUNCTUATION) -> Column:
     return F.regexp_replace(c, rf"(?U)[^{WORD_CLASS}\s{punctuation}]", "")
 
 
+def without_links(content: Column) -> Column:
+    return without_emails(without_urls(F.coalesce(content, F.lit(""))))
+
+
+def finished(content: Column, kind: Column, hidden: Column, body: Column, references: Column, lemmatize=None) -> Column:
+    body = unmasked(F.when(important_header(body), body).otherwise(alphanumeric(body)), references)
+    body = lemmatize(body) if lemmatize else F.lower(body)
+    return squeeze(F.when(F.trim(F.coalesce(content, F.lit(""))) == "", "").when(kind == "Table", hidden).otherwise(body))
+
+
 def cleaned(content: Column, kind: Column, lemmatize=None) -> Column:
     """The cleaned text of an element. Tables keep their case, marks and placeholders; other elements lose the gazette's headers, and
-    marks unless they are a header themselves. `lemmatize` (column to column) takes the place of lower-casing. Empty text stays empty."""
-    text = without_emails(without_urls(F.coalesce(content, F.lit(""))))
+    marks unless they are a header themselves. `lemmatize` (column to column) takes the place of lower-casing. Empty text stays empty.
+    One expression makes its steps several times: for tables there is `clean_documents`."""
+    text = without_links(content)
     hidden = masked(text)
-    body = squeeze(L.nfkc(legal_formatting(without_headers(hidden))))
-    body = F.when(important_header(body), body).otherwise(alphanumeric(body))
-    body = unmasked(body, legal_references(text))
-    body = lemmatize(body) if lemmatize else F.lower(body)
-    return squeeze(F.when(F.trim(F.coalesce(content, F.lit(""))) == "", "").when(kind == "Table", hidden).otherwise(body))
+    return finished(content, kind, hidden, squeeze(L.nfkc(standardized(hidden))), legal_references(text), lemmatize)
 
 
 def clean_documents(elements: DataFrame, content: str = "content", kind: str = "type", least: int = LEAST, lemmatize=None) -> DataFrame:
-    """`elements` with cleaned_content, without those whose cleaned text has fewer than `least` characters. Rows have no order."""
-    rows = elements.withColumn("cleaned_content", cleaned(F.col(content), F.coalesce(F.col(kind), F.lit("CompositeElement")), lemmatize))
-    return rows.where(F.length(F.trim("cleaned_content")) >= least)
+    """`elements` with cleaned_content, without those whose cleaned text has fewer than `least` characters. Rows have no order.
+
+    Every step is a column of its own, as an expression that takes a step's result twice would have it made twice. _row is there for the
+    filter, which does not go below the columns that have it: there it would make all steps again.
+    """
+    rows = elements.withColumn("_text", without_links(F.col(content))).withColumn("_references", legal_references(F.col("_text")))
+    rows = rows.withColumn("_hidden", F.when(F.size("_references") == 0, F.col("_text")).otherwise(masked(F.col("_text")))).withColumn("_body", squeeze(L.nfkc(standardized(F.col("_hidden")))))
+    text = finished(F.col(content), F.coalesce(F.col(kind), F.lit("CompositeElement")), F.col("_hidden"), F.col("_body"), F.col("_references"), lemmatize)
+    rows = rows.withColumns({"cleaned_content": text, "_row": F.monotonically_increasing_id()})
+    return rows.where((F.length(F.trim("cleaned_content")) >= least) & (F.col("_row") >= 0)).drop("_text", "_hidden", "_references", "_body", "_row")

@@ -185,6 +185,22 @@ def test_cleaning(spark):
     assert [r.cleaned_content for r in cleaning.clean_documents(e).collect()] == ["un texto que basta"]
 
 
+def test_cleaning_makes_every_step_once(spark):
+    e = spark.createDataFrame([("Vea el Art. 5 {x} de hoy", "x"), ("sin nada a@b.cu que guardar : aquí", None)], "content string, type string").repartition(1)
+    out = cleaning.clean_documents(e)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(https?://") == 1 and plan.count("_nfkc(") == 1 and plan.index("Filter") < plan.index("_nfkc(")
+    one_by_one = e.select("content", cleaning.cleaned(F.col("content"), F.lit("x")).alias("c"))
+    assert out.columns == ["content", "type", "cleaned_content"] and {(r.content, r.cleaned_content) for r in out.collect()} == {tuple(r) for r in one_by_one.collect()}
+
+
+def test_cleaning_of_what_patterns_need(spark):
+    """Digits of other scripts, letters that count as i, a colon without a digit, a word that has @ twice."""
+    clean = lambda s: one(spark, cleaning.cleaned(F.lit(s), F.lit("x")))
+    assert clean("El artículo ٣ {y} el İnciso b) ~ rigen") == "el artículo ٣ y el " + "İnciso b)".lower() + " rigen"
+    assert clean("Teléfonos: - \n POR CUANTO : se dispone {z}") == "por cuanto: se dispone {z}" and clean("uno x@y@z dos@ @tres fin") == "uno fin"
+
+
 def test_unicode(spark):
     assert one(spark, L.unaccented(F.lit("Órgano ÀÈ ñ ø"))) == "Organo AE n ø" and one(spark, L.nfkc(F.lit("ﬁ ½"))) == "fi 1⁄2"
     assert one(spark, L.unaccented(F.lit(None).cast("string"))) is None
